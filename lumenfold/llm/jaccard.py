@@ -10,8 +10,8 @@ documents are compared at the lesser of their two m.
 3. Prefix elements meet in a sort by element; what meets nothing (nearly all) is dropped there.
 4. Each element's first document is compared with the element's others; verified links make first components.
 5. Only elements that still meet in different components go on. The rare ones give their pairs. The documents of
-   frequent ones (over ``HOT`` at once) are compared block by block, a block being a bounded number of whole sets and a
-   comparison a product of two incidence matrices, so that no pairs are listed; the answer is complete either way.
+   frequent ones (over ``HOT`` at once) make families of like sizes, compared block by block: a block is a bounded number of
+   whole sets and a comparison a product of incidence matrices, so that no pairs are listed; both ways are complete.
 
 Candidates are dropped without their sets only by exact bounds: on sizes, on the number of shared prefix elements, and
 on the elements up to the last shared one that only one of the two has.
@@ -31,7 +31,7 @@ from lumenfold.llm.components import components
 
 MAX_MATCHES, VERIFY_COST = 8, 4.0
 #: Of the frequency estimate: n-grams a task hands on, least count, and entries of the broadcast table (16 bytes each).
-HANDED_ON, LEAST, TABLE = 20_000, 8, 200_000
+HANDED_ON, LEAST, TABLE = 100_000, 4, 1_000_000
 HOT, BLOCK = 64, 512
 #: Ids up to this number are broadcast where their documents are read again; beyond it the two sides are shuffled.
 BROADCAST_IDS = 200_000
@@ -95,7 +95,7 @@ def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
                 keys, counts = np.concatenate([keys[counts > 1], summary[0]]), np.concatenate([counts[counts > 1], summary[1]])
                 keys, at = np.unique(keys, return_inverse=True)
                 counts = np.bincount(at, counts, len(keys)).astype(np.int64)
-                best = np.argsort(-counts, kind="stable")[: 10 * HANDED_ON]
+                best = np.argsort(-counts, kind="stable")[: 4 * HANDED_ON]
                 summary, held, n = (keys[best], counts[best]), [], 0
 
         for b in batches:
@@ -248,6 +248,21 @@ def mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(labelled.join(several, "h"), "mixed")
 
 
+def families(hot: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(id, family): documents that frequent elements bring together, where their sizes allow it.
+
+    Sizes fall into bands a little wider than similar sets may differ; a document stands in its own band and the next one,
+    so similar ones share a band. A family is what elements connect in one band, if it has several components.
+    """
+    base = math.log(1.005 * threshold[1] / threshold[0])
+    own = F.floor(F.log(F.col("n").cast("double")) / base)
+    banded = hot.select("h", "doc", "component", F.explode(F.array(own, own + 1)).alias("band")).withColumn("node", F.xxhash64("doc", "band"))
+    first = banded.groupBy("h", "band").agg(F.min("node").alias("a"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h", "band", "a")
+    edges = banded.join(first, ["h", "band"]).select("a", F.col("node").alias("b"))
+    named = components(edges).select(F.col("id").alias("node"), F.col("component").alias("family"))
+    return stored(named.join(banded.select("node", F.col("doc").alias("id")).distinct(), "node").select("id", "family"), "families")
+
+
 def block_links(families: DataFrame, whole: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Similar pairs among documents of one family, from blocks of BLOCK whole sets at most.
 
@@ -338,11 +353,10 @@ def join(docs: DataFrame, size: int = 5, threshold: float = 0.75, id_col: str =
     rest = mixed(met, labels)
     rare, hot = rest.where(F.col("many") <= HOT), rest.where(F.col("many") > HOT)
     more = stored(possible(side(rare, "a").join(side(rare, "b"), "h").where("a < b AND c_a <> c_b"), limit), "pairs")
-    near = stars(hot.withColumn("component", F.col("doc"))).select("a", "b")
-    families = components(near).select("id", F.col("component").alias("family"))
-    ids = more.select(F.col("a").alias("id")).union(more.select("b")).union(families.select("id")).distinct()
+    groups = families(hot, limit)
+    ids = more.select(F.col("a").alias("id")).union(more.select("b")).union(groups.select("id")).distinct()
     whole = sets(own, ids, size)
-    links = links.union(stored(verified(more, whole, limit), "links")).union(stored(block_links(families, whole, limit), "links"))
+    links = links.union(stored(verified(more, whole, limit), "links")).union(stored(block_links(groups, whole, limit), "links"))
     labels = components(links)
 
     keyed = live.groupBy("c1", "c2").agg(F.min("id").alias("class_id"))
