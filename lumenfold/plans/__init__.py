@@ -1 +1,4 @@
 
+from lumenfold.plans import registry
+
+registry.load()
