@@ -14,7 +14,7 @@ documents are compared at the lesser of their two m.
    whole sets and a comparison a product of incidence matrices, so that no pairs are listed; both ways are complete.
 
 Candidates are dropped without their sets only by exact bounds: on sizes, on the number of shared prefix elements, and
-on the elements up to the last shared one that only one of the two has.
+on how many elements only one of the two has up to the place in the order where the first of the two prefixes ends.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from lumenfold.llm.common import mix, prefix_hash, ship, spans, stored, utf8, wi
 from lumenfold.llm.components import components
 
 MAX_MATCHES, VERIFY_COST = 8, 4.0
+#: Places of a prefix whose keys are kept, evenly spread; the last is its end.
+MARKS = 8
 #: Of the frequency estimate: n-grams a task hands on, least count, and entries of the broadcast table (16 bytes each).
 HANDED_ON, LEAST, TABLE = 100_000, 4, 1_000_000
 HOT, BLOCK = 64, 512
@@ -117,13 +119,14 @@ def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], rows["n"].to_numpy(np.int64)[order]
 
 
-def prefixes(h: np.ndarray, owner: np.ndarray, n: np.ndarray, table: tuple[np.ndarray, np.ndarray], threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(elements in prefix order, how many of each text, each text's number of required matches)."""
+def prefixes(h: np.ndarray, owner: np.ndarray, n: np.ndarray, table: tuple[np.ndarray, np.ndarray], threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(elements in prefix order, how many of each text, each text's number of required matches, its MARKS keys)."""
     keys, counts = table
     at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
     df = np.where(keys[at] == h, counts[at], 0) if len(keys) else np.zeros(len(h), np.int64)
-    order = np.lexsort((h, df, owner))
-    h, df = h[order], df[order]
+    rank = np.where(df == 0, h >> np.uint64(1), np.uint64(1 << 63) | np.minimum(df, (1 << 20) - 1).astype(np.uint64) << np.uint64(43) | h >> np.uint64(21))
+    order = np.lexsort((h, rank, owner))
+    h, df, rank = h[order], df[order], rank[order]
     first = np.cumsum(n) - n
     sums = np.r_[0, np.cumsum(df)]
     need = -(-threshold[0] * n // threshold[1])  # least overlap with any partner
@@ -136,11 +139,16 @@ def prefixes(h: np.ndarray, owner: np.ndarray, n: np.ndarray, table: tuple[np.nd
         best, matches = np.where(better, cost, best), np.where(better, m, matches)
     length = np.where(n > 0, np.minimum(n - need + matches, n), 0)
     keep = np.arange(len(h)) - np.repeat(first, n) < np.repeat(length, n)
-    return h[keep], length, matches
+    marks = np.zeros((len(n), MARKS), np.uint64)
+    some = n > 0
+    at = np.maximum(length[some, None] * np.arange(1, MARKS + 1) // MARKS - 1, 0) + first[some, None]
+    marks[some] = rank[at]
+    return h[keep], length, matches, marks
 
 
 def signatures(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
-    """(id, n, c1, c2, matches, prefix): set size, 128 bits that stand for the set, required matches, prefix elements."""
+    """(id, n, c1, c2, matches, prefix, marks): set size, 128 bits that stand for the set, required matches, prefix elements, and
+    the places in the order of MARKS of them."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,11 +160,13 @@ def signatures(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFr
                 sums = [np.r_[np.uint64(0), np.cumsum(mix(h ^ np.uint64(salt)), dtype=np.uint64)] for salt in (0x1234567, 0x7654321ABCDEF)]
                 ends = np.cumsum(n)
                 c1, c2 = ((s[ends] - s[ends - n]).view(np.int64) for s in sums)
-                elements, length, matches = prefixes(h, owner, n, shared.value, threshold)
+                elements, length, matches, marks = prefixes(h, owner, n, shared.value, threshold)
                 listed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)], pa.int32()), pa.array(elements.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(c1), pa.array(c2), pa.array(matches, pa.int32()), listed], ["id", "n", "c1", "c2", "matches", "prefix"])
+                signed = (marks ^ np.uint64(1 << 63)).view(np.int64)  # in the order of signed integers
+                places = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * MARKS, pa.int32()), pa.array(signed.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(c1), pa.array(c2), pa.array(matches, pa.int32()), listed, places], ["id", "n", "c1", "c2", "matches", "prefix", "marks"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, c1 long, c2 long, matches int, prefix array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, c1 long, c2 long, matches int, prefix array<long>, marks array<long>")
 
 
 def meetings(rows: DataFrame) -> DataFrame:
@@ -216,19 +226,31 @@ def verified(pairs: DataFrame, whole: DataFrame, threshold: tuple[int, int]) ->
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
 
 
-def possible(met: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) that may be similar, from meetings (a, b, n_a, n_b, m_a, m_b, pos_a, pos_b)."""
+def possible(met: DataFrame, profiles: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) that may be similar, from meetings (a, b, n_a, n_b, m_a, m_b, pos_a, pos_b) and (id, length, marks) of prefixes."""
     num, den = threshold
     m = F.least("m_a", "m_b")
 
     def level(x: str):  # the least number of matches whose prefix has the element
         return F.col(f"pos_{x}") - (F.col(f"n_{x}") - F.ceil(num * F.col(f"n_{x}") / den)) + 1
 
-    sized = met.where((den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")) & (level("a") <= m) & (level("b") <= m))
-    both = sized.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"), *(F.first(c).alias(c) for c in ("n_a", "n_b", "m_a", "m_b")))
-    # Sets with similarity t or more differ in (n_a + n_b) (1 - t) / (1 + t) elements at most.
-    apart = F.col("pos_a") + F.col("pos_b") + 2 - 2 * F.col("shared")
-    return both.where((F.col("shared") >= F.least("m_a", "m_b")) & (apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))).select("a", "b")
+    sized = met.where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
+    matched = F.count_if((level("a") <= m) & (level("b") <= m))
+    both = sized.groupBy("a", "b").agg(F.count("*").alias("shared"), matched.alias("matched"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"), *(F.first(c).alias(c) for c in ("n_a", "n_b", "m_a", "m_b")))
+
+    def close(apart):  # sets with similarity t or more differ in (n_a + n_b) (1 - t) / (1 + t) elements at most
+        return apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)
+
+    some = both.where((F.col("matched") >= m) & close(F.col("pos_a") + F.col("pos_b") + 2 - 2 * F.col("shared")))
+    for x in "ab":
+        some = some.join(profiles.select(F.col("id").alias(x), F.col("length").alias(f"length_{x}"), F.col("marks").alias(f"marks_{x}")), x)
+    end = F.least(F.element_at("marks_a", -1), F.element_at("marks_b", -1))
+
+    def within(x: str):  # at least so many elements up to that end; all shared ones up to it have met
+        before = F.size(F.filter(f"marks_{x}", lambda k: k < F.col("end")))
+        return F.when(F.element_at(f"marks_{x}", -1) == F.col("end"), F.col(f"length_{x}")).otherwise(F.floor(F.col(f"length_{x}") * before / MARKS))
+
+    return some.withColumn("end", end).where(close(within("a") + within("b") - 2 * F.col("shared"))).select("a", "b")
 
 
 def side(rows: DataFrame, x: str) -> DataFrame:
@@ -340,19 +362,20 @@ def join(docs: DataFrame, size: int = 5, threshold: float = 0.75, id_col: str =
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = stored(signatures(own, size, limit), "signatures")
     live = signed.where("n > 0 AND id IS NOT NULL")
-    classes = live.groupBy("c1", "c2").agg(F.min("id").alias("class_id"), F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
+    classes = live.groupBy("c1", "c2").agg(F.min("id").alias("class_id"), F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"), F.first("marks").alias("marks"))
     rows = classes.select(F.col("class_id").alias("doc"), "n", "matches", F.posexplode("prefix").alias("pos", "h")).select("h", "doc", "n", "matches", "pos")
+    profiles = live.select("id", F.size("prefix").cast("long").alias("length"), "marks")
     met = stored(meetings(rows), "meetings").withColumn("component", F.col("doc"))
     own = own.where("id IS NOT NULL")
 
-    pairs = stored(possible(stars(met), limit), "pairs")
+    pairs = stored(possible(stars(met), profiles, limit), "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     links = stored(verified(pairs, sets(own, ids, size), limit), "links")
     labels = components(links)
 
     rest = mixed(met, labels)
     rare, hot = rest.where(F.col("many") <= HOT), rest.where(F.col("many") > HOT)
-    more = stored(possible(side(rare, "a").join(side(rare, "b"), "h").where("a < b AND c_a <> c_b"), limit), "pairs")
+    more = stored(possible(side(rare, "a").join(side(rare, "b"), "h").where("a < b AND c_a <> c_b"), profiles, limit), "pairs")
     groups = families(hot, limit)
     ids = more.select(F.col("a").alias("id")).union(more.select("b")).union(groups.select("id")).distinct()
     whole = sets(own, ids, size)
