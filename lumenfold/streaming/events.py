@@ -67,13 +67,10 @@ def limited(calls: DataFrame, per_minute: int) -> DataFrame:
 
 
 def limited_stream(calls: DataFrame, per_minute: int) -> DataFrame:
-    """The same over a stream of (bucket, client, call_id, at): a list of allowed times a client, forgotten after a quiet minute."""
+    """The same over a stream of (bucket, client, call_id, at): at most ``per_minute`` allowed times a client are kept."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         kept = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["seconds", "call_id"])
         allowed = []
@@ -83,9 +80,8 @@ def limited_stream(calls: DataFrame, per_minute: int) -> DataFrame:
             if allowed[-1]:
                 kept.append(at)
         state.update((kept,))
-        state.setTimeoutDuration(60_000)
         yield pd.DataFrame({"bucket": key[0], "client": key[1], "call_id": rows["call_id"].to_numpy(), "allowed": allowed})
 
     rows = calls.select("bucket", "client", "call_id", F.col("at").cast("timestamp").cast("double").alias("seconds"))
     kinds = dict(rows.dtypes)
-    return rows.groupBy("bucket", "client").applyInPandasWithState(step, f"bucket {kinds['bucket']}, client {kinds['client']}, call_id {kinds['call_id']}, allowed boolean", "kept array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("bucket", "client").applyInPandasWithState(step, f"bucket {kinds['bucket']}, client {kinds['client']}, call_id {kinds['call_id']}, allowed boolean", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
