@@ -182,3 +182,12 @@ def enriched_text(current: Column, extract: Column, source: str, least: int = 40
     """(text, source): an extract of enough characters fills an empty text; a shorter one only marks it as checked."""
     good = F.length(F.trim(extract)) >= least
     return F.when(current.isNull() & good, extract).otherwise(current), F.when(current.isNull(), F.when(good, F.lit(source)).otherwise(F.lit(f"{source}:none")))
+
+
+def decided(candidates, home: str = "Q884"):
+    """(to ingest, excluded) from candidates (external_id, kind, countries, found_by, has_category): works of home go on, in
+    the order of their numbers; others are excluded with the reason."""
+    foreign = is_foreign(F.col("countries"), F.col("found_by"), F.col("has_category"), home)
+    reason = F.when(F.col("kind") == "NOT_DRAMA", "not_drama").when(foreign, "foreign")
+    rows = candidates.withColumn("reason", reason).withColumn("n", F.regexp_extract("external_id", "([0-9]+)$", 1).cast("long"))
+    return rows.where("reason IS NULL").orderBy("n").drop("reason", "n"), rows.where("reason IS NOT NULL").orderBy("n").drop("n")

@@ -171,6 +171,18 @@ def link_identity(identities: DataFrame, consents: DataFrame, user: str, provide
     return insert_ignore(identities, row, ["provider", "subject"]), insert_ignore(consents, new, ["user_id", "type", "version"])
 
 
+def stamped(before: DataFrame, after: DataFrame, keys: Sequence[str], now: Column, at: str = "updated_at") -> DataFrame:
+    """``after`` with the time of change renewed in rows that are new or differ from ``before`` in any other column."""
+    others = [c for c in after.columns if c not in (*keys, at)]
+    digest = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in others])
+    old = before.select(*[F.col(k).alias(f"__{k}") for k in keys], digest.alias("__old"))
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    joined = after.withColumn("__new", digest).join(old, match, "left")
+    return joined.withColumn(at, F.when(F.col("__old").eqNullSafe(F.col("__new")), F.col(at)).otherwise(now)).select(*after.columns)
+
+
 class Store:
     """Tables as snapshot folders with a pointer to the current one; nothing is overwritten while it may be read."""
 

@@ -78,6 +78,18 @@ def analyze(raw: str, constraints: bool = True) -> Plan:
     return Plan(raw, said.strip(), *years, channel, signals)
 
 
+def analyzed(queries: Column) -> Column:
+    """Plans of a column of queries, as structs; a table's queries go through Arrow batches."""
+
+    @F.pandas_udf("text string, year_from int, year_to int, broadcaster string")
+    def run(s: pd.Series) -> pd.DataFrame:
+        plans = [analyze(q) if isinstance(q, str) else Plan("", "") for q in s]
+        out = pd.DataFrame([(p.text, p.year_from, p.year_to, p.broadcaster) for p in plans], columns=["text", "year_from", "year_to", "broadcaster"])
+        return out.astype({"year_from": "Int32", "year_to": "Int32"})
+
+    return run(queries)
+
+
 def overridden(plan: Plan, year_from: int | None = None, year_to: int | None = None, broadcaster: str | None = None) -> Plan:
     """Explicit parameters win; one end of the years stands for both."""
     if year_from is not None or year_to is not None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,9 +12,9 @@ from lumenfold.streaming import events as S
 
 
 def _streamed(t, each, batches: int = 1):
-    """All events through a checkpointed stream; gives what the stage wrote. With a local folder in tests, the shared one on a cluster."""
+    """All events through a checkpointed stream; gives what the stage wrote: in the folder that executors share, or in tests in one of our own."""
     base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    root = tempfile.mkdtemp(dir=None) if "://" not in base else f"{base}/stream-{id(t)}"
+    root = f"{base}/stream-{uuid.uuid4().hex}"
     stream = S.read_stream(t.spark, t.sf_dir, t.events.schema, "events*.parquet")
     for _ in range(batches):
         S.run_available(stream, lambda df, n: each(df).write.mode("append").parquet(f"{root}/out"), f"{root}/checkpoint")

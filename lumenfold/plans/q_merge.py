@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from lumenfold.operators import merge as M
@@ -155,10 +158,8 @@ def m20_stamp_links(t):
 @query("SELECT n_nationkey, n_name FROM nation")
 def m15_snapshot_swap(t):
     """A table written twice through the store; readers see the second snapshot."""
-    import tempfile
-
-    found = t.spark.conf.get("spark.checkpoint.dir", None)
-    store = M.Store(t.spark, f"{found}/store-{id(t)}" if found else tempfile.mkdtemp())
+    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    store = M.Store(t.spark, f"{base}/store-{uuid.uuid4().hex}")
     rows = t.nation.select(long("n_nationkey"), "n_name")
     store.swap("nation", rows.where("n_nationkey < 3"))
     return store.swap("nation", M.overwrite(store.read("nation"), rows, ["n_nationkey"]))

@@ -92,7 +92,7 @@ def test_quality(spark):
     assert got[1] == ["MISSING_TITLE", "MISSING_EXTERNAL_ID", "MISSING_START_DATE", "NO_CREDITS", "NOT_A_DRAMA", "EPISODE_COUNT", "RUNTIME", "UNKNOWN_BROADCASTER", "UNKNOWN_GENRE", "SONG_NO_TITLE", "SONG_DURATION", "LINK_NOT_HTTPS"]
     assert got[2] == ["DATE_ORDER", "CREDIT_NO_NAME", "DUPLICATE_CREDIT", "BILLING_ORDER"]
     Q.gate(df)
-    many = df.crossJoin(spark.range(3))
+    many = df.crossJoin(spark.range(3).toDF("k"))
     with pytest.raises(Q.GateError):
         Q.gate(many)
     Q.gate(many.where("id <> 1"), most=0.7)
@@ -213,3 +213,11 @@ def test_documents(spark):
     assert b.body == "" and b.aliases == ""
     newer = D.render(df.withColumn("canonical_version", F.lit(9).cast("long"))).orderBy("id").collect()
     assert [r.content_hash for r in newer] == [a.content_hash, b.content_hash]
+
+
+def test_changed_rows_are_stamped(spark):
+    t0, t1 = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
+    before = spark.createDataFrame([(1, "a", t0), (2, "b", t0)], "id long, v string, updated_at timestamp")
+    after = spark.createDataFrame([(1, "a", t0), (2, "c", t0), (3, None, None)], "id long, v string, updated_at timestamp")
+    got = {r.id: r.updated_at for r in M.stamped(before, after, ["id"], F.lit(t1)).collect()}
+    assert got == {1: t0, 2: t1, 3: t1}

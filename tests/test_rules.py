@@ -133,3 +133,15 @@ def test_query_without_constraints_and_overrides():
             R.parse_weights(bad)
     assert [clamp(n) for n in (None, 0, -3, 7, 99)] == [20, 20, 1, 7, 50]
     assert R.strategy(["fts", "vector"]) == "LEXICAL_VECTOR" and R.strategy(["filter"]) == "FILTER" and R.strategy([]) == "NONE"
+
+
+def test_candidates_are_decided(spark):
+    rows = [("Q10", "DRAMA", ["Q884"], ["sparql"], False), ("Q9", "UNKNOWN", [], ["kowiki"], True), ("Q8", "NOT_DRAMA", [], ["sparql"], False), ("Q7", "DRAMA", ["Q17"], ["sparql"], False)]
+    keep, out = rules.decided(spark.createDataFrame(rows, "external_id string, kind string, countries array<string>, found_by array<string>, has_category boolean"))
+    assert [r.external_id for r in keep.collect()] == ["Q9", "Q10"]
+    assert {r.external_id: r.reason for r in out.collect()} == {"Q8": "not_drama", "Q7": "foreign"}
+
+
+def test_a_table_of_queries(spark):
+    df = spark.createDataFrame([("2016년 tvN 도깨비",), (None,), ("공유",)], "q string").select(R.analyzed(F.col("q")).alias("p")).select("p.*")
+    assert [tuple(r) for r in df.collect()] == [("도깨비", 2016, 2016, "tvn"), ("", None, None, None), ("공유", None, None, None)]
