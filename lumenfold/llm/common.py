@@ -16,10 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = Path(__file__).resolve().parents[2]
 #: Bytes of text that the vectorised operators hold as numpy arrays at once (a longer single text is held whole).
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch, where the session has Spark's default: whole texts are large, and several workers share an executor.
+BATCH_ROWS, DEFAULT_ROWS = "1000", "10000"
+
+pa.set_memory_pool(pa.system_memory_pool())  # large buffers go back to the system as soon as they are free
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, also where the driver found it by its own path."""
+    """Let Python workers import this package, also where the driver found it by its own path; keep batches of texts small."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows, DEFAULT_ROWS) == DEFAULT_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
     paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     sc = spark.sparkContext
     if str(ROOT) in paths or getattr(sc, "_lumenfold_shipped", False):
