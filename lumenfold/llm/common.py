@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -15,11 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[2]
 #: Bytes of text that the vectorised operators hold as numpy arrays at once (a longer single text is held whole).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Rows of an Arrow batch, where the session has Spark's default: whole texts are large, and several workers share an executor.
 BATCH_ROWS, DEFAULT_ROWS = "1000", "10000"
 
 pa.set_memory_pool(pa.system_memory_pool())  # large buffers go back to the system as soon as they are free
+with contextlib.suppress(OSError, AttributeError):  # and so do arrays of a MB or more: a fixed M_MMAP_THRESHOLD (-3) of the C library
+    ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)
 
 
 def ship(spark: SparkSession) -> None:

@@ -106,7 +106,7 @@ def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
                 h, _ = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
                 held.append(h)
                 n += len(h)
-                if n > 1_000_000:
+                if n > 500_000:
                     fold()
         fold()
         best = np.argsort(-summary[1], kind="stable")[:HANDED_ON]
