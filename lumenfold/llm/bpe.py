@@ -23,7 +23,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from lumenfold.llm.common import broadcast_file, ship
+from lumenfold.llm.common import broadcast_file, lean, ship
 
 #: Unicode White_Space, as the pattern's \s has it (re's own \s has four control characters more).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -176,7 +176,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             for part in (b.slice(i, 500) for i in range(0, len(b), 500)):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([own.encode(t or "") for t in part.column(1).to_pylist()], pa.binary())], ["id", "ids"])
 
-    return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, ids binary")
+    return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(lean(run), f"id {dict(docs.dtypes)[id_col]}, ids binary")
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -188,7 +188,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([own.decode(x) for x in b.column(1).to_pylist()], pa.binary())], ["id", "ids", "raw"])
 
-    return encoded.select("id", "ids").mapInArrow(run, f"id {dict(encoded.dtypes)['id']}, ids binary, raw binary")
+    return encoded.select("id", "ids").mapInArrow(lean(run), f"id {dict(encoded.dtypes)['id']}, ids binary, raw binary")
 
 
 def n_ids(ids: bytes) -> int:

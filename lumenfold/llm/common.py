@@ -8,7 +8,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -22,8 +22,7 @@ CHUNK_BYTES = 1 << 19
 BATCH_ROWS, DEFAULT_ROWS = "1000", "10000"
 
 pa.set_memory_pool(pa.system_memory_pool())  # large buffers go back to the system as soon as they are free
-with contextlib.suppress(OSError, AttributeError):  # and so do arrays of a MB or more: a fixed M_MMAP_THRESHOLD (-3) of the C library
-    ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)
+
 
 
 def ship(spark: SparkSession) -> None:
@@ -43,6 +42,19 @@ def ship(spark: SparkSession) -> None:
     sc._lumenfold_shipped = True
 
 
+def lean(run: Callable) -> Callable:
+    """A task's function over Arrow batches, after which the worker gives the memory it no longer uses back to the system."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lumenfold.llm.common import mix, prefix_hash, ship, spans, stored, utf8, window_hash
+from lumenfold.llm.common import lean, mix, prefix_hash, ship, spans, stored, utf8, window_hash
 from lumenfold.llm.components import components
 
 MAX_MATCHES, VERIFY_COST = 8, 4.0
@@ -112,7 +112,7 @@ def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
         best = np.argsort(-summary[1], kind="stable")[:HANDED_ON]
         yield pa.RecordBatch.from_arrays([pa.array(summary[0][best].view(np.int64)), pa.array(summary[1][best])], ["h", "n"])
 
-    top = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    top = docs.select("text").mapInArrow(lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
     rows = top.orderBy(F.desc("n"), "h").limit(TABLE).toPandas()
     h = rows["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
@@ -166,7 +166,7 @@ def signatures(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFr
                 places = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * MARKS, pa.int32()), pa.array(signed.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(c1), pa.array(c2), pa.array(matches, pa.int32()), listed, places], ["id", "n", "c1", "c2", "matches", "prefix", "marks"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, c1 long, c2 long, matches int, prefix array<long>, marks array<long>")
+    return docs.select("id", "text").mapInArrow(lean(run), "id long, n long, c1 long, c2 long, matches int, prefix array<long>, marks array<long>")
 
 
 def meetings(rows: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def meetings(rows: DataFrame) -> DataFrame:
         if held and held[1]:
             yield held[0]
 
-    return rows.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(run, "h long, doc long, n long, matches int, pos int")
+    return rows.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(lean(run), "h long, doc long, n long, matches int, pos int")
 
 
 def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 cuts = np.searchsorted(owner, np.arange(j - i + 1))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([h[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["id", "items"])
 
-    return stored(chosen(docs, ids).select("id", "text").mapInArrow(run, "id long, items binary"), "sets")
+    return stored(chosen(docs, ids).select("id", "text").mapInArrow(lean(run), "id long, items binary"), "sets")
 
 
 def verified(pairs: DataFrame, whole: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -223,7 +223,7 @@ def verified(pairs: DataFrame, whole: DataFrame, threshold: tuple[int, int]) ->
             yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     left, right = (whole.select(F.col("id").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b").mapInArrow(lean(run), "a long, b long")
 
 
 def possible(met: DataFrame, profiles: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -345,7 +345,7 @@ def block_links(families: DataFrame, whole: DataFrame, threshold: tuple[int, int
             yield links(held)
 
     full = sent.drop("second").join(whole, "id").select("family", "lo", "hi", "id", "items")
-    return full.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi", "id").mapInArrow(run, "a long, b long")
+    return full.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi", "id").mapInArrow(lean(run), "a long, b long")
 
 
 def join(docs: DataFrame, size: int = 5, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

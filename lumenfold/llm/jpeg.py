@@ -19,9 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lumenfold.llm.common import CHUNK_BYTES, ship, spans, utf8
+from lumenfold.llm.common import lean, ship, spans, utf8
 
 RESTART = 4
+#: Bytes encoded or decoded at once: more of them make longer arrays and fewer steps.
+CHUNK = 2 << 20
 COMMENT = b"payload "
 
 
@@ -361,7 +363,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = utf8(b.column(1))
-            for i, j in spans(off):
+            for i, j in spans(off, CHUNK):
                 padded = []
                 for a, e in zip(off[i:j], off[i + 1 : j + 1], strict=True):
                     p = np.zeros(max(64, -(-(e - a) // 64) * 64), np.uint8)
@@ -369,7 +371,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     padded.append(p)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(off[i : j + 1])), pa.array(encode(padded), pa.binary())], ["id", "n_bytes", "media"])
 
-    return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, n_bytes long, media binary")
+    return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(lean(run), f"id {dict(docs.dtypes)[id_col]}, n_bytes long, media binary")
 
 
 def read(media: DataFrame) -> DataFrame:
@@ -380,7 +382,7 @@ def read(media: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, off = utf8(b.column(2))
-            for i, j in spans(off, CHUNK_BYTES):
+            for i, j in spans(off, CHUNK):
                 part = b.slice(i, j - i)
                 images = [parse(m) for m in part.column(2).to_pylist()]
                 values = decode(images)
@@ -388,7 +390,7 @@ def read(media: DataFrame) -> DataFrame:
                 columns = [part.column(0), part.column(1), pa.array([payload(x, v) for x, v in zip(images, values, strict=True)], pa.binary()), part.column(2), pa.array([x.width for x in images], pa.int32()), pa.array([x.height for x in images], pa.int32()), pa.array([t.shape[1] for t in thumbs], pa.int32()), pa.array([t.shape[0] for t in thumbs], pa.int32()), pa.array([average_hash(t) for t in thumbs])]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return media.select("id", "n_bytes", "media").mapInArrow(run, f"id {dict(media.dtypes)['id']}, n_bytes long, payload binary, media binary, width int, height int, thumb_width int, thumb_height int, thumb_hash string")
+    return media.select("id", "n_bytes", "media").mapInArrow(lean(run), f"id {dict(media.dtypes)['id']}, n_bytes long, payload binary, media binary, width int, height int, thumb_width int, thumb_height int, thumb_hash string")
 
 
 def sha256(raw: bytes) -> str:

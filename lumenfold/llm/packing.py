@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from lumenfold.llm.bpe import MEMO, PIECE
-from lumenfold.llm.common import broadcast_file, ship
+from lumenfold.llm.common import broadcast_file, lean, ship
 
 SCHEMA = "doc_id {}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -207,7 +207,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 0
         if packer.out:
             yield flush()
 
-    return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(run, SCHEMA.format(dict(docs.dtypes)[id_col]))
+    return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(lean(run), SCHEMA.format(dict(docs.dtypes)[id_col]))
 
 
 def crc32(ids: bytes) -> int:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lumenfold.llm.common import ship
+from lumenfold.llm.common import lean, ship
 
 MARKS = b".,;:!?|%*#&$@/\\<>=+-_~^(){}[]'\"`"
 LETTER = re.compile(r"[^\W\d_]")
@@ -101,7 +101,7 @@ def feature_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t or "").tolist() for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["id", "x"])
 
-    return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, x array<double>")
+    return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(lean(run), f"id {dict(docs.dtypes)[id_col]}, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, accept: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ranking:
@@ -128,4 +128,4 @@ def score(docs: DataFrame, ranking: Ranking, id_col: str = "doc_id", text_col: s
             x = np.array([features(t or "") for t in b.column(at).to_pylist()]).reshape(len(b), N_FEATURES)
             yield b.append_column("score", pa.array(model.value.scores(x)))
 
-    return base.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in base.dtypes) + ", score double")
+    return base.mapInArrow(lean(run), ", ".join(f"`{c}` {t}" for c, t in base.dtypes) + ", score double")

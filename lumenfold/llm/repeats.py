@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lumenfold.llm.common import maybe_in, mix, prefix_hash, ship, spans, stored, utf8, window_hash
+from lumenfold.llm.common import lean, maybe_in, mix, prefix_hash, ship, spans, stored, utf8, window_hash
 
 HOT, CHUNK = 8_000, 1 << 20
 
@@ -68,7 +68,7 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
                 k1, k2 = (b.column(c).slice(i, j - i).to_numpy()[row] for c in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k1), pa.array(k2), pa.array((lo - base).astype(np.int64)), pa.array((hi - base).astype(np.int64))], ["h", "k1", "k2", "lo", "hi"])
 
-    return docs.where(F.octet_length("text") >= length).select("k1", "k2", "text").mapInArrow(run, "h long, k1 long, k2 long, lo long, hi long")
+    return docs.where(F.octet_length("text") >= length).select("k1", "k2", "text").mapInArrow(lean(run), "h long, k1 long, k2 long, lo long, hi long")
 
 
 def meetings(rows: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def meetings(rows: DataFrame) -> DataFrame:
         if held and held[1]:
             yield held[0]
 
-    return rows.repartition("h").sortWithinPartitions("h", "k1", "k2", "lo", "hi").mapInArrow(run, "h long, k1 long, k2 long, lo long, hi long")
+    return rows.repartition("h").sortWithinPartitions("h", "k1", "k2", "lo", "hi").mapInArrow(lean(run), "h long, k1 long, k2 long, lo long, hi long")
 
 
 def prefix_intervals(lcp: list[int], left: list[int], least: int) -> Iterator[tuple[int, int, int, bool]]:
@@ -213,7 +213,7 @@ def segments(texts: DataFrame, met: DataFrame, length: int) -> DataFrame:
                     part = rows[s : s + 4000]
                     yield pa.RecordBatch.from_arrays([pa.array([r["h"] for r in part], pa.int64()), pa.array([k1] * len(part), pa.int64()), pa.array([k2] * len(part), pa.int64()), pa.array([r["lo"] for r in part], pa.int64()), pa.array([raw[r["lo"] : r["hi"] + length] for r in part], pa.binary())], ["h", "k1", "k2", "lo", "bytes"])
 
-    return texts.join(listed, ["k1", "k2"]).select("k1", "k2", "text", "anchors").mapInArrow(run, "h long, k1 long, k2 long, lo long, bytes binary")
+    return texts.join(listed, ["k1", "k2"]).select("k1", "k2", "text", "anchors").mapInArrow(lean(run), "h long, k1 long, k2 long, lo long, bytes binary")
 
 
 def scanned(rows: DataFrame, length: int) -> DataFrame:
@@ -239,7 +239,7 @@ def scanned(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield found()
 
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, PLACE)
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(lean(run), PLACE)
 
 
 def counted(rows: DataFrame, length: int) -> DataFrame:
@@ -255,7 +255,7 @@ def counted(rows: DataFrame, length: int) -> DataFrame:
                 same = [pa.array(np.full(len(at), k)) for k in (k1, k2)]
                 yield pa.RecordBatch.from_arrays([pa.array(f1.view(np.int64)), pa.array(mix(f2).view(np.int64)), *same, pa.array(at + lo)], ["f1", "f2", "k1", "k2", "start"])
 
-    prints = rows.mapInArrow(run, "f1 long, f2 long, k1 long, k2 long, start long")
+    prints = rows.mapInArrow(lean(run), "f1 long, f2 long, k1 long, k2 long, start long")
     again = prints.groupBy("f1", "f2").agg(F.count("*").alias("n")).where("n > 1").select("f1", "f2")
     return prints.join(again, ["f1", "f2"]).select("k1", "k2", "start", (F.col("start") + length).alias("stop"))
 
@@ -323,7 +323,7 @@ def removed(docs: DataFrame, length: int = 400, text_col: str = "text") -> DataF
 
     schema = ", ".join(f"`{c}` {t}" for c, t in base.select(*[f"`{c}`" for c in names]).dtypes)
     maybe = base.where(there("k1")).join(found, ["k1", "k2"], "left").select(*[f"`{c}`" for c in names], "places")
-    out = maybe.mapInArrow(run, f"{schema}, kept binary, cut array<struct<start:bigint,stop:bigint>>")
+    out = maybe.mapInArrow(lean(run), f"{schema}, kept binary, cut array<struct<start:bigint,stop:bigint>>")
     rest = base.where(~there("k1")).select(*[f"`{c}`" for c in names], F.coalesce(F.encode(text_col, "UTF-8"), F.lit(b"")).alias("kept"), F.expr("cast(array() AS array<struct<start:bigint,stop:bigint>>)").alias("cut"))
     return out.union(rest)
 

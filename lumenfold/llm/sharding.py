@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lumenfold.llm.common import ship
+from lumenfold.llm.common import lean, ship
 
 OWN = ("shard", "slot", "position")
 
@@ -80,7 +80,7 @@ def shuffle(df: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "doc_i
             yield from whole(current, held)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in base.dtypes)
-    return scattered.mapInArrow(run, f"{schema}, shard int, slot long, position long")
+    return scattered.mapInArrow(lean(run), f"{schema}, shard int, slot long, position long")
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:

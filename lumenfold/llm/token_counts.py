@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lumenfold.llm.common import broadcast_file, ship
+from lumenfold.llm.common import broadcast_file, lean, ship
 
 MARK = "▁"
 #: A run of spaces with what follows, or a line break with what follows; the text has a space put in front first.
@@ -111,7 +111,7 @@ def frequent(docs: DataFrame, text_col: str = "text") -> list[str]:
         top = [(k, n) for k, n in seen.most_common(HANDED_ON) if n > 1 and len(k) <= 64]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
 
-    top = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    top = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     return [r.piece for r in top.orderBy(F.desc("n"), "piece").limit(FREQUENT).select("piece").collect()]
 
 
@@ -134,4 +134,4 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(own.counts(texts), pa.int64())], ["id", "n_bytes", "n_tokens"])
 
-    return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, n_bytes long, n_tokens long")
+    return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(lean(run), f"id {dict(docs.dtypes)[id_col]}, n_bytes long, n_tokens long")
