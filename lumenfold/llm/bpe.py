@@ -29,7 +29,7 @@ from lumenfold.llm.common import broadcast_file, lean, ship
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Entries a memo holds before it starts again; it bounds a worker's memory.
-MEMO = 300_000
+MEMO = 800_000
 
 
 class MinimalPerfectHash:
