@@ -128,6 +128,17 @@ def test_search_is_exact(spark, docs, texts, empty, monkeypatch):
     assert search.search(search.build_index(empty), asked, 3).count() == 0
 
 
+def test_search_asks_every_twentieth_document(spark, sf, monkeypatch):
+    """op2's queries are the whole texts of the documents whose id is divisible by 20; blocks of queries change nothing."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    asked = [(i, t) for i, t in rows if i % 20 == 0]
+    want = [(*w[:3], pytest.approx(float(w[3]), abs=2e-6)) for w in sorted(bm25(rows, asked, 10))]
+    assert {w[0] for w in want} == {i for i, t in asked if search.terms(t)}
+    for limit in (1 << 20, 300):
+        monkeypatch.setattr(search, "QUERY_TERMS", limit)
+        assert sorted(map(tuple, queries.op2_bmw_search(spark, sf).collect())) == want
+
+
 def test_chat_tree(spark):
     draw = random.Random(3)
     rows = []
