@@ -534,6 +534,15 @@ def u03_token_intersection(t):
     return asked.join(few, F.expr("item_id % 10 = doc_id % 10")).select("item_id", "doc_id", F.size(F.array_intersect("a", "b")).cast("long").alias("shared"))
 
 
+@query("""SELECT a.item_id, b.doc_id, CAST(len(list_intersect(list_distinct(string_split(lower(a.text), ' ')), list_distinct(string_split(lower(b.text), ' ')))) AS BIGINT) AS shared FROM benchmark a CROSS JOIN documents b""")
+def u03_token_intersection_whole(t):
+    """All items against all documents: pairs with a common word by a join of distinct words, the others have 0."""
+    words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
+    shared = words(t.benchmark, "item_id").join(words(t.documents, "doc_id"), "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    pairs = t.documents.select("doc_id", F.col("text").isNull().alias("b")).crossJoin(t.benchmark.select("item_id", F.col("text").isNull().alias("a")))
+    return pairs.join(shared, ["item_id", "doc_id"], "left").select("item_id", "doc_id", F.when(~F.col("a") & ~F.col("b"), F.coalesce("shared", F.lit(0).cast("long"))).alias("shared"))
+
+
 @query("SELECT d.doc_id FROM (SELECT doc_id, n_chars % 5 AS version FROM documents) d LEFT JOIN (SELECT doc_id, n_chars % 3 AS version FROM documents WHERE doc_id % 3 > 0) g USING (doc_id) WHERE g.version IS NULL OR g.version < d.version")
 def u04_version_difference(t):
     from lumenfold.operators.graph import to_rebuild

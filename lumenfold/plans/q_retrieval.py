@@ -102,6 +102,19 @@ def r13_rerank_overlap(t):
     return t.documents.where("lang = 'es'").crossJoin(F.broadcast(asked)).select("doc_id", "item_id", F.round(R.overlap(F.col("q"), F.col("text")), 6).alias("score"))
 
 
+@query(f"SELECT d.doc_id, b.item_id, round(len(list_intersect({SETS_SQL.format('b.text')}, {SETS_SQL.format('d.text')})) / len({SETS_SQL.format('b.text')}), 6) AS score FROM benchmark b CROSS JOIN documents d")
+def r13_rerank_overlap_whole(t):
+    """All pairs; the words in common by a join of distinct words."""
+    from lumenfold.functions.text import words
+
+    asked = t.benchmark.select("item_id", F.array_distinct(words(F.col("text"))).alias("q"))
+    shown = t.documents.select("doc_id", F.array_distinct(words(F.col("text"))).alias("d"))
+    shared = asked.select("item_id", F.explode("q").alias("w")).join(shown.select("doc_id", F.explode("d").alias("w")), "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    pairs = t.documents.select("doc_id", F.col("text").isNull().alias("lost")).crossJoin(asked.select("item_id", F.size("q").alias("n")))
+    score = F.when(F.col("n") <= 0, 0.0).when(~F.col("lost"), F.coalesce("shared", F.lit(0)) / F.col("n"))
+    return pairs.join(shared, ["doc_id", "item_id"], "left").select("doc_id", "item_id", F.round(score, 6).alias("score"))
+
+
 @query("SELECT o_orderkey, 'channel: ' || o_orderpriority || chr(10) || 'year: ' || year(o_orderdate) || CASE WHEN c IS NULL THEN '' ELSE chr(10) || 'cast: ' || c END AS body FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(l_suppkey || CASE WHEN l_linenumber % 2 = 0 THEN ' (' || l_returnflag || ')' ELSE '' END, ', ' ORDER BY l_linenumber, l_suppkey || CASE WHEN l_linenumber % 2 = 0 THEN ' (' || l_returnflag || ')' ELSE '' END) AS c FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1) ON l_orderkey = o_orderkey")
 def r17_render(t):
     from lumenfold.operators.documents import rendered

@@ -1,5 +1,9 @@
 """Queries over whole tables: every key of the tables is in the results."""
 
+import re
+import unicodedata
+from collections import Counter, defaultdict
+
 import pytest
 
 from lumenfold.plans import registry
@@ -16,3 +20,12 @@ def test_every_title_is_blocked(spark, sf):
     titles = {r.p_name.lower() for r in part} | {r.p_type.lower() for r in part}
     want = {(m.p_partkey, c.p_partkey) for m in part if m.p_partkey % 5 for c in part if c.p_size != 7 and m.p_name.lower() in (c.p_name.lower(), c.p_type.lower())}
     assert titles and {tuple(r) for r in registry.QUERIES["e03_blocking_whole"](spark, sf).collect()} == want
+
+
+def test_words_are_compared_in_all_pairs(spark, sf):
+    docs, items = (spark.read.parquet(f"{sf}/{n}.parquet").collect() for n in ("documents", "benchmark"))
+    want = {(b.item_id, d.doc_id): len(set(b.text.lower().split(" ")) & set(d.text.lower().split(" "))) for b in items for d in docs if d.text is not None}
+    got = {(r.item_id, r.doc_id): r.shared for r in registry.QUERIES["u03_token_intersection_whole"](spark, sf).collect()}
+    assert {k: v for k, v in got.items() if v is not None} == want
+    scored = registry.QUERIES["r13_rerank_overlap_whole"](spark, sf).select("doc_id", "item_id").collect()
+    assert len(scored) == len(set(scored)) == len(docs) * len(items)
