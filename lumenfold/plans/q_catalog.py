@@ -592,11 +592,21 @@ def c01_clean(t):
     return t.documents.where("lang = 'en'").select("doc_id", text.clean(F.substring("text", 1, 300)).alias("cleaned"))
 
 
+@query()
+def c01_clean_whole(t):
+    return t.documents.select("doc_id", text.clean(F.col("text")).alias("cleaned"))
+
+
 @query("SELECT doc_id, regexp_replace(lower(source || ' ' || substr(text, 1, 200)), '[^0-9a-z가-힣ㄱ-ㆎ]+', '', 'g') AS k FROM documents")
 def c02_normalize_key(t):
     return t.documents.select("doc_id", text.normalize_key(F.concat_ws(" ", "source", F.substring("text", 1, 200)), folded=True).alias("k"))
 
 
+@query()
+def c02_normalize_key_whole(t):
+    return t.documents.select("doc_id", text.normalize_key(F.concat_ws(" ", "source", "text")).alias("k"))
+
+
 @query("SELECT p_partkey, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM (SELECT p_partkey, trim(regexp_replace(lower(p_name || ' (' || p_brand || ')'), '[^0-9a-z가-힣]+', '-', 'g'), '-') AS s FROM part)")
 def c03_slugify(t):
     return t.part.select("p_partkey", text.slugify(F.concat(F.col("p_name"), F.lit(" ("), F.col("p_brand"), F.lit(")"))).alias("slug"))

@@ -29,3 +29,12 @@ def test_words_are_compared_in_all_pairs(spark, sf):
     assert {k: v for k, v in got.items() if v is not None} == want
     scored = registry.QUERIES["r13_rerank_overlap_whole"](spark, sf).select("doc_id", "item_id").collect()
     assert len(scored) == len(set(scored)) == len(docs) * len(items)
+
+
+def test_whole_texts_are_cleaned(spark, sf):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r.cleaned for r in registry.QUERIES["c01_clean_whole"](spark, sf).collect()}
+    assert got == {i: " ".join(unicodedata.normalize("NFKC", r.text or "").split()) or None for i, r in docs.items()}
+    keys = {r.doc_id: r.k for r in registry.QUERIES["c02_normalize_key_whole"](spark, sf).collect()}
+    fold = lambda r: " ".join(x for x in (r.source, r.text) if x is not None)
+    assert keys == {i: re.sub("[^0-9a-z가-힣ㄱ-ㆎ]+", "", unicodedata.normalize("NFKC", fold(r)).casefold()) for i, r in docs.items()}
