@@ -184,6 +184,15 @@ def j06_null_safe_equi(t):
     return a.join(b, F.col("ka").eqNullSafe(F.col("kb")) & (F.col("la") == F.col("lb"))).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
+@query("""SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(docs) AS BIGINT) AS docs FROM (SELECT k, lang, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, nullif(source, 'src1') AS k, lang FROM documents) GROUP BY ALL) a
+JOIN (SELECT DISTINCT nullif(source, 'src1') AS k, lang FROM documents) b ON a.k IS NOT DISTINCT FROM b.k AND a.lang = b.lang""")
+def j06_null_safe_equi_whole(t):
+    k = F.nullif(F.col("source"), F.lit("src1"))
+    a = t.documents.groupBy(k.alias("ka"), F.col("lang").alias("la")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    b = t.documents.select(k.alias("kb"), F.col("lang").alias("lb")).distinct()
+    return a.join(b, F.col("ka").eqNullSafe(F.col("kb")) & (F.col("la") == F.col("lb"))).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
 @query("SELECT doc_id, n_chars - floor_chars AS above FROM documents, (SELECT CAST(avg(n_chars) AS BIGINT) AS floor_chars FROM documents) WHERE n_chars > floor_chars")
 def j07_one_row_cross(t):
     q = t.documents.agg(F.round(F.avg("n_chars")).cast("long").alias("floor_chars"))
@@ -408,6 +417,12 @@ def a23_own_list_by_year(t):
     return t.orders.where("o_custkey % 10 = 1").groupBy(F.coalesce(y, F.lit("unknown")).alias("year")).agg(F.count("*").alias("n")).orderBy(F.desc("year"))
 
 
+@query("SELECT o_custkey AS owner, coalesce(y, 'unknown') AS year, count(*) AS n FROM (SELECT o_custkey, CASE WHEN o_orderkey % 11 > 0 THEN CAST(year(o_orderdate) AS VARCHAR) END AS y FROM orders) GROUP BY 1, 2")
+def a23_own_list_by_year_whole(t):
+    y = F.when(F.col("o_orderkey") % 11 > 0, F.year("o_orderdate").cast("string"))
+    return t.orders.groupBy(F.col("o_custkey").alias("owner"), F.coalesce(y, F.lit("unknown")).alias("year")).agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT CAST(sum(n) AS BIGINT) AS total, min(y) AS first_year, max(y) AS last_year, (SELECT count(DISTINCT channel) FROM {WORKS_SQL} WHERE status = 'PUBLISHED') AS channels FROM (SELECT CAST(year(start_date) AS BIGINT) AS y, count(*) AS n FROM {WORKS_SQL} WHERE status = 'PUBLISHED' GROUP BY 1)")
 def a24_archive_header(t):
     shown = R.published(works(t))

@@ -38,3 +38,22 @@ def test_whole_texts_are_cleaned(spark, sf):
     keys = {r.doc_id: r.k for r in registry.QUERIES["c02_normalize_key_whole"](spark, sf).collect()}
     fold = lambda r: " ".join(x for x in (r.source, r.text) if x is not None)
     assert keys == {i: re.sub("[^0-9a-z가-힣ㄱ-ㆎ]+", "", unicodedata.normalize("NFKC", fold(r)).casefold()) for i, r in docs.items()}
+
+
+def test_communities_of_the_whole_graph(spark, sf):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_returnflag = 'A'").select("l_orderkey", "l_suppkey").distinct().collect()
+    near = defaultdict(set)
+    for work, person in lines:
+        near[work + (1 << 40)].add(person)
+        near[person].add(work + (1 << 40))
+    label = {v: v for v in near}
+    for _ in range(3):
+        label = {v: min(Counter(label[x] for x in near[v]).items(), key=lambda c: (-c[1], c[0]))[0] for v in near}
+    assert {r.id: r.label for r in registry.QUERIES["g11_communities"](spark, sf).collect()} == label
+
+
+def test_owners_and_sources_are_whole(spark, sf):
+    orders, docs = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("orders", "documents"))
+    got = registry.QUERIES["a23_own_list_by_year_whole"](spark, sf).collect()
+    assert sum(r.n for r in got) == orders.count() and {r.owner for r in got} == {r[0] for r in orders.select("o_custkey").collect()}
+    assert registry.QUERIES["j06_null_safe_equi_whole"](spark, sf).first().n == docs.where("lang IS NOT NULL").count()
