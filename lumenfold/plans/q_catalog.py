@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lumenfold.functions import text
 from lumenfold.operators import relational as R
-from lumenfold.plans.registry import Tables, long, query
+from lumenfold.plans.registry import SQL, Tables, long, query
 
 STATUS_SQL = "CASE o_orderstatus WHEN 'F' THEN 'PUBLISHED' WHEN 'O' THEN 'HIDDEN' ELSE 'MERGED' END"
 WORKS_SQL = f"(SELECT o_orderkey AS id, o_custkey AS cust, CAST(o_orderdate AS DATE) AS start_date, {STATUS_SQL} AS status, o_orderpriority AS channel, o_totalprice AS popularity FROM orders)"
@@ -222,6 +222,12 @@ def j10_self_join(t):
     return mine.join(acts.withColumnRenamed("l_suppkey", "other"), "l_orderkey").where("person <> other").groupBy("person", "other").agg(F.count("*").alias("works"))
 
 
+@query(SQL["j10_self_join"].replace(" WHERE a.l_suppkey <= 10", ""))
+def j10_self_join_whole(t):
+    acts = t.lineitem.where("l_returnflag = 'A'").select("l_orderkey", F.col("l_suppkey").alias("person")).distinct()
+    return acts.join(acts.withColumnRenamed("person", "other"), "l_orderkey").where("person <> other").groupBy("person", "other").agg(F.count("*").alias("works"))
+
+
 @query("""SELECT w2.l_partkey AS related, count(DISTINCT o2.o_custkey) AS artists FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_partkey <= 3) w1 JOIN orders o1 ON o1.o_orderkey = w1.l_orderkey
 JOIN orders o2 ON o2.o_custkey = o1.o_custkey JOIN (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) w2 ON w2.l_orderkey = o2.o_orderkey WHERE w2.l_partkey > 3 GROUP BY 1""")
 def j11_four_hop_path(t):
@@ -232,6 +238,14 @@ def j11_four_hop_path(t):
     return theirs.join(on_work, F.col("o_orderkey") == F.col("l_orderkey")).where("l_partkey > 3").groupBy(F.col("l_partkey").alias("related")).agg(F.countDistinct("o_custkey").alias("artists"))
 
 
+@query("""WITH own AS (SELECT DISTINCT l_partkey, o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT a.l_partkey AS work, b.l_partkey AS related, count(*) AS artists FROM own a JOIN own b ON a.o_custkey = b.o_custkey AND a.l_partkey <> b.l_partkey GROUP BY 1, 2""")
+def j11_four_hop_path_whole(t):
+    """From every work to every other one, with the number of artists on the way."""
+    own = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_partkey").alias("work"), "o_custkey").distinct()
+    return own.join(own.withColumnRenamed("work", "related"), "o_custkey").where("work <> related").groupBy("work", "related").agg(F.count("*").alias("artists"))
+
+
 @query(f"""SELECT w.id, CASE WHEN m.k IS NOT NULL AND w.status <> 'MERGED' THEN 'HIDDEN' ELSE w.status END AS status FROM {WORKS_SQL} w
 LEFT JOIN (SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'MACHINERY') m ON m.k = w.cust""")
 def j12_update_from(t):
@@ -349,6 +363,13 @@ def a14_distinct_maps(t):
     return rows.select("l_suppkey", F.size("via").cast("long").alias("strength"), F.array_join(F.array_sort(F.transform("via", lambda v: F.concat(v["l_partkey"].cast("string"), v["l_returnflag"]))), ",").alias("via"))
 
 
+@query(SQL["a14_distinct_maps"].replace(" WHERE l_suppkey <= 20", ""))
+def a14_distinct_maps_whole(t):
+    via = F.collect_set(F.struct("l_partkey", "l_returnflag"))
+    rows = t.lineitem.groupBy("l_suppkey").agg(via.alias("via"))
+    return rows.select("l_suppkey", F.size("via").cast("long").alias("strength"), F.array_join(F.array_sort(F.transform("via", lambda v: F.concat(v["l_partkey"].cast("string"), v["l_returnflag"]))), ",").alias("via"))
+
+
 @query("SELECT count(*) AS edges, count(DISTINCT l_partkey) AS works, count(DISTINCT l_suppkey) AS people, (SELECT max(n) FROM (SELECT count(*) AS n FROM (SELECT DISTINCT l_partkey, l_suppkey, l_returnflag FROM lineitem) GROUP BY l_suppkey)) AS max_degree FROM (SELECT DISTINCT l_partkey, l_suppkey, l_returnflag FROM lineitem)")
 def a15_graph_counts(t):
     edges = t.lineitem.select("l_partkey", "l_suppkey", "l_returnflag").distinct()
@@ -400,8 +421,17 @@ UNION ALL SELECT 'actor_drama', CAST(l_suppkey AS VARCHAR), '', count(DISTINCT l
 UNION ALL SELECT 'user_year_watch', CAST(o_custkey AS VARCHAR), CAST(year(o_orderdate) AS VARCHAR), count(*) FROM orders GROUP BY 1, 2, 3
 UNION ALL SELECT 'user_actor_watch', CAST(o_custkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), count(DISTINCT o_orderkey) FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_suppkey <= 5 GROUP BY 1, 2, 3""")
 def a22_marts(t):
+    return _marts(t, t.lineitem.where("l_suppkey <= 5"))
+
+
+@query(SQL["a22_marts"].replace(" WHERE l_suppkey <= 5", ""))
+def a22_marts_whole(t):
+    return _marts(t, t.lineitem)
+
+
+def _marts(t, credits):
     year = F.year("o_orderdate").cast("string")
-    joined = t.orders.join(t.lineitem.where("l_suppkey <= 5"), F.col("l_orderkey") == F.col("o_orderkey"))
+    joined = t.orders.join(credits, F.col("l_orderkey") == F.col("o_orderkey"))
 
     def mart(name, df, k1, k2, n):
         return df.groupBy(F.lit(name).alias("mart"), k1.alias("k1"), k2.alias("k2")).agg(n.alias("n"))
@@ -518,6 +548,39 @@ def t09_missing_first(t):
     return R.ranked(rows, 60, F.asc("key"), F.asc("id")).select("id", "rank")
 
 
+def _all_nulled(t):
+    return works(t).select("id", F.when(F.col("id") % 5 > 0, F.col("start_date")).alias("start_date"))
+
+
+@query(SQL["t03_desc_nulls_last"].replace(" WHERE cust <= 40", "").replace(" ORDER BY rank LIMIT 400", ""))
+def t03_desc_nulls_last_whole(t):
+    return _placed(t, F.desc_nulls_last("start_date"), F.desc("id"))
+
+
+@query(SQL["t04_asc_nulls_last"].replace(" WHERE cust <= 40", "").replace(" ORDER BY rank LIMIT 400", ""))
+def t04_asc_nulls_last_whole(t):
+    return _placed(t, F.asc_nulls_last("start_date"), F.asc("id"))
+
+
+@query(SQL["t05_desc_nulls_first"].replace(" WHERE cust <= 40", "").replace(" ORDER BY rank LIMIT 30", ""))
+def t05_desc_nulls_first_whole(t):
+    return _placed(t, F.desc_nulls_first("start_date"), F.asc("id"))
+
+
+@query(SQL["t09_missing_first"].replace(" WHERE cust <= 40", "").replace(" ORDER BY rank LIMIT 60", ""))
+def t09_missing_first_whole(t):
+    return _placed(t, F.asc_nulls_first("start_date"), F.asc("id"))
+
+
+def _placed(t, first, second):
+    """(id, rank) of all works: numbered within each date, after the works of the dates before it, so no task sorts all rows."""
+    rows = _all_nulled(t)
+    dates = rows.groupBy("start_date").agg(F.count("*").alias("n"))
+    before = dates.withColumn("before", F.sum("n").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).withColumnRenamed("start_date", "d")
+    own = F.row_number().over(Window.partitionBy("start_date").orderBy(second))
+    return rows.withColumn("own", own).join(before, F.col("start_date").eqNullSafe(F.col("d"))).select("id", (F.col("before") + F.col("own")).alias("rank"))
+
+
 def clamp(n: int | None, least: int = 1, most: int = 50, default: int = 20) -> int:
     """A limit within its bounds; none, or nought, is the default."""
     return max(least, min(n or default, most))

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lumenfold.operators import merge as M
-from lumenfold.plans.registry import long, query
+from lumenfold.plans.registry import SQL, long, query
 
 NATION_SQL = "SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation"
 
@@ -64,6 +64,12 @@ def m06_newest_wins(t):
     return M.newest_wins(states(t), 4, 3).select("user_id", "item", "updated_at")
 
 
+@query(SQL["m06_newest_wins"].replace(" WHERE user_id IN (3, 4, 5)", ""))
+def m06_newest_wins_whole(t):
+    every = t.events.groupBy("user_id", F.col("event_type").alias("item")).agg(F.max("event_id").alias("updated_at"))
+    return M.newest_wins(every, 4, 3).select("user_id", "item", "updated_at")
+
+
 @query("SELECT * FROM (SELECT DISTINCT l_orderkey AS work, l_returnflag AS genre FROM lineitem) WHERE work % 5 <> 0 UNION ALL SELECT DISTINCT l_orderkey, 'X' FROM lineitem WHERE l_orderkey % 5 = 0")
 def m07_replace_children(t):
     own = t.lineitem.select(F.col("l_orderkey").alias("work"), F.col("l_returnflag").alias("genre")).distinct()

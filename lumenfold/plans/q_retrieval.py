@@ -10,7 +10,7 @@ from lumenfold.operators import retrieval as R
 from lumenfold.operators.graph import ordered_union
 from lumenfold.operators.relational import full_outer_ranks, ranked, shared_by_all
 from lumenfold.plans.q_catalog import COSINE_SQL, LATENCY_SQL, latency
-from lumenfold.plans.registry import query
+from lumenfold.plans.registry import SQL, query
 
 WORDS = "the and with"
 DOCS_SQL = "(SELECT doc_id, source AS title, lang AS channel, 1990 + n_chars % 40 AS year, text AS body FROM documents)"
@@ -212,8 +212,17 @@ UNION ALL SELECT 'pair', count(*) FROM (SELECT a.p, b.p FROM (SELECT DISTINCT l_
  WHERE a.p IN (SELECT l_suppkey FROM lineitem WHERE l_partkey < 20 GROUP BY 1 HAVING count(DISTINCT l_partkey) >= 2) AND b.p IN (SELECT l_suppkey FROM lineitem WHERE l_partkey < 20 GROUP BY 1 HAVING count(DISTINCT l_partkey) >= 2) GROUP BY 1, 2 HAVING count(*) = 1)
 UNION ALL SELECT 'cell', count(*) FROM (SELECT p_brand, p_type, p_size FROM part GROUP BY 1, 2, 3 HAVING count(*) BETWEEN 1 AND 4)""")
 def v05_golden_pools(t):
+    return _pools(t, t.lineitem.where("l_partkey < 20"))
+
+
+@query(SQL["v05_golden_pools"].replace(" WHERE l_partkey < 20", ""))
+def v05_golden_pools_whole(t):
+    return _pools(t, t.lineitem)
+
+
+def _pools(t, lines):
     titles = t.part.select(F.concat("p_name", "p_brand").alias("title"), F.col("p_partkey").alias("id"))
-    credits = t.lineitem.where("l_partkey < 20").select(F.col("l_suppkey").alias("person"), F.col("l_partkey").alias("work"))
+    credits = lines.select(F.col("l_suppkey").alias("person"), F.col("l_partkey").alias("work"))
     pools = {"title": V.unique_titles(titles), "person": V.people_with_few(credits), "pair": V.pairs_sharing_one(credits), "cell": V.small_cells(t.part, ["p_brand", "p_type", "p_size"])}
     out = None
     for name, rows in pools.items():
