@@ -7,6 +7,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -100,13 +101,18 @@ def op8_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("string")
+    def text(kept: pd.Series) -> pd.Series:
+        return kept.map(repeats.text_of)
+
     cut = repeats.removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    left = F.when(F.size("cut") > 0, text("kept")).otherwise(F.coalesce("text", F.lit("")))
     gone = F.aggregate("cut", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
-    return cut.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), gone.alias("n_removed"), F.size("cut").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return cut.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), gone.alias("n_removed"), F.size("cut").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), left.alias("text"))
 
 
 def op10_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shuffled = sharding.shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    shuffled = sharding.write_shards(sharding.shuffle(table(spark, sf_dir, "documents").select("doc_id", "text")))
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return shuffled.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

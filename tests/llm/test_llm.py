@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,7 +267,8 @@ def test_jaccard(spark, docs, texts, empty):
     assert got == sorted([(None, 1, None), (None, 0, None), (1, 1, 1), (1, 1, 1), (2, 1, 1), (2, 1, 1)], key=str)
 
 
-def test_jaccard_of_large_groups(spark, monkeypatch):
+@pytest.mark.parametrize("lot", [2048, 5])
+def test_jaccard_of_large_groups(spark, monkeypatch, lot):
     """Families of copies, edited until they fall apart; blocks and hot elements at every size."""
     draw = random.Random(4)
     word = lambda: "".join(draw.choice("abcdef") for _ in range(4))
@@ -279,6 +281,7 @@ def test_jaccard_of_large_groups(spark, monkeypatch):
     draw.shuffle(texts)
     monkeypatch.setattr(jaccard, "HOT", 8)
     monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "LOT", lot)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     want = similar_components(texts)
     assert len({c for _, _, c in want}) > 20
@@ -381,6 +384,45 @@ def test_repeats(spark, docs, texts, monkeypatch, hot):
     assert repeats.removed(frame.limit(0), 100).count() == 0
 
 
+@pytest.mark.parametrize("hot", [8000, 40, 2])
+def test_groups_list_all_occurrences(spark, monkeypatch, hot):
+    draw = random.Random(15)
+    text = lambda n: "".join(draw.choice("abé ") for _ in range(n))
+    line, passages = text(90), [text(n) for n in (130, 300, 700)]
+    texts = [text(draw.randint(0, 90)) + line * draw.randint(1, 4) + text(90) + draw.choice(passages) for _ in range(60)] + [None, "", "x" * 99]
+    monkeypatch.setattr(repeats, "HOT", hot)
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    keys = {(r.k1, r.k2): (r.text or "").encode() for r in repeats.keyed(frame, "text").collect()}
+    found: dict[bytes, set] = {}
+    cover = {k: bytearray(len(raw)) for k, raw in keys.items()}
+    for r in repeats.groups(frame, 100).collect():
+        k = (r.k1, r.k2)
+        assert r.size >= 100
+        found.setdefault(keys[k][r.start : r.start + r.size], set()).add((k, r.start))
+        cover[k][r.start : r.start + r.size] = b"\1" * r.size
+    for string, places in found.items():
+        want = {(k, m.start()) for k, raw in keys.items() for m in re.finditer(b"(?=" + re.escape(string) + b")", raw)}
+        assert places == want and len(want) > 1
+    distinct = list(keys.values())
+    assert [sum(c) for c in cover.values()] == [n for n, _, _ in covered([raw.decode() for raw in distinct], 100)]
+
+
+def test_equal_segments_are_settled_in_their_task(spark):
+    draw = random.Random(16)
+    text = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    line, passage = text(60), text(500)
+    texts = [text(150) + line * 12 + text(150) + passage + text(150) for _ in range(80)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    rows = repeats.anchors(repeats.keyed(frame, "text"), 100)
+    counts = {r.settled: r["count"] for r in rows.groupBy("settled").count().collect()}
+    assert counts[True] > 80 * 8
+    heaviest = rows.where("NOT settled").groupBy("h").count().agg(F.max("count")).first()[0]
+    assert heaviest <= 2 * 80 + 8  # the line's two ends in each text, and twice a task what lies between
+    got = {r.doc_id: r for r in repeats.removed(frame, 100).collect()}
+    for i, want in enumerate(covered(texts, 100)):
+        assert (sum(c.stop - c.start for c in got[i].cut), len(got[i].cut), repeats.digest(bytes(got[i].kept))) == want
+
+
 def test_maximal_repeat_groups():
     groups, _ = repeats.maximal_repeats([b"xabcdefgy", b"zabcdefgw", b"qcdefgz", b"bcdefgy"], 4)
     found = {(n, tuple(sorted(o))) for n, o in groups}
@@ -389,6 +431,13 @@ def test_maximal_repeat_groups():
     assert not any(n == 6 and (1, 2) in o for n, o in found if len(o) == 2)
 
 
+def test_shards_are_written_in_order(spark, docs, tmp_path):
+    sharding.write_shards(sharding.shuffle(docs, 3, bucket_bytes=3000), str(tmp_path / "shards"))
+    for s in range(3):
+        files = [pq.ParquetFile(f).read(["slot"])["slot"].to_pylist() for f in (tmp_path / "shards" / f"shard={s}").glob("*.parquet")]
+        assert len(files) > 3 and [x for f in sorted(files) for x in f] == list(range(sum(map(len, files))))
+
+
 def test_shuffle(spark, docs, texts, empty):
     for size in (1 << 25, 3000):
         rows = sharding.shuffle(docs, 16, bucket_bytes=size).collect()
@@ -403,5 +452,13 @@ def test_shuffle(spark, docs, texts, empty):
     assert sharding.shuffle(empty).count() == 0
     odd = spark.createDataFrame([(None, None), (None, None), (1, "a"), (1, "a")], "doc_id long, text string")
     assert sharding.shuffle(odd, 2).count() == 4
+    hot = spark.createDataFrame([(None, None)] * 3000 + [(5, "x")] * 3000 + [(5, f"t{i}") for i in range(3000)], "doc_id long, bucket string").withColumn("text", F.col("bucket")).withColumn("key", F.lit(1)).repartition(3)
+    dealt = sharding.shuffle(hot, 4, bucket_bytes=20_000)
+    assert sorted(dealt.columns) == sorted([*hot.columns, "shard", "slot", "position"])
+    parts = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(parts) > 20 and max(parts) < 3 * 9000 / len(parts)  # no bucket has one id's rows, or copies of one row
+    rows = sharding.write_shards(dealt).collect()
+    assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in hot.collect())
+    assert sorted((r.shard, r.slot) for r in rows) == [(s, i) for s in range(4) for i in range(2250)]
     counts = Counter(tuple(sharding.fisher_yates(3, s, 0)) for s in range(600))
     assert len(counts) == 6 and min(counts.values()) > 60
