@@ -56,21 +56,41 @@ def lean(run: Callable) -> Callable:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors share: spark.checkpoint.dir. Only a session of one machine may do without, as in tests."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = getattr(spark.sparkContext, "_lumenfold_dir", None)
+        if not sc._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        found = getattr(sc, "_lumenfold_dir", None)
         if not found:
-            found = spark.sparkContext._lumenfold_dir = tempfile.mkdtemp(prefix="lumenfold-")
+            found = sc._lumenfold_dir = tempfile.mkdtemp(prefix="lumenfold-")
     return found.rstrip("/")
 
 
+def _files(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
+    """Write a table to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation. It
+    is deleted when the driver's JVM ends, or earlier by ``release``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenfold/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, target = _files(spark, path)
+    files.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lumenfold_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing still to be computed reads."""
+    for t in tables:
+        files, target = _files(t.sparkSession, t._lumenfold_path)
+        files.delete(target, True)
 
 
 def broadcast_file(spark: SparkSession, path: str):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lumenfold.llm.common import stored
+from lumenfold.llm.common import release, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,15 +15,18 @@ def components(edges: DataFrame) -> DataFrame:
     Loops and repeated edges are harmless; rows with a null end are ignored; no edges give no rows.
     """
     flat = edges.where("a IS NOT NULL AND b IS NOT NULL")
-    labels = flat.select("a").union(flat.select("b")).distinct().select(F.col("a").alias("id"), F.col("a").alias("component"))
+    labels = stored(flat.select("a").union(flat.select("b")).distinct().select(F.col("a").alias("id"), F.col("a").alias("component")), "labels")
     left = stored(flat.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     while not left.isEmpty():
         under = left.select(F.col("a").alias("to"), F.col("b").alias("root")).union(left.select(F.col("b").alias("to"), F.col("a").alias("root")))
-        parent = stored(under.groupBy("root").agg(F.least(F.min("to"), F.col("root")).alias("parent")), "parents")
-        above = parent.select(F.col("root").alias("parent"), F.col("parent").alias("grand"))
-        parent = stored(parent.join(above, "parent", "left").select("root", F.coalesce("grand", "parent").alias("parent")), "parents")
-        labels = stored(labels.join(parent, labels.component == parent.root, "left").select("id", F.coalesce("parent", "component").alias("component")), "labels")
+        first = stored(under.groupBy("root").agg(F.least(F.min("to"), F.col("root")).alias("parent")), "parents")
+        above = first.select(F.col("root").alias("parent"), F.col("parent").alias("grand"))
+        parent = stored(first.join(above, "parent", "left").select("root", F.coalesce("grand", "parent").alias("parent")), "parents")
+        named = stored(labels.join(parent, labels.component == parent.root, "left").select("id", F.coalesce("parent", "component").alias("component")), "labels")
         a, b = (parent.select(F.col("root").alias(x), F.col("parent").alias(f"to_{x}")) for x in "ab")
         moved = left.join(a, "a").join(b, "b").where("to_a <> to_b")
-        left = stored(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "edges")
+        carried = stored(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "edges")
+        release(labels, left, first, parent)
+        labels, left = named, carried
+    release(left)
     return labels
