@@ -7,7 +7,8 @@ documents are compared at the lesser of their two m.
 
 1. One pass estimates which n-grams are frequent; it only settles the order, which is as good as any other.
 2. Equal sets are one class; one document stands for it from here on.
-3. Prefix elements meet in a sort by element; what meets nothing (nearly all) is dropped there.
+3. Prefix elements meet in a sort by element; what meets nothing (nearly all) is dropped there. Rows of an element that the
+   estimate knows in over ``LOT`` documents are dealt in lots, here and in every later join by element.
 4. Each element's first document is compared with the element's others; verified links make first components.
 5. Only elements that still meet in different components go on. The rare ones give their pairs. The documents of
    frequent ones (over ``HOT`` at once) make families of like sizes, compared block by block: a block is a bounded number of
@@ -35,6 +36,8 @@ MARKS = 8
 #: Of the frequency estimate: n-grams a task hands on, least count, and entries of the broadcast table (16 bytes each).
 HANDED_ON, LEAST, TABLE = 100_000, 4, 1_000_000
 HOT, BLOCK = 64, 512
+#: Documents of one element that are dealt together; a more frequent one has several lots.
+LOT = 2048
 #: Ids up to this number are broadcast where their documents are read again; beyond it the two sides are shuffled.
 BROADCAST_IDS = 200_000
 
@@ -146,10 +149,10 @@ def prefixes(h: np.ndarray, owner: np.ndarray, n: np.ndarray, table: tuple[np.nd
     return h[keep], length, matches, marks
 
 
-def signatures(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
+def signatures(docs: DataFrame, size: int, threshold: tuple[int, int], table: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(id, n, c1, c2, matches, prefix, marks): set size, 128 bits that stand for the set, required matches, prefix elements, and
-    the places in the order of MARKS of them."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, size))
+    the places in the order of MARKS of them. ``table``: see ``frequent``."""
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,8 +172,24 @@ def signatures(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFr
     return docs.select("id", "text").mapInArrow(lean(run), "id long, n long, c1 long, c2 long, matches int, prefix array<long>, marks array<long>")
 
 
+def in_lots(rows: DataFrame, table: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Rows (h, doc, ...) with the number of lots of their element, by its estimated frequency, and their own lot (0 for most).
+    The frequent elements are broadcast: those of TABLE at most, 16 bytes each."""
+    keys, counts = table
+    many = counts > LOT
+    frame = pa.table({"h": pa.array(keys[many].view(np.int64)), "lots": pa.array(-(-counts[many] // LOT), pa.int64())})
+    dealt = rows.join(F.broadcast(rows.sparkSession.createDataFrame(frame)), "h", "left").withColumn("lots", F.coalesce("lots", F.lit(1)))
+    return dealt.withColumn("lot", F.pmod(F.xxhash64("doc"), "lots"))
+
+
+def each_lot(elements: DataFrame) -> DataFrame:
+    """A row for each lot of an element, from (h, lots, ...)."""
+    return elements.withColumn("lot", F.explode(F.expr("sequence(0L, lots - 1)"))).drop("lots")
+
+
 def meetings(rows: DataFrame) -> DataFrame:
-    """Of rows (h, doc, n, matches, pos) those whose element another row has too. Rows come sorted by h: a task holds a batch."""
+    """Of rows (h, doc, n, matches, pos, lots, lot) those whose element another row has too, and those of elements with several
+    lots. Rows come sorted by element and lot: a task holds a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row of the batch before, and whether the row before it had its element
@@ -180,13 +199,13 @@ def meetings(rows: DataFrame) -> DataFrame:
             t = pa.Table.from_batches([held[0], b]).combine_chunks().to_batches()[0] if held else b
             h = t.column(0).to_numpy()
             same = h[1:] == h[:-1]
-            meets = np.r_[held[1] if held else False, same] | np.r_[same, False]
+            meets = np.r_[held[1] if held else False, same] | np.r_[same, False] | (t.column(5).to_numpy() > 1)
             yield t.filter(pa.array(np.r_[meets[:-1], False]))
             held = t.slice(len(t) - 1), bool(meets[-1])
         if held and held[1]:
             yield held[0]
 
-    return rows.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(lean(run), "h long, doc long, n long, matches int, pos int")
+    return rows.repartition("h", "lot").sortWithinPartitions("h", "lot", "doc").mapInArrow(lean(run), "h long, doc long, n long, matches int, pos int, lots long, lot long")
 
 
 def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -254,20 +273,21 @@ def possible(met: DataFrame, profiles: DataFrame, threshold: tuple[int, int]) ->
 
 
 def side(rows: DataFrame, x: str) -> DataFrame:
-    return rows.select("h", F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("matches").alias(f"m_{x}"), F.col("pos").alias(f"pos_{x}"), F.col("component").alias(f"c_{x}"))
+    return rows.select("h", "lot", F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("matches").alias(f"m_{x}"), F.col("pos").alias(f"pos_{x}"), F.col("component").alias(f"c_{x}"))
 
 
 def stars(rows: DataFrame) -> DataFrame:
     """Meetings of each element's first document with the element's others, where their components differ."""
-    first = rows.groupBy("h").agg(F.min(F.struct("doc", "n", "matches", "pos", "component")).alias("p")).select("h", F.col("p.doc").alias("a"), F.col("p.n").alias("n_a"), F.col("p.matches").alias("m_a"), F.col("p.pos").alias("pos_a"), F.col("p.component").alias("c_a"))
-    return side(rows, "b").join(first, "h").where("a <> b AND c_a <> c_b")
+    found = rows.groupBy("h").agg(F.max("lots").alias("lots"), F.min(F.struct("doc", "n", "matches", "pos", "component")).alias("p"))
+    first = each_lot(found.select("h", "lots", F.col("p.doc").alias("a"), F.col("p.n").alias("n_a"), F.col("p.matches").alias("m_a"), F.col("p.pos").alias("pos_a"), F.col("p.component").alias("c_a")))
+    return side(rows, "b").join(first, ["h", "lot"]).where("a <> b AND c_a <> c_b")
 
 
 def mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows with their documents' components, of elements that meet in several."""
     labelled = rows.drop("component").join(labels.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    several = labelled.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many")).where("lo < hi").select("h", "many")
-    return stored(labelled.join(several, "h"), "mixed")
+    several = labelled.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many"), F.max("lots").alias("lots")).where("lo < hi").select("h", "many", "lots")
+    return stored(labelled.join(each_lot(several), ["h", "lot"]), "mixed")
 
 
 def families(hot: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -278,9 +298,9 @@ def families(hot: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """
     base = math.log(1.005 * threshold[1] / threshold[0])
     own = F.floor(F.log(F.col("n").cast("double")) / base)
-    banded = hot.select("h", "doc", "component", F.explode(F.array(own, own + 1)).alias("band")).withColumn("node", F.xxhash64("doc", "band"))
-    first = banded.groupBy("h", "band").agg(F.min("node").alias("a"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h", "band", "a")
-    edges = banded.join(first, ["h", "band"]).select("a", F.col("node").alias("b"))
+    banded = hot.select("h", "lots", "lot", "doc", "component", F.explode(F.array(own, own + 1)).alias("band")).withColumn("node", F.xxhash64("doc", "band"))
+    first = banded.groupBy("h", "band").agg(F.max("lots").alias("lots"), F.min("node").alias("a"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h", "band", "a", "lots")
+    edges = banded.join(each_lot(first), ["h", "band", "lot"]).select("a", F.col("node").alias("b"))
     named = components(edges).select(F.col("id").alias("node"), F.col("component").alias("family"))
     return stored(named.join(banded.select("node", F.col("doc").alias("id")).distinct(), "node").select("id", "family"), "families")
 
@@ -360,12 +380,13 @@ def join(docs: DataFrame, size: int = 5, threshold: float = 0.75, id_col: str =
     num = round(threshold * 100)
     limit = (num // math.gcd(num, 100), 100 // math.gcd(num, 100))
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = stored(signatures(own, size, limit), "signatures")
+    table = frequent(own, size)
+    signed = stored(signatures(own, size, limit, table), "signatures")
     live = signed.where("n > 0 AND id IS NOT NULL")
     classes = live.groupBy("c1", "c2").agg(F.min("id").alias("class_id"), F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"), F.first("marks").alias("marks"))
     rows = classes.select(F.col("class_id").alias("doc"), "n", "matches", F.posexplode("prefix").alias("pos", "h")).select("h", "doc", "n", "matches", "pos")
     profiles = live.select("id", F.size("prefix").cast("long").alias("length"), "marks")
-    met = stored(meetings(rows), "meetings").withColumn("component", F.col("doc"))
+    met = stored(meetings(in_lots(rows, table).select(*rows.columns, "lots", "lot")), "meetings").withColumn("component", F.col("doc"))
     own = own.where("id IS NOT NULL")
 
     pairs = stored(possible(stars(met), profiles, limit), "pairs")
@@ -375,7 +396,7 @@ def join(docs: DataFrame, size: int = 5, threshold: float = 0.75, id_col: str =
 
     rest = mixed(met, labels)
     rare, hot = rest.where(F.col("many") <= HOT), rest.where(F.col("many") > HOT)
-    more = stored(possible(side(rare, "a").join(side(rare, "b"), "h").where("a < b AND c_a <> c_b"), profiles, limit), "pairs")
+    more = stored(possible(side(rare, "a").drop("lot").join(side(rare, "b").drop("lot"), "h").where("a < b AND c_a <> c_b"), profiles, limit), "pairs")
     groups = families(hot, limit)
     ids = more.select(F.col("a").alias("id")).union(more.select("b")).union(groups.select("id")).distinct()
     whole = sets(own, ids, size)
