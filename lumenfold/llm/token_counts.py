@@ -25,38 +25,58 @@ from lumenfold.llm.common import broadcast_file, lean, ship
 MARK = "▁"
 #: A run of spaces with what follows, or a line break with what follows; the text has a space put in front first.
 PIECE = re.compile(f"[ {MARK}]+[^ {MARK}\n]*|\n[^ {MARK}\n]*")
-#: Entries of a task's summary, of what it hands on, of the broadcast table (16 bytes each), and of a worker's cache.
-SUMMARY, HANDED_ON, FREQUENT, CACHE = 60_000, 4_000, 50_000, 300_000
+#: Entries of a task's summary, of what it hands on, of the broadcast table, and of a worker's cache. Pre-tokens of more than
+#: LONGEST characters are in none of them, which bounds their bytes.
+SUMMARY, HANDED_ON, FREQUENT, CACHE, LONGEST = 60_000, 4_000, 50_000, 300_000, 64
 
 
 class LengthTable:
-    """Open addressing over 64-bit hashes of pre-tokens; a few dozen bits decide, so it is checked for collisions when built."""
+    """Open addressing by 64-bit hashes of pre-tokens; the pre-tokens themselves lie one after another in a byte string and are
+    compared, so that another one of equal hash is not taken for them."""
 
     def __init__(self, lengths: dict[str, int]) -> None:
         size = 1 << max(4, (2 * len(lengths)).bit_length())
-        self.mask, self.keys, self.values = size - 1, np.zeros(size, np.uint64), np.zeros(size, np.uint32)
-        for token, n in lengths.items():
-            h = xxhash.xxh3_64_intdigest(token.encode()) or 1
-            i = h & self.mask
-            while self.keys[i]:
+        self.mask, self.entry = size - 1, np.full(size, -1, np.int32)
+        raws = [t.encode() for t in lengths]
+        self.raw, self.ends, self.values = b"".join(raws), np.cumsum([0, *map(len, raws)]), np.fromiter(lengths.values(), np.int64, len(lengths))
+        for k, raw in enumerate(raws):
+            i = xxhash.xxh3_64_intdigest(raw) & self.mask
+            while self.entry[i] >= 0:
                 i = (i + 1) & self.mask
-            self.keys[i], self.values[i] = h, n
+            self.entry[i] = k
+        self.tokens: list[bytes] = []
 
     def opened(self) -> LengthTable:
-        """Plain lists: single accesses are faster there."""
-        self.keys, self.values = list(map(int, self.keys)), list(map(int, self.values))
+        """Plain lists, once a worker: single accesses are faster there."""
+        if not self.tokens and len(self.values):
+            ends = self.ends.tolist()
+            self.tokens = [self.raw[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)]
+            self.entry, self.values = self.entry.tolist(), self.values.tolist()
         return self
 
     def find(self, token: str) -> int:
-        h = xxhash.xxh3_64_intdigest(token.encode()) or 1
-        i = h & self.mask
-        while k := self.keys[i]:
-            if k == h:
-                return self.values[i]
+        raw = token.encode()
+        i = xxhash.xxh3_64_intdigest(raw) & self.mask
+        while (k := self.entry[i]) >= 0:
+            if self.tokens[k] == raw:
+                return self.values[k]
             i = (i + 1) & self.mask
         return -1
 
 
+#: Characters that the usual normalisers change, runs of spaces, and a line break.
+SAMPLE = "ﬁ Ａ① e\u0301  x\u00a0y\t z\n w "
+
+
+def checked(model) -> None:
+    """Raise unless texts may be cut as PIECE cuts them: no normaliser, a space mark in front, no piece that goes on over one."""
+    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    if any(MARK in p.lstrip(MARK) or "\n" in p[1:] for p in pieces):
+        raise ValueError("the model has pieces that reach over a space or a line break")
+    if bytes(model.decode(model.encode(SAMPLE)), "utf-8") != SAMPLE.encode() or model.encode(" a") == model.encode("a"):
+        raise ValueError("the model normalises texts")
+
+
 def model_lengths(model, pieces: list[str]) -> list[int]:
     """Each pre-token's number of tokens. The model puts a space mark in front of whatever it gets, which stands for a
     piece's own first mark; in front of a line break it is a token of its own, which does not count."""
@@ -81,7 +101,11 @@ class Lengths(dict):
             else:
                 self[piece] = n
         self.update(zip(misses, model_lengths(self.model, misses), strict=True) if misses else ())
-        return [sum(map(self.__getitem__, p)) for p in pieces]
+        counts = [sum(map(self.__getitem__, p)) for p in pieces]
+        for piece in misses:
+            if len(piece) > LONGEST:
+                del self[piece]
+        return counts
 
 
 _OWN: dict[bytes, Lengths] = {}
@@ -108,7 +132,7 @@ def frequent(docs: DataFrame, text_col: str = "text") -> list[str]:
                 if len(seen) > 4 * SUMMARY:  # as Misra and Gries: what falls out counts against the rest
                     kept = seen.most_common(SUMMARY + 1)
                     seen = Counter({k: n - kept[-1][1] for k, n in kept[:-1] if n > kept[-1][1]})
-        top = [(k, n) for k, n in seen.most_common(HANDED_ON) if n > 1 and len(k) <= 64]
+        top = [(k, n) for k, n in seen.most_common(HANDED_ON) if n > 1 and len(k) <= LONGEST]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
 
     top = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
@@ -124,6 +148,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     file = broadcast_file(spark, model_path)
     top = frequent(docs, text_col)
     model = sentencepiece.SentencePieceProcessor(model_proto=file.value)
+    checked(model)
     table = spark.sparkContext.broadcast(LengthTable(dict(zip(top, model_lengths(model, top), strict=True)) if top else {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
