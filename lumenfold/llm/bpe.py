@@ -2,7 +2,7 @@
 
 Tier one is a minimal perfect hash over the vocabulary: a pre-token that is a vocabulary entry is one id and needs no
 merging. Tier two merges the bytes of any other pre-token, kept as a linked list, in the order of a heap of pair ranks.
-A worker keeps what both tiers found in bounded memos, so that a repeated word costs one dictionary access.
+A worker keeps what both tiers found in memos bounded by bytes, so that a repeated word costs one dictionary access.
 
 Texts are cut before white space that follows something else. No pre-token of the GPT-2 pattern reaches over such a
 place and its look-ahead sees the same there, so the pieces can be encoded apart from each other.
@@ -15,9 +15,8 @@ import hashlib
 import heapq
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -28,8 +27,9 @@ from lumenfold.llm.common import broadcast_file, lean, ship
 #: Unicode White_Space, as the pattern's \s has it (re's own \s has four control characters more).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Entries a memo holds before it starts again; it bounds a worker's memory.
-MEMO = 800_000
+#: Bytes (as estimated by ``cost``) that a worker's memos of pieces and of pre-tokens hold before they start again; longer
+#: strings than LONGEST characters are not kept.
+PIECE_BYTES, TOKEN_BYTES, LONGEST = 120 << 20, 40 << 20, 64
 
 
 class MinimalPerfectHash:
@@ -102,32 +102,20 @@ def merge_bytes(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Pieces(dict):
-    """Piece of text -> its ids as packed unsigned 32-bit integers; fills itself, and starts again when it is full."""
+class Memo(dict):
+    """String -> packed unsigned 32-bit ids; fills itself by ``make``, and starts again when its bytes reach ``limit``."""
 
-    def __init__(self, codec: Codec) -> None:
-        self.codec = codec
+    def __init__(self, limit: int, make: Callable[[str], bytes]) -> None:
+        self.limit, self.make, self.held = limit, make, 0
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        token = self.codec.token
-        found = self[piece] = b"".join([token[x] for x in self.codec.pattern.findall(piece)])
-        return found
-
-
-class Tokens(dict):
-    """Pre-token -> its packed ids, by the two tiers."""
-
-    def __init__(self, codec: Codec) -> None:
-        self.codec = codec
-
-    def __missing__(self, token: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        raw = token.encode()
-        whole = self.codec.whole.find(raw)
-        found = self[token] = array("I", [whole] if whole >= 0 else merge_bytes(raw, self.codec.ranks)).tobytes()
+    def __missing__(self, key: str) -> bytes:
+        found = self.make(key)
+        if len(key) <= LONGEST:
+            self.held += 190 + len(key) + len(found)  # a dictionary's slot at its usual load, and two objects
+            if self.held > self.limit:
+                self.clear()
+                self.held = 190 + len(key) + len(found)
+            self[key] = found
         return found
 
 
@@ -141,7 +129,14 @@ class Codec:
         self.bytes_of = dict(zip(self.ranks.values(), self.ranks, strict=True))
         if max(self.bytes_of) < 2 * len(self.bytes_of):
             self.bytes_of = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
-        self.token, self.piece = Tokens(self), Pieces(self)
+        self.token = Memo(TOKEN_BYTES, self.ids_of)
+        self.piece = Memo(PIECE_BYTES, lambda piece: b"".join([self.token[x] for x in self.pattern.findall(piece)]))
+
+    def ids_of(self, token: str) -> bytes:
+        """A pre-token's ids, by the two tiers."""
+        raw = token.encode()
+        whole = self.whole.find(raw)
+        return array("I", [whole] if whole >= 0 else merge_bytes(raw, self.ranks)).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; empty for an empty text."""
@@ -189,7 +184,3 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([own.decode(x) for x in b.column(1).to_pylist()], pa.binary())], ["id", "ids", "raw"])
 
     return encoded.select("id", "ids").mapInArrow(lean(run), f"id {dict(encoded.dtypes)['id']}, ids binary, raw binary")
-
-
-def n_ids(ids: bytes) -> int:
-    return len(np.frombuffer(ids, np.uint32))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lumenfold.llm.bpe import MEMO, PIECE
+from lumenfold.llm.bpe import LONGEST, PIECE
 from lumenfold.llm.common import broadcast_file, lean, ship
 
 SCHEMA = "doc_id {}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -37,6 +37,9 @@ def byte_letters() -> dict[str, int]:
     others = [b for b in range(256) if b not in plain]
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
+#: Pieces of LONGEST characters at most whose ids a worker keeps, for tokenizers that are not plain ranks.
+KEPT = 200_000
+
 
 class Tokenized:
     """Ids as the tokenizers library gives them for one of its files.
@@ -76,14 +79,18 @@ class Tokenized:
             one = self.fast.encode_ordinary
             return [np.array(one(t) if p else self._library(t), np.uint32) for t, p in zip(texts, plain, strict=True)]
         pieces = [PIECE.findall(t) if p else None for t, p in zip(texts, plain, strict=True)]
-        if len(self.memo) >= MEMO:
+        if len(self.memo) >= KEPT:
             self.memo.clear()
         new = list(set().union(*(p for p in pieces if p)).difference(self.memo))
         if new:
             for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 self.memo[piece] = np.array(e.ids, np.uint32).tobytes()
         get = self.memo.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), np.uint32) if p is not None else np.array(self._library(t), np.uint32) for t, p in zip(texts, pieces, strict=True)]
+        found = [np.frombuffer(b"".join(map(get, p)), np.uint32) if p is not None else np.array(self._library(t), np.uint32) for t, p in zip(texts, pieces, strict=True)]
+        for piece in new:
+            if len(piece) > LONGEST:
+                del self.memo[piece]
+        return found
 
     def _library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
