@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -160,18 +161,42 @@ def trigrams(c: Column) -> Column:
     return F.flatten(F.transform(words(c), of))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: a lambda's variable, where a column that is used often would be computed often."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _best_extent(q: Column, t: Column) -> Column:
+    def ratio(part: Column) -> Column:
+        def of(d: Column) -> Column:
+            both = F.size(F.array_intersect(q, d))
+            return both / (F.size(q) + F.size(d) - both)
+
+        return let(F.array_distinct(part), of)
+
+    def over(at: Column) -> Column:
+        return F.flatten(F.transform(at, lambda i: F.transform(F.filter(at, lambda k: k >= i), lambda k: ratio(F.slice(t, i, k - i + 1)))))
+
+    numbered = F.transform(t, lambda x, i: F.when(F.array_contains(q, x), i + 1))
+    return F.coalesce(F.array_max(let(F.filter(numbered, lambda i: i.isNotNull()), over)), F.lit(0.0))
+
+
 def word_similarity(query: Column, target: Column) -> Column:
     """Greatest share of trigrams in common over all contiguous extents of the target's trigrams.
 
-    Quadratic in the target's length: for titles. Null or wordless sides give 0.
+    The best extent begins and ends with a trigram of the query, so only those are tried: square in their number, for titles.
+    Null or wordless sides give 0.
     """
-    q, t = F.array_distinct(trigrams(query)), trigrams(target)
-    n = F.size(t)
+    return similar(query, target, 0.0)
 
-    def ratio(part: Column) -> Column:
-        d = F.array_distinct(part)
-        both = F.size(F.array_intersect(q, d))
-        return both / (F.size(q) + F.size(d) - both)
 
-    extents = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: ratio(F.slice(t, i, k)))))
-    return F.when((n > 0) & (F.size(q) > 0), F.array_max(extents)).otherwise(0.0)
+def similar(query: Column, target: Column, least: float) -> Column:
+    """``word_similarity`` where it is ``least`` or more, else 0. Whatever the extent, it has at most the share of the query's
+    trigrams that the target has at all, and targets below that are not tried further."""
+
+    def of(x: Column) -> Column:
+        bound = F.size(F.array_intersect(x["q"], x["t"])) / F.size(x["q"])
+        found = F.when((F.size(x["t"]) > 0) & (F.size(x["q"]) > 0) & (bound > 0) & (bound >= least), _best_extent(x["q"], x["t"])).otherwise(0.0)
+        return let(found, lambda v: F.when(v >= least, v).otherwise(0.0))
+
+    return F.coalesce(let(F.struct(F.array_distinct(trigrams(query)).alias("q"), trigrams(target).alias("t")), of), F.lit(0.0))

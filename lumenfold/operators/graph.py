@@ -138,7 +138,7 @@ def communities(edges: DataFrame, rounds: int = 3) -> DataFrame:
 
 
 def collaboration_scores(acts: DataFrame) -> DataFrame:
-    """(a, b, score): works in common, each weighted by 1 / (cast - 1). A cast is split by its hottest works no further than pairs need."""
+    """(a, b, score): works in common, each weighted by 1 / (cast - 1). All pairs of a cast, which is as many as a work credits."""
     size = acts.groupBy("work").agg(F.count("*").alias("cast"))
     rows = acts.join(size.where("cast > 1"), "work")
     other = rows.select("work", F.col("person").alias("b"))

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenfold.functions import text as T
+from lumenfold.operators import graph as G
 from lumenfold.operators.relational import ranked
 
 # Spoken names of channels.
@@ -26,6 +27,8 @@ PARTICLE = r"(?:(?<=\s)|^)(에서|에|의|은|는|이|가|을|를|도|로|와|
 PARTS = {"초": (0, 3), "초반": (0, 3), "중반": (3, 6), "후반": (6, 9), "말": (6, 9)}
 K = 60
 DEPTH = 50
+#: The least word similarity of a title that is a candidate.
+SIMILAR = 0.35
 
 
 @dataclass(frozen=True)
@@ -110,7 +113,7 @@ def parse_weights(spec: str | None) -> dict[str, float] | None:
     return out
 
 
-# Documents: (doc_id, title, aliases, body, synopsis, channel, year, embedding)
+# Documents: (doc_id, title, aliases, body, synopsis, channel, year, embedding), and start_date where it is known
 
 FIELD_WEIGHTS = {"title": 1.0, "aliases": 1.0, "body": 0.4, "synopsis": 0.2}
 
@@ -125,14 +128,120 @@ def postings(docs: DataFrame, fields: dict[str, float] = FIELD_WEIGHTS) -> DataF
     return docs.select("doc_id", F.posexplode(weighted).alias("pos", "p")).select("p.token", "doc_id", "p.weight", "pos")
 
 
+def write_index(docs: DataFrame, path: str, fields: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
+    """The postings as a stored table, sorted by token: a query for some words reads the row groups that have them."""
+    postings(docs, fields).repartitionByRange("token").sortWithinPartitions("token", "doc_id").write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def query_tokens(words: str) -> list[str]:
     return list(dict.fromkeys(re.findall("[0-9a-z가-힣]+", words.lower())))
 
 
-def hits(index: DataFrame, words: str, every: bool) -> DataFrame:
-    """(doc_id, score) of documents with every (or any) word of a query. The score sums weights of the words' occurrences and,
-    where all words are there, the greatest weight over the shortest distance that covers them: an approximation of cover
-    density, of which only the order counts, for lists are fused by rank."""
+#: What a search asks for: alternatives, each a list of (wanted, words): words in a row that have to be there, or must not be.
+Search = list[list[tuple[bool, list[str]]]]
+
+
+def websearch(said: str) -> Search:
+    """The syntax of web searches: words all have to be there, ``"..."`` stands for words in a row, a minus in front excludes,
+    and ``or`` between parts gives alternatives (it binds weaker than the rest)."""
+    out: Search = [[]]
+    for minus, quoted, plain in re.findall(r'(-?)(?:"([^"]*)"?|([^\s"]+))', said):
+        if plain.lower() == "or" and not minus:
+            out.append([])
+            continue
+        if row := re.findall("[0-9a-z가-힣]+", (quoted or plain).lower()):
+            out[-1].append((not minus, row))
+    return [part for part in out if part]
+
+
+def wanted_tokens(search: Search) -> list[str]:
+    return list(dict.fromkeys(w for part in search for wanted, row in part if wanted for w in row))
+
+
+def matches(docs: DataFrame, search: Search, fields: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
+    """(doc_id, score, every): documents with any word of a search, and whether they are what it asks for. Everything is decided
+    within a row: texts that have none of the strings are not even cut into words, and nothing is shuffled.
+
+    The score sums weights of the words' occurrences and, where all words are there, the greatest weight over the shortest
+    distance that covers them: an approximation of cover density, of which only the order counts, for lists are fused by rank.
+    """
+    wanted = wanted_tokens(search)
+    if not wanted:
+        return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(False).alias("every")).limit(0)
+    asked = list(dict.fromkeys(w for part in search for _, row in part for w in row))
+
+    there = F.lit(False)
+    for name in fields:
+        for w in wanted:
+            there = there | F.lower(F.coalesce(F.col(name), F.lit(""))).contains(w)
+    def has(m: Column, row: list[str]) -> Column:
+        def follows(x: Column, k: int) -> Column:
+            return F.exists(m, lambda y: (y["token"] == row[k]) & (y["pos"] == x["pos"] + k))
+
+        def starts(x: Column) -> Column:
+            found = x["token"] == row[0]
+            for k in range(1, len(row)):
+                found = found & follows(x, k)
+            return found
+
+        return F.exists(m, starts)
+
+    def judged(m: Column) -> Column:
+        every = F.lit(False)
+        for part in search:
+            all_of = F.lit(True)
+            for wanted_row, row in part:
+                all_of = all_of & (has(m, row) if wanted_row else ~has(m, row))
+            every = every | all_of
+        return F.struct(every.alias("every"), T.let(F.filter(m, lambda x: x["token"].isin(wanted)), score).alias("score"))
+
+    def score(m: Column) -> Column:
+        mass = F.aggregate(m, F.lit(0.0), lambda s, x: s + x["weight"])
+        extent = F.array_max(F.transform(m, lambda x: x["pos"])) - F.array_min(F.transform(m, lambda x: x["pos"])) + 1
+        full = F.size(F.array_distinct(F.transform(m, lambda x: x["token"]))) == len(wanted)
+        density = F.when(full, F.array_max(F.transform(m, lambda x: x["weight"])) / extent).otherwise(0.0)
+        return F.when(F.size(m) > 0, F.round(mass + density, 6))
+
+    def placed(own: Column) -> Column:
+        """The words asked for, with their places and weights; ``own``: each field's words."""
+        weight, end = F.lit(list(fields.values())[-1]), F.lit(0)
+        ends = []
+        for name in list(fields)[:-1]:
+            end = end + F.size(own[name])
+            ends.append(end)
+        every = F.concat(*(own[name] for name in fields))
+
+        def of(x: Column, i: Column) -> Column:
+            heavy = weight
+            for k in reversed(range(len(ends))):
+                heavy = F.when(i < ends[k], list(fields.values())[k]).otherwise(heavy)
+            return F.when(x.isin(asked), F.struct(x.alias("token"), heavy.alias("weight"), i.alias("pos")))
+
+        return T.let(F.filter(F.transform(every, of), lambda x: x.isNotNull()), judged)
+
+    own = F.struct(*(T.words(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in fields))
+    found = spread(docs.where(there)).select("doc_id", F.explode(F.array(T.let(own, placed))).alias("f"))
+    return found.where("f.score IS NOT NULL").select("doc_id", "f.score", "f.every")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table, of fewer partitions than there are cores, dealt to all of them; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def lexical(docs: DataFrame, said: str, names: tuple[str, str] = ("fts", "fts_any"), k: int = DEPTH) -> DataFrame:
+    """Both lexical candidate lists, of documents that are what the search asks for and of those with any of its words, in one
+    pass over the documents."""
+    found = matches(docs, websearch(said))
+    named = found.select(F.explode(F.when(F.col("every"), F.array(*map(F.lit, names))).otherwise(F.array(F.lit(names[1])))).alias("list_name"), "doc_id", "score")
+    place = F.row_number().over(Window.partitionBy("list_name").orderBy(F.desc("score"), "doc_id")).cast("long")
+    return named.withColumn("rank", place).where(F.col("rank") <= k).select("list_name", "doc_id", "rank", "score")
+
+
+def indexed(index: DataFrame, words: str, every: bool) -> DataFrame:
+    """(doc_id, score) from a stored index: documents with every (or any) word, scored as ``matches`` does."""
     wanted = query_tokens(words)
     rows = index.where(F.col("token").isin(wanted))
     by_doc = rows.groupBy("doc_id").agg(F.countDistinct("token").alias("n"), F.sum("weight").alias("mass"), F.max("weight").alias("top"), (F.max("pos") - F.min("pos") + 1).alias("extent"))
@@ -141,6 +250,32 @@ def hits(index: DataFrame, words: str, every: bool) -> DataFrame:
     return by_doc.select("doc_id", F.round(F.col("mass") + F.when(F.col("n") == len(wanted), F.col("top") / F.col("extent")).otherwise(0.0), 6).alias("score"))
 
 
+def graph_list(people: DataFrame, credits: DataFrame, works: DataFrame, said: str, k: int = DEPTH) -> DataFrame:
+    """(work, rank) for the people a query names; ``people``: (id, name), ``credits``: (person, work), ``works``: (work, start_date).
+
+    One name: the works of its first person. Several names: the works that all of the people share, newest first, or, where
+    there is none, each one's works, person by person. A name is a word of the query, as it is said or without its particle.
+    """
+    spark = people.sparkSession
+    named = spark.createDataFrame([(said,)], "said string").select(F.explode(T.name_candidates(F.col("said"))).alias("name"))
+    found = people.join(F.broadcast(named), "name", "left_semi").select("id", "name").orderBy("id").limit(k).collect()
+    ids = [r.id for r in found]
+    if not ids:
+        return spark.createDataFrame([], "work long, rank long")
+    dated = credits.where(F.col("person").isin(ids)).select("person", "work").distinct().join(works.select("work", "start_date"), "work")
+    newest = [F.desc_nulls_first("start_date"), F.asc("work")]
+    if len({r.name for r in found}) > 1:
+        shared = ranked(G.works_shared(credits.select("person", "work"), ids).join(works.select("work", "start_date"), "work"), k, *newest).select("work", F.col("rank").cast("long").alias("rank"))
+        if not shared.isEmpty():
+            return shared
+    else:
+        ids = ids[:1]
+    order = F.array_position(F.array(*map(F.lit, ids)), F.col("person"))
+    mine = dated.where(F.col("person").isin(ids)).withColumn("n", F.row_number().over(Window.partitionBy("person").orderBy(*newest))).where(F.col("n") <= k)
+    first = mine.groupBy("work").agg(F.min(F.struct(order.alias("person"), "n")).alias("at"))
+    return ranked(first, k * len(ids), F.asc("at")).select("work", F.col("rank").cast("long").alias("rank"))
+
+
 def filtered(docs: DataFrame, plan: Plan) -> DataFrame:
     """Documents within a plan's years and channel; a document without a year meets no years."""
     if plan.year_from is not None:
@@ -176,14 +311,22 @@ def overlap(query: Column, document: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, T.words(document))) / F.size(q)).otherwise(0.0)
 
 
+def rerank_text() -> Column:
+    """What a reranker reads of a document: title, aliases, body and the first 600 characters of the plot, where they are there."""
+    some = lambda c: F.length(F.coalesce(c, F.lit(""))) > 0
+    parts = [F.col("title")] + [F.when(some(F.col(c)), F.col(c)) for c in ("aliases", "body")]
+    plot = F.when(some(F.col("synopsis")), F.concat(F.lit("줄거리: "), F.substring("synopsis", 1, 600)))
+    return F.concat_ws("\n", *parts, plot)
+
+
 def reranked(fused: DataFrame, docs: DataFrame, query: str, n: int = 30, scorer: Callable[[Column, Column], Column] = overlap) -> DataFrame:
-    """The best n by a scorer of pairs, the rest behind in their order; fusion's evidence stays."""
-    order = [F.desc("score"), F.asc("doc_id")]
-    head = ranked(fused, n, *order, name="fused_rank")
-    whole = F.concat_ws(" ", "title", "aliases", "body", "synopsis")
-    scored = head.join(docs.select("doc_id", whole.alias("whole")), "doc_id").withColumn("rerank_score", scorer(F.lit(query), F.col("whole"))).drop("whole")
-    place = F.row_number().over(Window.orderBy(F.desc("rerank_score"), "fused_rank"))
-    return scored.withColumn("rank", place)
+    """The best n of a fusion, which are all that stay, in the order of a scorer of pairs (equal ones by id). Fusion's evidence
+    stays, with the new score and rank beside it, and the score becomes the scorer's."""
+    head = ranked(fused, n, F.desc("score"), F.asc("doc_id"), name="fused_rank")
+    scored = head.join(docs.select("doc_id", rerank_text().alias("whole")), "doc_id").withColumn("rerank_score", scorer(F.lit(query), F.col("whole"))).drop("whole")
+    placed = ranked(scored, n, F.desc("rerank_score"), F.asc("doc_id"))
+    more = lambda c, v: F.map_concat(c, F.map_from_arrays(F.array(F.lit("rerank")), F.array(v)))
+    return placed.withColumns({"ranks": more(F.col("ranks"), F.col("rank").cast("long")), "scores": more(F.col("scores"), F.col("rerank_score").cast("double")), "score": F.col("rerank_score").cast("double")})
 
 
 def strategy(lists: Sequence[str]) -> str:
@@ -231,11 +374,13 @@ def refresh_embeddings(docs: DataFrame, embedder: HashEmbedder, model: str) -> D
 class Retriever:
     """Hybrid search: the lists a query's plan calls for, fused by reciprocal rank, optionally reranked.
 
-    ``graph``: a function from the query's words to a (work, rank) table, or None. A list of weight 0 is not built.
+    ``graph``: a function from the query's words to a (work, rank) table (see ``graph_list``), or None; if it fails, the search
+    goes on without it and ``failed`` tells why. A list of weight 0 is not built.
     """
 
     def __init__(self, docs: DataFrame, embedder: HashEmbedder | None = None, graph: Callable[[str], DataFrame] | None = None) -> None:
         self.docs, self.embedder, self.graph = docs, embedder, graph
+        self.failed: str | None = None
 
     def lists(self, plan: Plan, weights: dict[str, float]) -> dict[str, DataFrame]:
         docs = filtered(self.docs, plan)
@@ -243,40 +388,50 @@ class Retriever:
         out: dict[str, DataFrame] = {}
         if not plan.text:
             if plan.constrained:
-                out["filter"] = listed("filter", docs.select("doc_id", (-F.coalesce(F.col("year"), F.lit(9999))).alias("score")))
+                day = F.col("start_date") if "start_date" in docs.columns else F.col("year")
+                rows = ranked(docs.select("doc_id", day.alias("day")), DEPTH, F.asc_nulls_last("day"), F.asc("doc_id"))
+                out["filter"] = rows.select(F.lit("filter").alias("list_name"), "doc_id", F.col("rank").cast("long").alias("rank"), F.lit(0.0).alias("score"))
             return out
-        index = postings(docs)
-        if on("fts"):
-            out["fts"] = listed("fts", hits(index, plan.text, True))
-        if on("fts_any"):
-            out["fts_any"] = listed("fts_any", hits(index, plan.text, False))
+        if on("fts") and on("fts_any"):
+            both = lexical(docs, plan.text)
+            out["fts"], out["fts_any"] = both.where("list_name = 'fts'"), both.where("list_name = 'fts_any'")
+        elif on("fts") or on("fts_any"):
+            found = matches(docs, websearch(plan.text))
+            name = "fts" if on("fts") else "fts_any"
+            out[name] = listed(name, found.where("every") if on("fts") else found)
         if on("trigram"):
-            names = F.greatest(T.word_similarity(F.lit(plan.text), F.col("title")), T.word_similarity(F.lit(plan.text), F.coalesce(F.col("aliases"), F.lit(""))))
-            out["trigram"] = listed("trigram", docs.select("doc_id", names.alias("score")).where("score >= 0.35"))
+            names = F.greatest(*(T.similar(F.lit(plan.text), F.coalesce(F.col(c), F.lit("")), SIMILAR) for c in ("title", "aliases")))
+            out["trigram"] = listed("trigram", docs.select("doc_id", names.alias("score")).where(F.col("score") >= SIMILAR))
         if self.embedder and on("vector"):
             q = F.array(*map(F.lit, self.embedder.embed([plan.text])[0]))
             out["vector"] = listed("vector", docs.where("embedding IS NOT NULL").select("doc_id", T.cosine(F.col("embedding"), q).alias("score")))
         if self.graph and on("graph"):
-            found = self.graph(plan.text)
-            out["graph"] = docs.select("doc_id").join(found.withColumnRenamed("work", "doc_id"), "doc_id").select(F.lit("graph").alias("list_name"), "doc_id", F.col("rank").cast("long").alias("rank"), F.lit(1.0).alias("score"))
+            try:
+                rows = self.graph(plan.text).orderBy("rank").limit(DEPTH).select(F.col("work").cast("long").alias("doc_id"), "rank").collect()
+            except Exception as e:  # the graph is optional
+                self.failed, rows = type(e).__name__, []
+            found = self.docs.sparkSession.createDataFrame([(r.doc_id, r.rank) for r in rows], "doc_id long, rank long")
+            known = docs.select("doc_id").join(F.broadcast(found), "doc_id")
+            out["graph"] = ranked(known, DEPTH, F.asc("rank"), name="place").select(F.lit("graph").alias("list_name"), "doc_id", F.col("place").cast("long").alias("rank"), F.lit(1.0).alias("score"))
         return out
 
     def search(self, query: str, limit: int = 10, weights: dict[str, float] | None = None, rerank: bool = False, **overrides) -> DataFrame:
-        """(doc_id, score, ranks, scores) and with ``rerank`` its score and rank. A query whose constraints leave nothing is asked again without them."""
-        weights = weights or {}
+        """(doc_id, score, ranks, scores) and with ``rerank`` its score and rank. A query whose constraints leave nothing is asked
+        again without them. The candidates, DEPTH a list, are computed once and come to the driver."""
+        weights, spark = weights or {}, self.docs.sparkSession
+        rows: list = []
         for constraints in (True, False):
             plan = overridden(analyze(query, constraints), **overrides)
-            found = list(self.lists(plan, weights).values())
-            if not found:
-                return rrf(self.docs.sparkSession.createDataFrame([], "list_name string, doc_id long, rank long, score double"))
-            lists = found[0]
-            for x in found[1:]:
-                lists = lists.unionByName(x)
-            if not (constraints and plan.constrained and plan.text) or not lists.isEmpty():
+            lists = self.lists(plan, weights)
+            both = {"fts", "fts_any"} <= set(lists)
+            wanted = [lexical(filtered(self.docs, plan), plan.text)] * both + [x for name, x in lists.items() if not (both and name.startswith("fts"))]
+            rows = [tuple(r) for x in wanted for r in x.select("list_name", "doc_id", "rank", "score").collect()]
+            if rows or not (constraints and plan.constrained and plan.text):
                 break
-        fused = rrf(lists, weights)
+        found = spark.createDataFrame(rows, "list_name string, doc_id long, rank long, score double")
+        fused = rrf(found, weights)
         if rerank:
-            return reranked(fused, self.docs, plan.text).orderBy("rank").limit(limit)
+            return reranked(fused, self.docs, query).orderBy("rank").limit(limit)
         return fused.orderBy(F.desc("score"), "doc_id").limit(limit)
 
 

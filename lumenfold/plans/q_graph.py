@@ -107,7 +107,12 @@ def q03_graph_gate(t):
     return _integrity(t).select((F.col("orphans") > 0).alias("has_orphans"), (F.col("no_channel") > 0).alias("lacks_channel"), (F.col("max_degree") > 500).alias("hub"))
 
 
-@query()
+def _votes(before: str) -> str:
+    return f"SELECT id, arg_min(label, struct_pack(m := -n, label)) AS label FROM (SELECT b.src AS id, l.label, count(*) AS n FROM b JOIN {before} l ON l.id = b.dst GROUP BY 1, 2) GROUP BY 1"
+
+
+@query(f"""WITH a AS (SELECT work + {WORKS_FROM} AS src, person AS dst FROM {EDGE_SQL} WHERE type = 'ACTED_IN'), b AS (SELECT src, dst FROM a UNION SELECT dst, src FROM a),
+l0 AS (SELECT DISTINCT src AS id, src AS label FROM b), l1 AS ({_votes('l0')}), l2 AS ({_votes('l1')}) {_votes('l2')}""")
 def g11_communities(t):
     """Design only in the reference: label propagation, and collaboration weighted by the size of the cast."""
     acts = edges(t).where("type = 'ACTED_IN'").select("work", "person").distinct()

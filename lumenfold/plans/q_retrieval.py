@@ -10,7 +10,7 @@ from lumenfold.operators import retrieval as R
 from lumenfold.operators.graph import ordered_union
 from lumenfold.operators.relational import full_outer_ranks, ranked, shared_by_all
 from lumenfold.plans.q_catalog import COSINE_SQL, LATENCY_SQL, latency
-from lumenfold.plans.registry import SQL, query
+from lumenfold.plans.registry import query
 
 WORDS = "the and with"
 DOCS_SQL = "(SELECT doc_id, source AS title, lang AS channel, 1990 + n_chars % 40 AS year, text AS body FROM documents)"
@@ -26,18 +26,15 @@ def docs(t) -> DataFrame:
     return t.documents.select("doc_id", F.col("source").alias("title"), F.lit("").alias("aliases"), F.col("text").alias("body"), F.lit("").alias("synopsis"), F.col("lang").alias("channel"), (1990 + F.col("n_chars") % 40).alias("year"))
 
 
-def index(t) -> DataFrame:
-    return R.postings(docs(t))
-
-
 @query(f"SELECT doc_id, rank, round(score, 5) AS score FROM {ALL_SQL}")
 def r03_fts_and(t):
-    return R.listed("fts", R.hits(index(t), WORDS, True)).select("doc_id", "rank", F.round("score", 5).alias("score"))
+    found = R.matches(docs(t), R.websearch(WORDS)).where("every")
+    return R.listed("fts", found).select("doc_id", "rank", F.round("score", 5).alias("score"))
 
 
 @query(f"SELECT doc_id, rank, round(score, 5) AS score FROM {ANY_SQL}")
 def r04_fts_or(t):
-    return R.listed("fts_any", R.hits(index(t), WORDS, False)).select("doc_id", "rank", F.round("score", 5).alias("score"))
+    return R.listed("fts_any", R.matches(docs(t), R.websearch(WORDS))).select("doc_id", "rank", F.round("score", 5).alias("score"))
 
 
 TRI_SQL = r"""(WITH w AS (SELECT p_partkey, list_filter(regexp_split_to_array(lower(p_name), '[^0-9a-z가-힣]+'), lambda x: x <> '') AS ws FROM part),
@@ -49,8 +46,7 @@ SELECT p_partkey, max(len(list_intersect(q, d)) / (len(q) + len(d) - len(list_in
 
 @query(f"SELECT p_partkey, round(score, 6) AS score FROM {TRI_SQL} WHERE score >= 0.35")
 def r05_trigram(t):
-    names = t.part.select("p_name").distinct().withColumn("score", T.word_similarity(F.lit("blue ring"), F.col("p_name"))).where("score >= 0.35")
-    return t.part.select("p_partkey", "p_name").join(F.broadcast(names), "p_name").select("p_partkey", F.round("score", 6).alias("score"))
+    return t.part.select("p_partkey", F.round(T.similar(F.lit("blue ring"), F.col("p_name"), R.SIMILAR), 6).alias("score")).where(F.col("score") >= R.SIMILAR)
 
 
 @query(f"SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM (SELECT a.vec_id, round({COSINE_SQL}, 6) AS score FROM (SELECT * FROM embeddings WHERE label <> 3) a, (SELECT embedding FROM embeddings WHERE vec_id = 5) q) ORDER BY rank LIMIT 50")
@@ -63,16 +59,14 @@ def r06_vector(t):
 
 @query(f"SELECT doc_id, round(score, 8) AS score, reasons FROM (SELECT doc_id, sum(w / (60 + rank)) AS score, string_agg(name || '#' || rank, ' ' ORDER BY name) AS reasons FROM (SELECT 'fts' AS name, 2.0 AS w, doc_id, rank FROM {ALL_SQL} UNION ALL SELECT 'fts_any', 1.0, doc_id, rank FROM {ANY_SQL}) GROUP BY 1) ORDER BY round(score, 8) DESC, doc_id LIMIT 10")
 def r07_weighted_rrf(t):
-    rows = index(t)
-    lists = R.listed("fts", R.hits(rows, WORDS, True)).unionByName(R.listed("fts_any", R.hits(rows, WORDS, False)))
-    fused = R.rrf(lists, {"fts": 2.0, "fts_any": 1.0}).withColumn("score", F.round("score", 8))
+    fused = R.rrf(R.lexical(docs(t), WORDS), {"fts": 2.0, "fts_any": 1.0}).withColumn("score", F.round("score", 8))
     return fused.orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", "score", F.array_join(R.match_reasons(F.col("ranks")), " ").alias("reasons"))
 
 
 @query(f"SELECT doc_id, a.rank IS NOT NULL AS in_fts, b.rank IS NOT NULL AS in_any, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 8) AS score FROM {ALL_SQL} a FULL JOIN {ANY_SQL} b USING (doc_id)")
 def r08_two_list_rrf(t):
-    rows = index(t)
-    a, b = (R.listed("l", R.hits(rows, WORDS, every)).select("doc_id", "rank") for every in (True, False))
+    found = R.matches(docs(t), R.websearch(WORDS))
+    a, b = (R.listed("l", x).select("doc_id", "rank") for x in (found.where("every"), found))
     return full_outer_ranks(a, b, "doc_id").select("doc_id", F.col("rank_a").isNotNull().alias("in_fts"), F.col("rank_b").isNotNull().alias("in_any"), F.round("score", 8).alias("score"))
 
 
@@ -96,14 +90,8 @@ def r10_filter_only(t):
 SETS_SQL = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^0-9a-z가-힣]+'), lambda w: w <> ''))"
 
 
-@query(f"SELECT d.doc_id, b.item_id, round(len(list_intersect({SETS_SQL.format('b.text')}, {SETS_SQL.format('d.text')})) / len({SETS_SQL.format('b.text')}), 6) AS score FROM (SELECT * FROM benchmark WHERE item_id < 3) b, (SELECT * FROM documents WHERE lang = 'es') d")
-def r13_rerank_overlap(t):
-    asked = t.benchmark.where("item_id < 3").select("item_id", F.col("text").alias("q"))
-    return t.documents.where("lang = 'es'").crossJoin(F.broadcast(asked)).select("doc_id", "item_id", F.round(R.overlap(F.col("q"), F.col("text")), 6).alias("score"))
-
-
 @query(f"SELECT d.doc_id, b.item_id, round(len(list_intersect({SETS_SQL.format('b.text')}, {SETS_SQL.format('d.text')})) / len({SETS_SQL.format('b.text')}), 6) AS score FROM benchmark b CROSS JOIN documents d")
-def r13_rerank_overlap_whole(t):
+def r13_rerank_overlap(t):
     """All pairs; the words in common by a join of distinct words."""
     from lumenfold.functions.text import words
 
@@ -159,8 +147,16 @@ def r21_match_reasons(t):
 
 @query()
 def h03_hybrid_search(t):
-    """The search route: a query with a channel that is no constraint here, two lexical lists and the trigram list of short titles."""
-    found = R.Retriever(docs(t).where("year < 2020")).search("2005년 the with", 10, {"trigram": 0.0})
+    """The search route with every list on: words, title trigrams, vectors (the documents' embeddings) and the graph of authors,
+    who are the sources."""
+    names = {"src1": "공유", "src2": "김혜수"}
+    author = F.col("source")
+    people = t.documents.select(author.alias("source")).distinct().select(F.crc32("source").alias("id"), F.coalesce(*(F.when(F.col("source") == k, v) for k, v in names.items()), F.col("source")).alias("name"))
+    credits = t.documents.select(F.crc32(author.cast("binary")).alias("person"), F.col("doc_id").alias("work"))
+    works = t.documents.select(F.col("doc_id").alias("work"), F.make_date(1990 + F.col("n_chars") % 40, F.lit(1), F.lit(1)).alias("start_date"))
+    embedder = R.HashEmbedder(len(t.embeddings.first().embedding))
+    held = docs(t).join(t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding")), "doc_id", "left")
+    found = R.Retriever(held, embedder, lambda said: R.graph_list(people, credits, works, said)).search("공유랑 the with", 10)
     return found.select("doc_id", F.round("score", 8).alias("score"), F.array_join(R.match_reasons(F.col("ranks")), " ").alias("reasons"))
 
 
@@ -207,16 +203,11 @@ def v04_summary(t):
 
 
 @query("""SELECT 'title' AS pool, count(*) AS n FROM (SELECT p_name || p_brand FROM part GROUP BY 1 HAVING count(*) = 1)
-UNION ALL SELECT 'person', count(*) FROM (SELECT l_suppkey FROM lineitem WHERE l_partkey < 20 GROUP BY 1 HAVING count(DISTINCT l_partkey) BETWEEN 1 AND 3)
-UNION ALL SELECT 'pair', count(*) FROM (SELECT a.p, b.p FROM (SELECT DISTINCT l_suppkey AS p, l_partkey AS w FROM lineitem WHERE l_partkey < 20) a JOIN (SELECT DISTINCT l_suppkey AS p, l_partkey AS w FROM lineitem WHERE l_partkey < 20) b ON a.w = b.w AND a.p < b.p
- WHERE a.p IN (SELECT l_suppkey FROM lineitem WHERE l_partkey < 20 GROUP BY 1 HAVING count(DISTINCT l_partkey) >= 2) AND b.p IN (SELECT l_suppkey FROM lineitem WHERE l_partkey < 20 GROUP BY 1 HAVING count(DISTINCT l_partkey) >= 2) GROUP BY 1, 2 HAVING count(*) = 1)
+UNION ALL SELECT 'person', count(*) FROM (SELECT l_suppkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) BETWEEN 1 AND 3)
+UNION ALL SELECT 'pair', count(*) FROM (SELECT a.p, b.p FROM (SELECT DISTINCT l_suppkey AS p, l_partkey AS w FROM lineitem) a JOIN (SELECT DISTINCT l_suppkey AS p, l_partkey AS w FROM lineitem) b ON a.w = b.w AND a.p < b.p
+ WHERE a.p IN (SELECT l_suppkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) >= 2) AND b.p IN (SELECT l_suppkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) >= 2) GROUP BY 1, 2 HAVING count(*) = 1)
 UNION ALL SELECT 'cell', count(*) FROM (SELECT p_brand, p_type, p_size FROM part GROUP BY 1, 2, 3 HAVING count(*) BETWEEN 1 AND 4)""")
 def v05_golden_pools(t):
-    return _pools(t, t.lineitem.where("l_partkey < 20"))
-
-
-@query(SQL["v05_golden_pools"].replace(" WHERE l_partkey < 20", ""))
-def v05_golden_pools_whole(t):
     return _pools(t, t.lineitem)
 
 

@@ -89,7 +89,7 @@ def k06_link_verdict(t):
     return rows.select("page_id", rules.link_verdict(F.col("provider"), F.col("url"), F.col("http"), F.col("final"), F.col("error")).alias("state"))
 
 
-@query()
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'DRAMA' WHEN 2 THEN 'DRAMA' ELSE 'NOT_DRAMA' END AS kind FROM pages")
 def k01_program_kinds(t):
     """Kinds by classes, genres and categories; the rule table is tested on fixtures."""
     labels = F.array(F.get(F.array(*map(F.lit, ["drama", "quiz", "thriller", "news"])), (F.col("page_id") % 4).cast("int")))
@@ -97,12 +97,13 @@ def k01_program_kinds(t):
     return t.pages.select("page_id", rules.program_kind(none, labels, none)["kind"].alias("kind"))
 
 
-@query()
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'sbs' WHEN 1 THEN 'tvn' WHEN 3 THEN 'netflix' END AS code, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host FROM pages")
 def k05_channels(t):
     titles = F.array(F.get(F.array(*map(F.lit, ["SBS 금토드라마", "TvN의 텔레비전 드라마", "KBS MBC", "Netflix"])), (F.col("page_id") % 4).cast("int")))
     return t.pages.select("page_id", rules.infer_channel(titles)["code"].alias("code"), host(F.col("url")).alias("host"))
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('manual', 'source_manual_pool', 'https://', false), ('local_seed', 'source_manual_pool', 'http://seed:8000/', false), ('wikidata', 'source_wikidata_pool', 'https://query.wikidata.org/', true),
+('kowiki', 'source_kowiki_pool', 'https://ko.wikipedia.org/', false), ('tvn_official', 'source_tvn_pool', 'https://tvn.cjenm.com/', false)) s(code, pool, prefixes, discovered)""")
 def s15_sources(t):
     return S.sources(t.spark).select("code", "pool", F.array_join("prefixes", " ").alias("prefixes"), "discovered")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -39,6 +40,14 @@ def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Q
     return register
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Only a session of one machine may do without, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext._jsc.sc().isLocal():
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    return (found or tempfile.mkdtemp(prefix="lumenfold-")).rstrip("/")
+
+
 def long(c: str) -> F.Column:
     return F.col(c).cast("long").alias(c)
 

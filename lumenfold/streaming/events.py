@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+#: Milliseconds of silence after which a client's state goes; a window is a minute, the rest allows for late calls.
+IDLE = 600_000
+
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, pattern: str | None = None) -> DataFrame:
     """New Parquet files of a folder; ``pattern`` picks files by name."""
@@ -67,12 +70,16 @@ def limited(calls: DataFrame, per_minute: int) -> DataFrame:
 
 
 def limited_stream(calls: DataFrame, per_minute: int) -> DataFrame:
-    """The same over a stream of (bucket, client, call_id, at): at most ``per_minute`` allowed times a client are kept."""
+    """The same over a stream of (bucket, client, call_id, at): at most ``per_minute`` allowed times a client are kept, and nothing
+    of clients that have been silent for IDLE. Of a client's calls in one micro-batch ids and times are held, to be put in order."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["seconds", "call_id"])
+        rows = pd.concat([b[["call_id", "seconds"]] for b in batches]).sort_values(["seconds", "call_id"])
         allowed = []
         for at in rows["seconds"]:
             kept = [x for x in kept if x > at - 60]
@@ -80,8 +87,9 @@ def limited_stream(calls: DataFrame, per_minute: int) -> DataFrame:
             if allowed[-1]:
                 kept.append(at)
         state.update((kept,))
+        state.setTimeoutDuration(IDLE)
         yield pd.DataFrame({"bucket": key[0], "client": key[1], "call_id": rows["call_id"].to_numpy(), "allowed": allowed})
 
     rows = calls.select("bucket", "client", "call_id", F.col("at").cast("timestamp").cast("double").alias("seconds"))
     kinds = dict(rows.dtypes)
-    return rows.groupBy("bucket", "client").applyInPandasWithState(step, f"bucket {kinds['bucket']}, client {kinds['client']}, call_id {kinds['call_id']}, allowed boolean", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("bucket", "client").applyInPandasWithState(step, f"bucket {kinds['bucket']}, client {kinds['client']}, call_id {kinds['call_id']}, allowed boolean", "kept array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)

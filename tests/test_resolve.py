@@ -1,6 +1,7 @@
 """Resolution ladders, batches, slugs, quality gates, reviews and merges on small tables."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,6 +185,66 @@ def test_hybrid_search(spark):
     assert R.Retriever(docs).search("?").count() == 0
 
 
+def test_web_search_syntax(spark):
+    assert R.websearch('신 "두 말" -공유 or Goblin') == [[(True, ["신"]), (True, ["두", "말"]), (False, ["공유"])], [(True, ["goblin"])]]
+    assert R.websearch('- "" ?') == []
+    rows = [(1, "두 말 신"), (2, "신 말 두"), (3, "신 두 말 공유"), (4, "goblin"), (5, None), (6, "두")]
+    docs = spark.createDataFrame([(i, None, None, b, None) for i, b in rows], "doc_id long, title string, aliases string, body string, synopsis string")
+    got = R.matches(docs, R.websearch('신 "두 말" -공유 or Goblin'))
+    assert {r.doc_id for r in got.where("every").collect()} == {1, 4} and {r.doc_id for r in got.collect()} == {1, 2, 3, 4, 6}
+    assert R.matches(docs, R.websearch("-공유")).count() == 0
+
+
+def test_stored_index_gives_the_same_lists(spark, tmp_path):
+    rows = [(1, "두 말 신", "a b"), (2, "신 말 두", "두 두"), (3, "신", None), (4, "", "말")]
+    docs = spark.createDataFrame([(i, t, None, b, None) for i, t, b in rows], "doc_id long, title string, aliases string, body string, synopsis string")
+    index = R.write_index(docs, str(tmp_path / "index"))
+    found = R.matches(docs, R.websearch("두 말"))
+    for every in (True, False):
+        want = {(r.doc_id, r.score) for r in (found.where("every") if every else found).collect()}
+        assert want and {(r.doc_id, r.score) for r in R.indexed(index, "두 말", every).collect()} == want
+
+
+def test_graph_list_and_rerank(spark):
+    people = spark.createDataFrame([(1, "공유"), (2, "김고은"), (3, "김혜수"), (4, "공유")], "id long, name string")
+    credits = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (2, 12), (3, 13), (4, 14)], "person long, work long")
+    works = spark.createDataFrame([(10, "2016-12-02"), (11, "2020-01-01"), (12, None), (13, "2001-01-01"), (14, "2002-01-01")], "work long, day string").selectExpr("work", "cast(day AS date) AS start_date")
+    asked = lambda said: [(r.work, r.rank) for r in R.graph_list(people, credits, works, said).orderBy("rank").collect()]
+    assert asked("공유랑 나온") == [(11, 1), (10, 2)]  # the first person of one name
+    assert asked("김고은과 김혜수") == [(12, 1), (10, 2), (13, 3)]  # no work in common
+    assert asked("nobody") == []
+    single = people.where("id < 4")
+    assert [(r.work, r.rank) for r in R.graph_list(single, credits, works, "공유랑 김고은").collect()] == [(10, 1)]
+    docs = spark.createDataFrame([(10, "a", None, "x 공유", None, "tvn", 2016, "2016-12-02"), (11, "b", None, "x", "공유 y", "tvn", 2020, None), (12, "c", None, "x y", None, "tvn", 2016, "2016-01-01")], "doc_id long, title string, aliases string, body string, synopsis string, channel string, year int, start_date string")
+
+    def broken(said):
+        raise RuntimeError(said)
+
+    r = R.Retriever(docs, None, broken)
+    assert {x.doc_id for x in r.search("공유").collect()} == {10, 11} and r.failed == "RuntimeError"
+    assert [x.doc_id for x in r.search("tvn").orderBy(F.desc("score")).collect()] == [12, 10, 11]  # by day, none last
+    top = r.search("공유 x y", rerank=True).collect()
+    assert [x.doc_id for x in top] == [11, 10, 12] and top[0].ranks["rerank"] == 1 and top[0].score == top[0].scores["rerank"] == 1.0
+
+
+def test_similar_titles_are_bounded_exactly(spark):
+    names = ["blue ring", "ring of blue", "blu", "the blue ringing", "", None, "red", "ring ring blue", "deep blue sea ring bl"]
+    rows = spark.createDataFrame([(x,) for x in names], "n string")
+    from lumenfold.functions import text as T
+
+    for q in ("blue ring", "rings", ""):
+        got = rows.select("n", T.word_similarity(F.lit(q), F.col("n")).alias("a"), T.similar(F.lit(q), F.col("n"), 0.35).alias("b")).collect()
+        for r in got:
+            want = brute_similarity(q, r.n or "")
+            assert r.a == pytest.approx(want) and r.b == pytest.approx(want if want >= 0.35 else 0.0)
+
+
+def brute_similarity(q, t):
+    grams = lambda x: [p[i : i + 3] for w in re.findall("[0-9a-z]+", x) for p in [f"  {w} "] for i in range(len(p) - 2)]
+    a, b = set(grams(q)), grams(t)
+    return max((len(a & set(b[i:j])) / len(a | set(b[i:j])) for i in range(len(b)) for j in range(i + 1, len(b) + 1)), default=0.0) if a else 0.0
+
+
 def test_fusion_properties(spark):
     rows = [("a", 1, 1, 9.0), ("b", 1, 2, 1.0), ("a", 2, 2, 8.0), ("b", 3, 1, 99.0)]
     lists = spark.createDataFrame(rows, "list_name string, doc_id long, rank long, score double")

@@ -9,7 +9,7 @@ import pytest
 from lumenfold.plans import registry
 
 
-@pytest.mark.parametrize(("name", "table", "key"), [("e05_resolve_works_whole", "part", "p_partkey"), ("e06_resolve_people_whole", "customer", "c_custkey"), ("e07_resolve_songs_whole", "orders", "o_orderkey")])
+@pytest.mark.parametrize(("name", "table", "key"), [("e05_resolve_works", "part", "p_partkey"), ("e06_resolve_people", "customer", "c_custkey"), ("e07_resolve_songs", "orders", "o_orderkey")])
 def test_every_row_is_resolved(spark, sf, name, table, key):
     got = [r[0] for r in registry.QUERIES[name](spark, sf).select("mention_id").collect()]
     assert sorted(got) == sorted(r[0] for r in spark.read.parquet(f"{sf}/{table}.parquet").select(key).collect())
@@ -19,23 +19,23 @@ def test_every_title_is_blocked(spark, sf):
     part = spark.read.parquet(f"{sf}/part.parquet").collect()
     titles = {r.p_name.lower() for r in part} | {r.p_type.lower() for r in part}
     want = {(m.p_partkey, c.p_partkey) for m in part if m.p_partkey % 5 for c in part if c.p_size != 7 and m.p_name.lower() in (c.p_name.lower(), c.p_type.lower())}
-    assert titles and {tuple(r) for r in registry.QUERIES["e03_blocking_whole"](spark, sf).collect()} == want
+    assert titles and {tuple(r) for r in registry.QUERIES["e03_blocking"](spark, sf).collect()} == want
 
 
 def test_words_are_compared_in_all_pairs(spark, sf):
     docs, items = (spark.read.parquet(f"{sf}/{n}.parquet").collect() for n in ("documents", "benchmark"))
     want = {(b.item_id, d.doc_id): len(set(b.text.lower().split(" ")) & set(d.text.lower().split(" "))) for b in items for d in docs if d.text is not None}
-    got = {(r.item_id, r.doc_id): r.shared for r in registry.QUERIES["u03_token_intersection_whole"](spark, sf).collect()}
+    got = {(r.item_id, r.doc_id): r.shared for r in registry.QUERIES["u03_token_intersection"](spark, sf).collect()}
     assert {k: v for k, v in got.items() if v is not None} == want
-    scored = registry.QUERIES["r13_rerank_overlap_whole"](spark, sf).select("doc_id", "item_id").collect()
+    scored = registry.QUERIES["r13_rerank_overlap"](spark, sf).select("doc_id", "item_id").collect()
     assert len(scored) == len(set(scored)) == len(docs) * len(items)
 
 
 def test_whole_texts_are_cleaned(spark, sf):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    got = {r.doc_id: r.cleaned for r in registry.QUERIES["c01_clean_whole"](spark, sf).collect()}
+    got = {r.doc_id: r.cleaned for r in registry.QUERIES["c01_clean"](spark, sf).collect()}
     assert got == {i: " ".join(unicodedata.normalize("NFKC", r.text or "").split()) or None for i, r in docs.items()}
-    keys = {r.doc_id: r.k for r in registry.QUERIES["c02_normalize_key_whole"](spark, sf).collect()}
+    keys = {r.doc_id: r.k for r in registry.QUERIES["c02_normalize_key"](spark, sf).collect()}
     fold = lambda r: " ".join(x for x in (r.source, r.text) if x is not None)
     assert keys == {i: re.sub("[^0-9a-z가-힣ㄱ-ㆎ]+", "", unicodedata.normalize("NFKC", fold(r)).casefold()) for i, r in docs.items()}
 
@@ -54,14 +54,14 @@ def test_communities_of_the_whole_graph(spark, sf):
 
 def test_owners_and_sources_are_whole(spark, sf):
     orders, docs = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("orders", "documents"))
-    got = registry.QUERIES["a23_own_list_by_year_whole"](spark, sf).collect()
+    got = registry.QUERIES["a23_own_list_by_year"](spark, sf).collect()
     assert sum(r.n for r in got) == orders.count() and {r.owner for r in got} == {r[0] for r in orders.select("o_custkey").collect()}
-    assert registry.QUERIES["j06_null_safe_equi_whole"](spark, sf).first().n == docs.where("lang IS NOT NULL").count()
+    assert registry.QUERIES["j06_null_safe_equi"](spark, sf).first().n == docs.where("lang IS NOT NULL").count()
 
 
 @pytest.mark.parametrize(("name", "column", "table", "key"), [
-    ("a14_distinct_maps_whole", "l_suppkey", "lineitem", "l_suppkey"), ("m06_newest_wins_whole", "user_id", "events", "user_id"), ("t03_desc_nulls_last_whole", "id", "orders", "o_orderkey"),
-    ("t04_asc_nulls_last_whole", "id", "orders", "o_orderkey"), ("t05_desc_nulls_first_whole", "id", "orders", "o_orderkey"), ("t09_missing_first_whole", "id", "orders", "o_orderkey"), ("j11_four_hop_path_whole", "work", "lineitem", "l_partkey"),
+    ("a14_distinct_maps", "l_suppkey", "lineitem", "l_suppkey"), ("m06_newest_wins", "user_id", "events", "user_id"), ("t03_desc_nulls_last", "id", "orders", "o_orderkey"),
+    ("t04_asc_nulls_last", "id", "orders", "o_orderkey"), ("t05_desc_nulls_first", "id", "orders", "o_orderkey"), ("t09_missing_first", "id", "orders", "o_orderkey"), ("j11_four_hop_path", "work", "lineitem", "l_partkey"),
 ])
 def test_every_key_is_there(spark, sf, name, column, table, key):
     got = {r[0] for r in registry.QUERIES[name](spark, sf).select(column).collect()}
@@ -71,4 +71,4 @@ def test_every_key_is_there(spark, sf, name, column, table, key):
 
 def test_every_actor_has_watchers(spark, sf):
     people = {str(r[0]) for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey").collect()}
-    assert {r.k2 for r in registry.QUERIES["a22_marts_whole"](spark, sf).where("mart = 'user_actor_watch'").collect()} == people
+    assert {r.k2 for r in registry.QUERIES["a22_marts"](spark, sf).where("mart = 'user_actor_watch'").collect()} == people
