@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 from lumenfold.llm import bpe, chat, components, jaccard, jpeg, packing, quality, queries, repeats, search, sharding, token_counts
@@ -150,9 +151,12 @@ def test_chat_tree(spark):
             rows.append((conv, turn, "assistant" if turn % 2 == 0 else "user", draw.choice(["", None, "hi", queries.HOSTILE, "é\n<\\|", "x" * 50])))
     rows += [(None, 0, None, "n"), (None, None, "assistant", "first"), (70, 1, "user", "b"), (70, 1, "user", "a"), (71, 0, "a\nb", "c")]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, depth int")
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        made = chat.formatter(f.read(), public_tokenizers.PATTERN)
     for limit in (1 << 18, 300):
-        nodes, members = chat.layouts(frame, limit)
-        got = {r.conv_id: r for r in chat.read_back(nodes, members).collect()}
+        ranks = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+        nodes, members = chat.layouts(frame, *ranks, limit)
+        got = {r.conv_id: r for r in chat.read_back(nodes, members, *ranks).collect()}
         key = lambda v: (v is not None, v or 0 if not isinstance(v, str) else v)
         for conv in {r[0] for r in rows}:
             mine = sorted((r[1:] for r in rows if r[0] == conv), key=lambda r: (key(r[0]), r[1] or "", r[2] or ""))
@@ -162,25 +166,31 @@ def test_chat_tree(spark):
             assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
             assert got[conv].formatted_chars == sum(len(chat.render(a or "", b or "")[0]) for _, a, b in mine)
         flat = nodes.collect()
-        assert len({(r.layout, r.node) for r in flat}) == len(flat)  # a shared turn once a layout
+        assert len({r.node for r in flat}) == len(flat)  # a shared turn once, in trees of any size
+        place, size = {r.node: r for r in flat}, {r.node: len(r.ids) // 4 for r in flat}
         by = {}
         for r in flat:
             by.setdefault(r.layout, []).append(r)
+            turn = made.ids(r.role, "")[0]
+            assert bytes(r.ids)[: len(turn) - len(made.after)] == turn[: len(turn) - len(made.after)]
+            assert (r.loss_start is not None) == (r.role == "assistant")
         for own in by.values():
-            place = {r.node: r for r in own}
             at = 0
             for r in sorted(own, key=lambda r: r.offset):
                 assert r.offset == at
-                at += len(r.content)
-                above, p = [], r.parent
+                at += size[r.node]
+                above, p = set(), r.parent
                 while p:
-                    above.append((place[p].offset, place[p].offset + len(place[p].content)))
+                    above |= {(place[p].layout, x) for x in range(place[p].offset, place[p].offset + size[p])}
                     p = place[p].parent
-                covered = {x for a, z in above for x in range(a, z)}
-                assert covered == {x for s in r.ancestors for x in range(s.start, s.stop)}
-                assert r.position == len(covered)
-    assert len({r.layout for r in flat}) > 2
-    assert chat.layouts(frame.limit(0))[0].count() == 0
+                assert above == {(s.layout, x) for s in r.ancestors for x in range(s.start, s.stop)}
+                assert r.position == len(above)
+    assert len({r.layout for r in flat}) > 20 and any(len({s.layout for s in r.ancestors}) > 1 for r in flat)
+    assert chat.layouts(frame.limit(0), *ranks)[0].count() == 0
+    reference = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=made.own.ranks, special_tokens={})
+    ids, start, stop = made.ids("user", "a <|im_end|> b")
+    assert np.frombuffer(ids, np.uint32)[start:stop].tolist() == reference.encode_ordinary("a <\\|im_end|> b")
+    assert made.text(ids) == chat.render("user", "a <|im_end|> b")[0]
 
 
 def test_packing(docs, texts, empty):
