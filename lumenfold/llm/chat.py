@@ -20,11 +20,12 @@ from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lumenfold.llm.bpe import Codec, codec
-from lumenfold.llm.common import broadcast_file, lean, ship, stored
+from lumenfold.llm.common import broadcast_file, lean, release, ship, stored
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
@@ -65,15 +66,12 @@ class Formatter:
         return head + body + self.after, len(head) // 4, (len(head) + len(body)) // 4
 
     def text(self, ids: bytes) -> str:
-        out, held = [], array("I")
-        for i in array("I", ids):
-            if i < self.start:
-                held.append(i)
-                continue
-            out.append(self.own.decode(held.tobytes()))
-            out.append(b"<|im_start|>" if i == self.start else b"<|im_end|>")
-            held = array("I")
-        return b"".join([*out, self.own.decode(held.tobytes())]).decode()
+        marks = np.flatnonzero(np.frombuffer(ids, np.uint32) >= self.start).tolist()
+        out, done = [], 0
+        for i in marks:
+            out += [self.own.decode(ids[done : 4 * i]), b"<|im_start|>" if ids[4 * i : 4 * i + 4] == self.before else b"<|im_end|>"]
+            done = 4 * i + 4
+        return b"".join([*out, self.own.decode(ids[done:])]).decode()
 
 
 def formatter(file: bytes, pattern: str) -> Formatter:
@@ -138,7 +136,7 @@ def layouts(conversations: DataFrame, ranks_path: str, pattern: str, max_chars:
     """
     ship(conversations.sparkSession)
     file = broadcast_file(conversations.sparkSession, ranks_path)
-    flat = stored(turns(conversations, file, pattern), "chat-turns")
+    flat = stored(turns(conversations, file, pattern), "chat-turns", "zstd")
     large = stored(flat.groupBy("node").agg(F.sum("total").alias("w")).where(F.col("w") > max_chars).select("node"), "chat-large")
     marked = large.withColumn("large", F.lit(True))
     slim = flat.select("conv_id", "depth", "node", "length", "is_last").join(F.broadcast(marked) if large.count() <= FEW else marked, "node", "left")
@@ -154,8 +152,10 @@ def layouts(conversations: DataFrame, ranks_path: str, pattern: str, max_chars:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _lay_out(batches, formatter(file.value, pattern))
 
-    nodes = stored(rows.repartition("layout").sortWithinPartitions("layout", "depth", "node").mapInArrow(lean(run), NODES), "chat-nodes")
-    members = flat.where("is_last").select("conv_id", F.col("node").alias("leaf")).join(info.select(F.col("node").alias("leaf"), "layout"), "leaf").select("conv_id", "layout", "leaf")
+    nodes = stored(rows.repartition("layout").sortWithinPartitions("layout", "depth", "node").mapInArrow(lean(run), NODES), "chat-nodes", "zstd")
+    leaves = flat.where("is_last").select("conv_id", F.col("node").alias("leaf"))
+    members = stored(leaves.join(info.select(F.col("node").alias("leaf"), "layout"), "leaf").select("conv_id", "layout", "leaf"), "chat-members")
+    release(flat, large, info)
     return nodes, members
 
 

@@ -73,12 +73,12 @@ def _files(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation. It
     is deleted when the driver's JVM ends, or earlier by ``release``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenfold/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     files, target = _files(spark, path)
     files.deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
