@@ -53,4 +53,4 @@ def long(c: str) -> F.Column:
 
 
 def load() -> None:
-    from lumenfold.plans import q_catalog, q_extras, q_graph, q_merge, q_resolve, q_retrieval, q_sources  # noqa: F401
+    from lumenfold.plans import q_catalog, q_extras, q_graph, q_merge, q_records, q_resolve, q_retrieval, q_sources  # noqa: F401
