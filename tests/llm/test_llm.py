@@ -350,6 +350,17 @@ def test_quality_on_held_out_rows(spark):
     assert right > 0.95 and all(0 <= r.score <= 1 for r in got)
 
 
+def test_quality_learns_from_trigrams():
+    """Texts that only differ in the order of letters within words, which no share of byte classes shows."""
+    draw = np.random.default_rng(3)
+    kinds = [["stone", "water", "light"], ["tsneo", "rtwae", "ghitl"]]
+    texts = [(good, " ".join(draw.choice(kinds[0 if good else 1], 40))) for good in draw.random(400) < 0.5]
+    x, good = np.array([quality.features(t) for _, t in texts]), np.array([g for g, _ in texts])
+    found = quality.fit(x[:300], good[:300]).scores(x[300:])
+    assert found[good[300:]].min() > found[~good[300:]].max()
+    assert np.isfinite(quality.features("")).all() and np.isfinite(quality.features("a")).all() and np.isfinite(quality.features("é" * 200_000)).all()
+
+
 def test_quality_odd_input(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 1), (4, 7)], "doc_id long, quality int")
     one = quality.train(docs, labels)
