@@ -84,16 +84,18 @@ def fit(x: np.ndarray, good: np.ndarray, accept: float = 0.3, pairs: int = 60_00
     d = x.shape[1]
     if not good.any() or good.all():
         return Ranking(np.zeros(d), np.ones(d), np.zeros(d), 0.0 if good.all() else 1.0, accept)
-    centre, scale = x.mean(0), x.std(0) + 1e-6
+    centre, scale = x.mean(0, dtype=float), np.sqrt(x.var(0, dtype=float)) + 1e-6
     scale[-TRIGRAMS:] *= CAUTION if d == N_FEATURES else 1.0
-    z = np.clip((x - centre) / scale, -8, 8)
+    z = np.empty(x.shape, np.float32)
+    for i in range(0, len(x), PAIRS_AT_ONCE):
+        z[i : i + PAIRS_AT_ONCE] = np.clip((x[i : i + PAIRS_AT_ONCE] - centre) / scale, -8, 8)
     draw = np.random.default_rng(seed)
     better, worse = draw.choice(np.flatnonzero(good), pairs), draw.choice(np.flatnonzero(~good), pairs)
     w = np.zeros(d)
     for _ in range(30):
         gradient, hessian = -penalty * w, penalty * np.eye(d)
         for i in range(0, pairs, PAIRS_AT_ONCE):
-            diff = z[better[i : i + PAIRS_AT_ONCE]] - z[worse[i : i + PAIRS_AT_ONCE]]
+            diff = z[better[i : i + PAIRS_AT_ONCE]].astype(float) - z[worse[i : i + PAIRS_AT_ONCE]]
             p = 1 / (1 + np.exp(-np.clip(diff @ w, -30, 30)))
             gradient += diff.T @ (1 - p)
             hessian += (diff * (p * (1 - p))[:, None]).T @ diff
@@ -118,7 +120,7 @@ def fold(id_col: str):
 def feature_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t or "").tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t or "").astype(np.float32).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "x"])
 
     return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(lean(run), f"id {dict(docs.dtypes)[id_col]}, x binary")
 
@@ -131,8 +133,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, accept
     chosen = usable.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").dropDuplicates(["id"])
     rows = feature_rows(picked.select(F.struct("id", "label").alias("key"), "text"), "key", "text").select("id.id", "id.label", "x").orderBy("id").collect()
-    x = np.frombuffer(b"".join(r.x for r in rows), float).reshape(len(rows), N_FEATURES)
-    return fit(x, np.array([r.label == 1 for r in rows], bool), accept)
+    good = np.array([r.label == 1 for r in rows], bool)
+    x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(len(rows), N_FEATURES)
+    del rows
+    return fit(x, good, accept)
 
 
 def score(docs: DataFrame, ranking: Ranking, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
