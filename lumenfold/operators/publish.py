@@ -7,9 +7,9 @@ references, one event a record. The state is a dict of tables, and so is the res
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from lumenfold.operators import merge as M
+from lumenfold.operators import merge as M, relational as R
 from lumenfold.operators.resolve import cluster_batch, mention_key
 
 SCHEMAS = {
@@ -30,10 +30,9 @@ def empty_state(spark) -> dict[str, DataFrame]:
 
 
 def numbered(table: DataFrame, rows: DataFrame, *order: Column) -> DataFrame:
-    """New rows with ids after the table's greatest, dense and in order. (The window sees the batch's new rows alone.)"""
+    """New rows with ids after the table's greatest, dense and in order."""
     last = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"))
-    n = F.row_number().over(Window.orderBy(*order))
-    return rows.crossJoin(F.broadcast(last)).withColumn("id", F.col("__last") + n).drop("__last")
+    return R.numbered(rows, "__place", *order).crossJoin(F.broadcast(last)).withColumn("id", F.col("__last") + F.col("__place")).drop("__last", "__place")
 
 
 def _settled(rows: DataFrame, key: Column) -> DataFrame:

@@ -49,6 +49,30 @@ def ranked(df: DataFrame, k: int, *order: Column, name: str = "rank") -> DataFra
     return top_k(df, k, *order).withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def held(df: DataFrame) -> DataFrame:
+    """Rows that are computed once and then read as they are: a checkpoint in the folder of spark.checkpoint.dir, or the cache of a
+    session that names none."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() and folder:
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.cache()
+
+
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """The rows with their places from 1 in ``order`` over the whole table, which no single task sees.
+
+    Rows are dealt by ranges of the order and held, so that a row keeps its range; each range is numbered by itself and the rows
+    of the ranges before it are added. The one-task window sees a row for each range.
+    """
+    dealt = held(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = dealt.groupBy(F.col("__range").alias("__r")).agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__r", "__before")
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    rows = dealt.withColumn(name, own).join(F.broadcast(before), F.col("__range") == F.col("__r"))
+    return rows.withColumn(name, (F.col(name) + F.col("__before")).cast("long")).drop("__range", "__r", "__before")
+
+
 def page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
     """Rows of page ``number`` (from 0) with the total of all rows that the same predicate lets through."""
     total = df.agg(F.count("*").alias("total"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lumenfold.operators.merge import new_rows
+from lumenfold.operators.relational import numbered
 
 ENTITY_TYPES = ["DRAMA", "PERSON", "SONG", "LINK"]
 MANIFEST = "source_code string, items array<struct<external_id: string, entity_type: string, url: string, kind: string>>"
@@ -103,7 +104,7 @@ def store_records(records: DataFrame, fetched: DataFrame) -> tuple[DataFrame, Da
 
 def chunks(items: DataFrame, size: int, *order: Column) -> DataFrame:
     """Items with the number of their batch of ``size``. (Reading needs none: partitions are Spark's batches.)"""
-    return items.withColumn("chunk", F.ceil(F.row_number().over(Window.orderBy(*order)) / size).cast("long"))
+    return numbered(items, "chunk", *order).withColumn("chunk", F.ceil(F.col("chunk") / size).cast("long"))
 
 
 def year_titles(spark: SparkSession, first: int, last: int, form: str = "%d년 드라마") -> DataFrame:

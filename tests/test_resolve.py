@@ -1,6 +1,7 @@
 """Resolution ladders, batches, slugs, quality gates, reviews and merges on small tables."""
 
 import datetime as dt
+import random
 import re
 
 import pytest
@@ -13,6 +14,7 @@ from lumenfold.operators import quality as Q
 from lumenfold.operators import resolve as E
 from lumenfold.operators import retrieval as R
 from lumenfold.operators import services as S
+from lumenfold.operators.relational import numbered
 
 WORK = "mention_id long, external_ref string, known_id long, channel string, year int"
 CAND = "mention_id long, id long, c_channel string, c_year int, refs array<string>"
@@ -79,6 +81,42 @@ def test_batch_clusters(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 7}
 
 
+def test_cluster_batch_plainly(spark):
+    """Against the rules applied to a list of all people of the whole batch."""
+    draw = random.Random(7)
+    rows = [(i, draw.randrange(200), draw.randrange(2), draw.choice([None, None, *"pqrstuvw"]), draw.choice(["kim", "lee", "han"]), draw.choice([None, "1980-01-01", "1990-01-01"]), draw.choice([None, *range(6)])) for i in range(400)]
+    people, want = [], {}
+    for mention, _, source, ref, name, birth, work in sorted(rows, key=lambda r: (r[1], r[0])):
+        same = [p for p in people if p["name"] == name]
+        born = [p for p in same if birth and p["birth"] == birth]
+        found = next((p for p in people if ref and (source, ref) in p["refs"]), None)
+        found = found or (born[0] if len(born) == 1 else None) or next((p for p in same if work is not None and work in p["works"]), None)
+        if not found:
+            found = {"id": mention, "name": name, "birth": None, "works": set(), "refs": set()}
+            people.append(found)
+        if ref and not any((source, ref) in p["refs"] for p in people):
+            found["refs"].add((source, ref))
+        found["works"].add(work)
+        found["birth"] = found["birth"] or birth
+        want[mention] = found["id"]
+    schema = "mention_id long, staging_id long, source_id long, external_ref string, name_normalized string, birth_date string, work long"
+    assert {r.mention_id: r.entity for r in E.cluster_batch(spark.createDataFrame(rows, schema)).collect()} == want
+    assert E.cluster_batch(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_numbered(spark):
+    """Places run through all ranges, nulls come first, equal rows take neighbouring places, and an empty table has none."""
+    draw = random.Random(3)
+    rows = [(draw.choice([None, *range(300)]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, id long").repartition(7)
+    got = numbered(df, "place", F.col("k"), F.col("id")).orderBy("place").collect()
+    assert [(r.k, r.id) for r in got] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [r.place for r in got] == list(range(1, 3001))
+    tied = numbered(df, "place", F.desc("k")).collect()
+    assert sorted(r.place for r in tied) == list(range(1, 3001))
+    assert numbered(df.where("id < 0"), "place", F.col("k")).collect() == []
+
+
 RECORD = "id int, external_id string, title_ko string, start_date date, end_date date, episode_count int, runtime_minutes int, broadcaster_code string, program_kind string, genres array<string>, credits array<struct<person: struct<name_ko: string, name_normalized: string>, credit_type: string, character_name: string, billing_order: int>>, osts array<struct<title: string, duration_seconds: int>>, links array<struct<url: string>>"
 
 
