@@ -12,7 +12,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumenfold.llm import bpe, chat, jaccard, jpeg, packing, quality, repeats, search, sharding, token_counts
+from lumenfold.llm import bpe, chat, jaccard, jpeg, merkle, packing, quality, repeats, search, sharding, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,16 +118,78 @@ def op10_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffled.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    changed = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0
+    text = F.when(changed, merkle.lowered(F.col("text"))).otherwise(F.col("text"))
+    leaves = docs.select("doc_id", "lang", merkle.leaf(*rows, F.col("text")).alias("leaf"), merkle.leaf(*rows, text).alias("tampered"))
+    found = merkle.manifest(leaves).withColumn("folded_root", merkle.fold(F.col("tampered"), "path"))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof("path").alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _op12_sql(levels: int = 7, top_levels: int = 3) -> str:
+    """Trees of up to 8 ** levels rows a language and 8 ** top_levels languages."""
+
+    def tree(name: str, depth: int) -> str:
+        """Levels name0 (g, i, d) to the root; each node has the steps s to its parent, empty where it is alone."""
+        out = []
+        for k in range(depth):
+            out.append(f"""{name}{k}s AS (
+  SELECT g, i, d, c > 1 AS step,
+    CASE WHEN c > 1 THEN coalesce(string_agg(d, '') OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS b,
+    CASE WHEN c > 1 THEN coalesce(string_agg(d, '') OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS a
+  FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM {name}{k})),
+{name}{k + 1} AS (SELECT g, i // 8 AS i, CASE WHEN bool_or(step) THEN sha256(string_agg(d, '' ORDER BY i)) ELSE min(d) END AS d FROM {name}{k}s GROUP BY g, i // 8)""")
+        return ",\n".join(out)
+
+    def field(v: str) -> str:
+        return f"coalesce(strlen({v}) || ':' || {v}, '-')"
+
+    def row(text: str) -> str:
+        return "sha256(" + " || ".join(field(v) for v in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + ")"
+
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    steps = [(f"l{k}", f"d.i // {8**k}", "d.g") for k in range(levels)] + [(f"t{k}", f"g.i // {8**k}", "0") for k in range(top_levels)]
+    joins = "\n".join(f"JOIN {n}s {n} ON {n}.g = {g} AND {n}.i = {i}" for n, i, g in steps)
+    folds = []
+    for k, (n, _, _) in enumerate(steps):
+        folds.append(f"f{k} AS (SELECT *, CASE WHEN {n}_step THEN sha256({n}_b || {'x' if k == 0 else f'f{k - 1}'} || {n}_a) ELSE {'x' if k == 0 else f'f{k - 1}'} END AS f{k} FROM {'paths' if k == 0 else f'f{k - 1}'})")
+    columns = ", ".join(f"{n}.step AS {n}_step, {n}.b AS {n}_b, {n}.a AS {n}_a" for n, _, _ in steps)
+    siblings = " || ".join(f"{n}.b || {n}.a" for n, _, _ in steps)
+    return f"""
+WITH coded AS (
+  SELECT *, list_reduce(list_prepend(4294967295::BIGINT, [((ascii(substr(CAST(doc_id AS VARCHAR), k // 8 + 1, 1)) >> (k % 8)) & 1)::BIGINT for k in range(8 * length(CAST(doc_id AS VARCHAR)))]),
+    lambda c, bit: CASE WHEN (c & 1) <> bit THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+  FROM documents),
+docs AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, {row("text")} AS d,
+    CASE WHEN xor(c, 4294967295) % 3 = 0 THEN {row(f"translate(text, '{upper}', '{upper.lower()}')")} ELSE {row("text")} END AS x
+  FROM coded),
+d AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, d) - 1 AS i FROM docs),
+l0 AS (SELECT g, i, d FROM d),
+{tree("l", levels)},
+g AS (SELECT g, d, row_number() OVER (ORDER BY g) - 1 AS i FROM l{levels}),
+t0 AS (SELECT 0 AS g, i, d FROM g),
+{tree("t", top_levels)},
+paths AS (
+  SELECT d.doc_id, d.d AS leaf, g.d AS subroot, (SELECT d FROM t{top_levels}) AS root, sha256({siblings}) AS proof_sha256, d.x, {columns}
+  FROM d JOIN g ON g.g = d.g {joins}),
+{", ".join(folds)}
+SELECT doc_id, leaf, subroot, root, proof_sha256, f{len(steps) - 1} AS folded_root, f{len(steps) - 1} = root AS verified FROM f{len(steps) - 1}
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_jpeg_media, op2_bmw_search, op3_chat_prefix_tree, op4_sum_of_squares_packing, op5_ngram_jaccard, op6_bpe_round_trip, op7_token_counts, op8_bradley_terry_quality, op9_repeat_removal, op10_two_pass_shuffle)
+    f.__name__: f for f in (op1_jpeg_media, op2_bmw_search, op3_chat_prefix_tree, op4_sum_of_squares_packing, op5_ngram_jaccard, op6_bpe_round_trip, op7_token_counts, op8_bradley_terry_quality, op9_repeat_removal, op10_two_pass_shuffle, op12_merkle_manifest)
 }
-SQL: dict[str, str] = {"op3_chat_prefix_tree": OP3_SQL}
+SQL: dict[str, str] = {"op3_chat_prefix_tree": OP3_SQL, "op12_merkle_manifest": _op12_sql()}
 
 
 def unpacked(ids: bytes) -> list[int]:
