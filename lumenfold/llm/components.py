@@ -30,3 +30,33 @@ def components(edges: DataFrame) -> DataFrame:
         labels, left = named, carried
     release(left)
     return labels
+
+
+def alternating(edges: DataFrame) -> DataFrame:
+    """The same by alternating large-star and small-star (Kiveris and others, 2014): (id, component) of every id in ``edges``.
+
+    Large-star hangs a node's greater neighbours under the least of its neighbourhood, small-star its lesser ones and itself;
+    neither parts what is connected. They alternate until the edges stay as they are: then each node hangs under the
+    least of its component. A neighbourhood is a minimum and a join, never gathered, so a node may have any number of neighbours.
+    """
+    flat = edges.where("a IS NOT NULL AND b IS NOT NULL")
+    nodes = flat.select("a").union(flat.select("b")).distinct().select(F.col("a").alias("id"))
+    left = stored(flat.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    mark = _mark(left)
+    while True:
+        both = left.union(left.select("v", "u"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        under = large.groupBy("u").agg(F.min("v").alias("m"))
+        moved = large.join(under, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = stored(moved.union(under).distinct(), "edges")
+        release(left, large)
+        left, before, mark = after, mark, _mark(after)
+        if mark == before:
+            return nodes.join(left, nodes.id == left.u, "left").select("id", F.coalesce("v", "id").alias("component"))
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """What tells two sets of edges apart: their number and two sums of hashes."""
+    h = F.xxhash64("u", "v")
+    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(F.pmod(h, F.lit((1 << 31) - 1)))).first())

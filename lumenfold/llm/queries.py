@@ -12,7 +12,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumenfold.llm import bpe, chat, jaccard, jpeg, merkle, packing, quality, repeats, search, sharding, token_counts
+from lumenfold.llm import bpe, chat, jaccard, jpeg, merkle, minhash, packing, quality, repeats, search, sharding, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -128,6 +128,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", merkle.proof("path").alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -187,7 +191,7 @@ SELECT doc_id, leaf, subroot, root, proof_sha256, f{len(steps) - 1} AS folded_ro
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_jpeg_media, op2_bmw_search, op3_chat_prefix_tree, op4_sum_of_squares_packing, op5_ngram_jaccard, op6_bpe_round_trip, op7_token_counts, op8_bradley_terry_quality, op9_repeat_removal, op10_two_pass_shuffle, op12_merkle_manifest)
+    f.__name__: f for f in (op1_jpeg_media, op2_bmw_search, op3_chat_prefix_tree, op4_sum_of_squares_packing, op5_ngram_jaccard, op6_bpe_round_trip, op7_token_counts, op8_bradley_terry_quality, op9_repeat_removal, op10_two_pass_shuffle, op12_merkle_manifest, op13_minhash_near_duplicates)
 }
 SQL: dict[str, str] = {"op3_chat_prefix_tree": OP3_SQL, "op12_merkle_manifest": _op12_sql()}
 
