@@ -176,20 +176,29 @@ def mix(x: np.ndarray) -> np.ndarray:
 BITMAP_BITS = 1 << 25
 
 
-def maybe_in(keys: DataFrame, column: str):
-    """A predicate on a long column: false only where no row of ``keys`` has that value in ``column``.
+def bitmap(keys: DataFrame, column: str):
+    """The broadcast bitmap of a long column, BITMAP_BITS bits in 64-bit words; a value's bit is its residue.
 
-    The driver gets one word for each 64 bits of the bitmap at most. With many more keys than bits the predicate lets more
-    rows through; whoever uses it has to be right for those too.
+    The driver gets one word for each 64 bits at most, whatever the number of rows.
     """
     from pyspark.sql import functions as F
-    from pyspark.sql.pandas.functions import pandas_udf
 
     bit = F.pmod(F.col(column), F.lit(BITMAP_BITS)).cast("long")
     words = keys.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 AS int)))").alias("m")).toPandas()
-    bitmap = np.zeros(BITMAP_BITS // 64, np.int64)
-    bitmap[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64)
-    shared = keys.sparkSession.sparkContext.broadcast(bitmap)
+    out = np.zeros(BITMAP_BITS // 64, np.int64)
+    out[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64)
+    return keys.sparkSession.sparkContext.broadcast(out)
+
+
+def maybe_in(keys: DataFrame, column: str):
+    """A predicate on a long column: false only where no row of ``keys`` has that value in ``column``.
+
+    With many more keys than bits of the bitmap the predicate lets more rows through; whoever uses it has to be right for those
+    too.
+    """
+    from pyspark.sql.pandas.functions import pandas_udf
+
+    shared = bitmap(keys, column)
 
     def there(k):
         import pandas as pd

@@ -12,7 +12,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumenfold.llm import bpe, chat, jaccard, jpeg, merkle, minhash, packing, quality, repeats, search, sharding, token_counts
+from lumenfold.llm import bpe, chat, collocations, jaccard, jpeg, merkle, minhash, packing, quality, repeats, search, sharding, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,6 +118,42 @@ def op10_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffled.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+numbered AS (SELECT lang, row_number() OVER () AS piece, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+words AS (SELECT lang, piece, unnest(w) AS w1, unnest(range(len(w))) AS place FROM numbered),
+next AS (
+  SELECT lang, w1, lead(w1, 1) OVER p AS w2, lead(w1, 2) OVER p AS w3, lead(w1, 3) OVER p AS w4, lead(w1, 4) OVER p AS w5
+  FROM words WINDOW p AS (PARTITION BY piece ORDER BY place)),
+grams AS (
+  SELECT lang, 1 AS k, w1 AS phrase FROM next
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM next WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM next WHERE w3 IS NOT NULL
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM next WHERE w4 IS NOT NULL
+  UNION ALL SELECT lang, 5, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5 FROM next WHERE w5 IS NOT NULL),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 100),
+cuts AS (
+  SELECT c.lang, c.phrase, c.k, c.a, l.f AS l, r.f AS r, n.n, (1000::HUGEINT * c.a * n.n) // (l.f::HUGEINT * r.f) AS score, cut.i
+  FROM candidates c JOIN (SELECT unnest(range(1, 5)) AS i) cut ON cut.i < c.k JOIN n ON n.lang = c.lang
+  JOIN f l ON l.lang = c.lang AND l.k = cut.i AND l.phrase = array_to_string(c.w[1 : cut.i], ' ')
+  JOIN f r ON r.lang = c.lang AND r.k = c.k - cut.i AND r.phrase = array_to_string(c.w[cut.i + 1 : c.k], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM candidates c WHERE c.lang = b.lang AND c.k > b.k AND 100 * c.a >= 100 * b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
@@ -191,9 +227,9 @@ SELECT doc_id, leaf, subroot, root, proof_sha256, f{len(steps) - 1} AS folded_ro
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_jpeg_media, op2_bmw_search, op3_chat_prefix_tree, op4_sum_of_squares_packing, op5_ngram_jaccard, op6_bpe_round_trip, op7_token_counts, op8_bradley_terry_quality, op9_repeat_removal, op10_two_pass_shuffle, op12_merkle_manifest, op13_minhash_near_duplicates)
+    f.__name__: f for f in (op1_jpeg_media, op2_bmw_search, op3_chat_prefix_tree, op4_sum_of_squares_packing, op5_ngram_jaccard, op6_bpe_round_trip, op7_token_counts, op8_bradley_terry_quality, op9_repeat_removal, op10_two_pass_shuffle, op11_collocations, op12_merkle_manifest, op13_minhash_near_duplicates)
 }
-SQL: dict[str, str] = {"op3_chat_prefix_tree": OP3_SQL, "op12_merkle_manifest": _op12_sql()}
+SQL: dict[str, str] = {"op3_chat_prefix_tree": OP3_SQL, "op11_collocations": OP11_SQL, "op12_merkle_manifest": _op12_sql()}
 
 
 def unpacked(ids: bytes) -> list[int]:
