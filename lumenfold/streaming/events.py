@@ -10,6 +10,8 @@ from pyspark.sql.types import StructType
 
 #: Milliseconds of silence after which a client's state goes; a window is a minute, the rest allows for late calls.
 IDLE = 600_000
+#: How far a call may be behind the newest one.
+LATE = "10 minutes"
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, pattern: str | None = None) -> DataFrame:
@@ -18,9 +20,15 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, pattern: str
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).parquet(path)
 
 
-def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """Handle all that has arrived since the checkpoint and stop; a second call handles only what is new."""
-    stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, seconds: float | None = None) -> None:
+    """Handle all that has arrived since the checkpoint and stop; a second call handles only what is new. A run that takes more
+    than ``seconds`` is stopped with an error."""
+    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    if seconds is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(seconds):
+        query.stop()
+        raise TimeoutError(f"the stream has not ended after {seconds} seconds")
 
 
 def unpublished(outbox: DataFrame) -> DataFrame:
@@ -69,16 +77,22 @@ def limited(calls: DataFrame, per_minute: int) -> DataFrame:
     return ordered.mapInPandas(run, f"bucket {kinds['bucket']}, client {kinds['client']}, call_id {kinds['call_id']}, allowed boolean")
 
 
-def limited_stream(calls: DataFrame, per_minute: int) -> DataFrame:
-    """The same over a stream of (bucket, client, call_id, at): at most ``per_minute`` allowed times a client are kept, and nothing
-    of clients that have been silent for IDLE. Of a client's calls in one micro-batch ids and times are held, to be put in order."""
+def limited_stream(calls: DataFrame, per_minute: int, late: str = LATE) -> DataFrame:
+    """The same over a stream of (bucket, client, call_id, at).
+
+    A client's state is its last allowed times, ``per_minute`` at most, and a timer: it goes when the watermark has passed its last
+    call by IDLE. Of a client's calls in one micro-batch ids and times are held, to be put in order. A call that comes after later
+    ones of an earlier batch is judged by the times that are kept; one that is behind the newest call of all by more than ``late`` is
+    behind the watermark and gets no row.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        kept = list(state.get[0]) if state.exists else []
+        kept, last = state.get if state.exists else ([], 0.0)
+        kept = list(kept)
         rows = pd.concat([b[["call_id", "seconds"]] for b in batches]).sort_values(["seconds", "call_id"])
         allowed = []
         for at in rows["seconds"]:
@@ -86,10 +100,12 @@ def limited_stream(calls: DataFrame, per_minute: int) -> DataFrame:
             allowed.append(len(kept) < per_minute)
             if allowed[-1]:
                 kept.append(at)
-        state.update((kept,))
-        state.setTimeoutDuration(IDLE)
+        last = max(last, *rows["seconds"])
+        state.update((kept, last))
+        state.setTimeoutTimestamp(max(int(last * 1000) + IDLE, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"bucket": key[0], "client": key[1], "call_id": rows["call_id"].to_numpy(), "allowed": allowed})
 
-    rows = calls.select("bucket", "client", "call_id", F.col("at").cast("timestamp").cast("double").alias("seconds"))
+    timed = calls.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", late)
+    rows = timed.select("bucket", "client", "call_id", "at", F.col("at").cast("double").alias("seconds"))
     kinds = dict(rows.dtypes)
-    return rows.groupBy("bucket", "client").applyInPandasWithState(step, f"bucket {kinds['bucket']}, client {kinds['client']}, call_id {kinds['call_id']}, allowed boolean", "kept array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("bucket", "client").applyInPandasWithState(step, f"bucket {kinds['bucket']}, client {kinds['client']}, call_id {kinds['call_id']}, allowed boolean", "kept array<double>, last double", "append", GroupStateTimeout.EventTimeTimeout)

@@ -31,10 +31,38 @@ def test_limiter_on_a_stream(spark, tmp_path):
     stream = S.limited_stream(S.read_stream(spark, str(tmp_path / "in"), rows.schema), 2)
     for part in (rows.where("call_id < 4"), rows.where("call_id >= 4")):
         part.write.mode("append").parquet(str(tmp_path / "in"))
-        S.run_available(stream, take, str(tmp_path / "checkpoint"))
+        S.run_available(stream, take, str(tmp_path / "checkpoint"), 60)
     assert seen == {i: ok for i, (_, ok) in enumerate(CALLS)} | {99: True}
 
 
+def test_limiter_forgets_idle_clients_and_drops_late_calls(spark, tmp_path):
+    """Timers follow the calls' own time: a client goes when the newest call of all is far enough ahead."""
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda minutes: t0 + dt.timedelta(minutes=minutes)
+    seen = {}
+    (tmp_path / "in").mkdir()
+    parts = [[("b", "idle", 1, at(0)), ("b", "busy", 2, at(0))], [("b", "busy", 3, at(9)), ("b", "idle", 4, at(0.5))], [("b", "busy", 5, at(60))], [("b", "idle", 6, at(30)), ("b", "idle", 7, at(61)), ("b", "busy", 8, at(60.5))]]
+    schema = "bucket string, client string, call_id long, at timestamp"
+    stream = S.limited_stream(S.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema), 1)
+    states = []
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        S.run_available(stream, lambda df, n: seen.update({r.call_id: r.allowed for r in df.collect()}), str(tmp_path / "checkpoint"), 60)
+        states.append({r.key.client for r in spark.read.format("statestore").load(str(tmp_path / "checkpoint")).collect()})
+    assert seen == {1: True, 2: True, 3: True, 4: False, 5: True, 7: True, 8: False}  # 6 came half an hour late
+    assert states[:3] == [{"idle", "busy"}, {"idle", "busy"}, {"busy"}] and states[3] == {"idle", "busy"}
+
+
+def test_a_run_that_does_not_end_is_stopped(spark, sf, tmp_path):
+    import time
+
+    import pytest
+
+    stream = S.read_stream(spark, sf, spark.read.parquet(f"{sf}/events.parquet").schema, "events*.parquet")
+    with pytest.raises(TimeoutError):
+        S.run_available(stream, lambda df, n: time.sleep(30), str(tmp_path / "checkpoint"), 3)
+
+
 def test_stages_handle_each_file_once(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     (tmp_path / "in").mkdir()
