@@ -145,10 +145,13 @@ def trailing_window(day: Column) -> tuple[Column, Column]:
 
 
 def cosine(a: Column, b: Column) -> Column:
+    """Null where one of the vectors has no direction."""
+
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(norms > 0, F.try_divide(dot(a, b), norms))
 
 
 def trigrams(c: Column) -> Column:

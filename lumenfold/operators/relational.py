@@ -2,14 +2,36 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Rows up to which a dimension is broadcast; beyond it the join is left to the planner.
 SMALL = 100_000
 
 
+#: The folder that holds the package.
+ROOT = Path(__file__).resolve().parents[2]
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, also where only the driver knows the way to it."""
+    sc = spark.sparkContext
+    paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if str(ROOT) in paths or getattr(sc, "_lumenfold_shipped", False):
+        return
+    target = os.path.join(tempfile.mkdtemp(), "lumenfold.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted((ROOT / "lumenfold").rglob("*.py")):
+            z.write(p, str(p.relative_to(ROOT)))
+    sc.addPyFile(target)
+    sc._lumenfold_shipped = True
+
+
 def published(df: DataFrame, status: str = "status") -> DataFrame:
     """Only rows that may be shown."""
     return df.where(F.col(status) == "PUBLISHED")

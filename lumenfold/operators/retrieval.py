@@ -1,4 +1,4 @@
-"""Retrieval: query analysis, postings, lexical, trigram and vector lists, rank fusion, reranking and the hybrid search."""
+"""Retrieval: query analysis, lexical, trigram and vector lists, rank fusion, reranking and the hybrid search."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenfold.functions import text as T
 from lumenfold.operators import graph as G
+from lumenfold.operators.fulltext import TextIndex, matches, websearch
 from lumenfold.operators.relational import ranked
+from lumenfold.operators.vectors import VectorIndex
 
 # Spoken names of channels.
 CHANNEL_NAMES = {"kbs": "kbs", "케이비에스": "kbs", "kbs2": "kbs", "kbs1": "kbs", "mbc": "mbc", "엠비씨": "mbc", "sbs": "sbs", "에스비에스": "sbs", "jtbc": "jtbc", "제이티비씨": "jtbc", "tvn": "tvn", "티비엔": "tvn"}
@@ -115,139 +118,23 @@ def parse_weights(spec: str | None) -> dict[str, float] | None:
 
 # Documents: (doc_id, title, aliases, body, synopsis, channel, year, embedding), and start_date where it is known
 
-FIELD_WEIGHTS = {"title": 1.0, "aliases": 1.0, "body": 0.4, "synopsis": 0.2}
-
-
-def postings(docs: DataFrame, fields: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
-    """(token, doc_id, weight, pos): a row for each word of each field; positions run on over the fields."""
-
-    def of(name: str, weight: float) -> Column:
-        return F.transform(T.words(F.coalesce(F.col(name), F.lit(""))), lambda w: F.struct(w.alias("token"), F.lit(weight).alias("weight")))
-
-    weighted = F.flatten(F.array(*(of(c, v) for c, v in fields.items())))
-    return docs.select("doc_id", F.posexplode(weighted).alias("pos", "p")).select("p.token", "doc_id", "p.weight", "pos")
-
-
-def write_index(docs: DataFrame, path: str, fields: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
-    """The postings as a stored table, sorted by token: a query for some words reads the row groups that have them."""
-    postings(docs, fields).repartitionByRange("token").sortWithinPartitions("token", "doc_id").write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
-
-
 def query_tokens(words: str) -> list[str]:
     return list(dict.fromkeys(re.findall("[0-9a-z가-힣]+", words.lower())))
 
 
-#: What a search asks for: alternatives, each a list of (wanted, words): words in a row that have to be there, or must not be.
-Search = list[list[tuple[bool, list[str]]]]
-
+#: The lists of full text and what each is ordered by.
+LEXICAL = {"fts": "cover", "fts_any": "mass"}
 
-def websearch(said: str) -> Search:
-    """The syntax of web searches: words all have to be there, ``"..."`` stands for words in a row, a minus in front excludes,
-    and ``or`` between parts gives alternatives (it binds weaker than the rest)."""
-    out: Search = [[]]
-    for minus, quoted, plain in re.findall(r'(-?)(?:"([^"]*)"?|([^\s"]+))', said):
-        if plain.lower() == "or" and not minus:
-            out.append([])
-            continue
-        if row := re.findall("[0-9a-z가-힣]+", (quoted or plain).lower()):
-            out[-1].append((not minus, row))
-    return [part for part in out if part]
 
-
-def wanted_tokens(search: Search) -> list[str]:
-    return list(dict.fromkeys(w for part in search for wanted, row in part if wanted for w in row))
-
-
-def matches(docs: DataFrame, search: Search, fields: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
-    """(doc_id, score, every): documents with any word of a search, and whether they are what it asks for. Everything is decided
-    within a row: texts that have none of the strings are not even cut into words, and nothing is shuffled.
-
-    The score sums weights of the words' occurrences and, where all words are there, the greatest weight over the shortest
-    distance that covers them: an approximation of cover density, of which only the order counts, for lists are fused by rank.
-    """
-    wanted = wanted_tokens(search)
-    if not wanted:
-        return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(False).alias("every")).limit(0)
-    asked = list(dict.fromkeys(w for part in search for _, row in part for w in row))
-
-    there = F.lit(False)
-    for name in fields:
-        for w in wanted:
-            there = there | F.lower(F.coalesce(F.col(name), F.lit(""))).contains(w)
-    def has(m: Column, row: list[str]) -> Column:
-        def follows(x: Column, k: int) -> Column:
-            return F.exists(m, lambda y: (y["token"] == row[k]) & (y["pos"] == x["pos"] + k))
-
-        def starts(x: Column) -> Column:
-            found = x["token"] == row[0]
-            for k in range(1, len(row)):
-                found = found & follows(x, k)
-            return found
-
-        return F.exists(m, starts)
-
-    def judged(m: Column) -> Column:
-        every = F.lit(False)
-        for part in search:
-            all_of = F.lit(True)
-            for wanted_row, row in part:
-                all_of = all_of & (has(m, row) if wanted_row else ~has(m, row))
-            every = every | all_of
-        return F.struct(every.alias("every"), T.let(F.filter(m, lambda x: x["token"].isin(wanted)), score).alias("score"))
-
-    def score(m: Column) -> Column:
-        mass = F.aggregate(m, F.lit(0.0), lambda s, x: s + x["weight"])
-        extent = F.array_max(F.transform(m, lambda x: x["pos"])) - F.array_min(F.transform(m, lambda x: x["pos"])) + 1
-        full = F.size(F.array_distinct(F.transform(m, lambda x: x["token"]))) == len(wanted)
-        density = F.when(full, F.array_max(F.transform(m, lambda x: x["weight"])) / extent).otherwise(0.0)
-        return F.when(F.size(m) > 0, F.round(mass + density, 6))
-
-    def placed(own: Column) -> Column:
-        """The words asked for, with their places and weights; ``own``: each field's words."""
-        weight, end = F.lit(list(fields.values())[-1]), F.lit(0)
-        ends = []
-        for name in list(fields)[:-1]:
-            end = end + F.size(own[name])
-            ends.append(end)
-        every = F.concat(*(own[name] for name in fields))
-
-        def of(x: Column, i: Column) -> Column:
-            heavy = weight
-            for k in reversed(range(len(ends))):
-                heavy = F.when(i < ends[k], list(fields.values())[k]).otherwise(heavy)
-            return F.when(x.isin(asked), F.struct(x.alias("token"), heavy.alias("weight"), i.alias("pos")))
-
-        return T.let(F.filter(F.transform(every, of), lambda x: x.isNotNull()), judged)
-
-    own = F.struct(*(T.words(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in fields))
-    found = spread(docs.where(there)).select("doc_id", F.explode(F.array(T.let(own, placed))).alias("f"))
-    return found.where("f.score IS NOT NULL").select("doc_id", "f.score", "f.every")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A small table, of fewer partitions than there are cores, dealt to all of them; any other as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def lexical(docs: DataFrame, said: str, names: tuple[str, str] = ("fts", "fts_any"), k: int = DEPTH) -> DataFrame:
-    """Both lexical candidate lists, of documents that are what the search asks for and of those with any of its words, in one
-    pass over the documents."""
-    found = matches(docs, websearch(said))
-    named = found.select(F.explode(F.when(F.col("every"), F.array(*map(F.lit, names))).otherwise(F.array(F.lit(names[1])))).alias("list_name"), "doc_id", "score")
-    place = F.row_number().over(Window.partitionBy("list_name").orderBy(F.desc("score"), "doc_id")).cast("long")
-    return named.withColumn("rank", place).where(F.col("rank") <= k).select("list_name", "doc_id", "rank", "score")
-
-
-def indexed(index: DataFrame, words: str, every: bool) -> DataFrame:
-    """(doc_id, score) from a stored index: documents with every (or any) word, scored as ``matches`` does."""
-    wanted = query_tokens(words)
-    rows = index.where(F.col("token").isin(wanted))
-    by_doc = rows.groupBy("doc_id").agg(F.countDistinct("token").alias("n"), F.sum("weight").alias("mass"), F.max("weight").alias("top"), (F.max("pos") - F.min("pos") + 1).alias("extent"))
-    if every:
-        by_doc = by_doc.where(F.col("n") == len(wanted))
-    return by_doc.select("doc_id", F.round(F.col("mass") + F.when(F.col("n") == len(wanted), F.col("top") / F.col("extent")).otherwise(0.0), 6).alias("score"))
+def lexical(found: DataFrame, names: Sequence[str] = ("fts", "fts_any"), k: int = DEPTH) -> DataFrame:
+    """Lexical candidate lists (list_name, doc_id, rank, score) from (doc_id, every, cover, mass): documents that are what the search
+    asks for by the density of their covers, and those with any of its words by the weight of these."""
+    out = None
+    for name in names:
+        rows = found.where("every") if LEXICAL[name] == "cover" else found
+        part = listed(name, rows.select("doc_id", F.col(LEXICAL[name]).alias("score")), k)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def graph_list(people: DataFrame, credits: DataFrame, works: DataFrame, said: str, k: int = DEPTH) -> DataFrame:
@@ -276,11 +163,17 @@ def graph_list(people: DataFrame, credits: DataFrame, works: DataFrame, said: st
     return ranked(first, k * len(ids), F.asc("at")).select("work", F.col("rank").cast("long").alias("rank"))
 
 
+def allowed(plan: Plan) -> Column | None:
+    """Within a plan's years and channel; what has no year meets no years."""
+    years = F.col("year").between(plan.year_from, plan.year_to) if plan.year_from is not None else None
+    channel = F.col("channel") == plan.broadcaster if plan.broadcaster is not None else None
+    return years & channel if years is not None and channel is not None else years if years is not None else channel
+
+
 def filtered(docs: DataFrame, plan: Plan) -> DataFrame:
-    """Documents within a plan's years and channel; a document without a year meets no years."""
-    if plan.year_from is not None:
-        docs = docs.where(F.col("year").between(plan.year_from, plan.year_to))
-    return docs if plan.broadcaster is None else docs.where(F.col("channel") == plan.broadcaster)
+    """Documents within a plan's years and channel."""
+    where = allowed(plan)
+    return docs if where is None else docs.where(where)
 
 
 def listed(name: str, rows: DataFrame, k: int = DEPTH) -> DataFrame:
@@ -374,12 +267,13 @@ def refresh_embeddings(docs: DataFrame, embedder: HashEmbedder, model: str) -> D
 class Retriever:
     """Hybrid search: the lists a query's plan calls for, fused by reciprocal rank, optionally reranked.
 
-    ``graph``: a function from the query's words to a (work, rank) table (see ``graph_list``), or None; if it fails, the search
+    ``index`` and ``vectors``: stored indexes of the documents that carry their year and channel; without them texts and vectors are
+    scanned. ``graph``: a function from the query's words to a (work, rank) table (see ``graph_list``), or None; if it fails, the search
     goes on without it and ``failed`` tells why. A list of weight 0 is not built.
     """
 
-    def __init__(self, docs: DataFrame, embedder: HashEmbedder | None = None, graph: Callable[[str], DataFrame] | None = None) -> None:
-        self.docs, self.embedder, self.graph = docs, embedder, graph
+    def __init__(self, docs: DataFrame, embedder: HashEmbedder | None = None, graph: Callable[[str], DataFrame] | None = None, index: TextIndex | None = None, vectors: VectorIndex | None = None) -> None:
+        self.docs, self.embedder, self.graph, self.index, self.vectors = docs, embedder, graph, index, vectors
         self.failed: str | None = None
 
     def lists(self, plan: Plan, weights: dict[str, float]) -> dict[str, DataFrame]:
@@ -392,19 +286,18 @@ class Retriever:
                 rows = ranked(docs.select("doc_id", day.alias("day")), DEPTH, F.asc_nulls_last("day"), F.asc("doc_id"))
                 out["filter"] = rows.select(F.lit("filter").alias("list_name"), "doc_id", F.col("rank").cast("long").alias("rank"), F.lit(0.0).alias("score"))
             return out
-        if on("fts") and on("fts_any"):
-            both = lexical(docs, plan.text)
-            out["fts"], out["fts_any"] = both.where("list_name = 'fts'"), both.where("list_name = 'fts_any'")
-        elif on("fts") or on("fts_any"):
-            found = matches(docs, websearch(plan.text))
-            name = "fts" if on("fts") else "fts_any"
-            out[name] = listed(name, found.where("every") if on("fts") else found)
+        if on("fts") or on("fts_any"):
+            found = self.index.matches(websearch(plan.text), allowed(plan)) if self.index else matches(docs, websearch(plan.text))
+            out |= {name: lexical(found, [name]) for name in LEXICAL if on(name)}
         if on("trigram"):
             names = F.greatest(*(T.similar(F.lit(plan.text), F.coalesce(F.col(c), F.lit("")), SIMILAR) for c in ("title", "aliases")))
             out["trigram"] = listed("trigram", docs.select("doc_id", names.alias("score")).where(F.col("score") >= SIMILAR))
-        if self.embedder and on("vector"):
+        if self.embedder and self.vectors and on("vector"):
+            near = self.vectors.nearest(self.embedder.embed([plan.text])[0], DEPTH, allowed(plan))
+            out["vector"] = near.select(F.lit("vector").alias("list_name"), F.col("id").alias("doc_id"), "rank", "score")
+        elif self.embedder and on("vector"):
             q = F.array(*map(F.lit, self.embedder.embed([plan.text])[0]))
-            out["vector"] = listed("vector", docs.where("embedding IS NOT NULL").select("doc_id", T.cosine(F.col("embedding"), q).alias("score")))
+            out["vector"] = listed("vector", docs.where("embedding IS NOT NULL").select("doc_id", F.round(T.cosine(F.col("embedding"), q), 6).alias("score")).where("score IS NOT NULL"))
         if self.graph and on("graph"):
             try:
                 rows = self.graph(plan.text).orderBy("rank").limit(DEPTH).select(F.col("work").cast("long").alias("doc_id"), "rank").collect()
@@ -422,10 +315,8 @@ class Retriever:
         rows: list = []
         for constraints in (True, False):
             plan = overridden(analyze(query, constraints), **overrides)
-            lists = self.lists(plan, weights)
-            both = {"fts", "fts_any"} <= set(lists)
-            wanted = [lexical(filtered(self.docs, plan), plan.text)] * both + [x for name, x in lists.items() if not (both and name.startswith("fts"))]
-            rows = [tuple(r) for x in wanted for r in x.select("list_name", "doc_id", "rank", "score").collect()]
+            parts = [x.select("list_name", "doc_id", "rank", "score") for x in self.lists(plan, weights).values()]
+            rows = [tuple(r) for r in reduce(DataFrame.unionByName, parts).collect()] if parts else []
             if rows or not (constraints and plan.constrained and plan.text):
                 break
         found = spark.createDataFrame(rows, "list_name string, doc_id long, rank long, score double")

@@ -6,35 +6,66 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lumenfold.functions import text as T
 from lumenfold.operators import evaluate as V
+from lumenfold.operators import fulltext as X
 from lumenfold.operators import retrieval as R
+from lumenfold.operators import vectors as N
 from lumenfold.operators.graph import ordered_union
 from lumenfold.operators.relational import full_outer_ranks, ranked, shared_by_all
 from lumenfold.plans.q_catalog import COSINE_SQL, LATENCY_SQL, latency
-from lumenfold.plans.registry import query
+from lumenfold.plans.registry import exists, kept_dir, query
 
 WORDS = "the and with"
 DOCS_SQL = "(SELECT doc_id, source AS title, lang AS channel, 1990 + n_chars % 40 AS year, text AS body FROM documents)"
 LIST_SQL = "unnest(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^0-9a-z가-힣]+'), lambda w: w <> ''), lambda w, i: {{'token': w, 'i': i}}))"
 POST_SQL = "(SELECT doc_id, p.token AS token, weight, row_number() OVER (PARTITION BY doc_id ORDER BY f, p.i) - 1 AS pos FROM (SELECT doc_id, 1 AS f, 1.0 AS weight, " + LIST_SQL.format("title") + " AS p FROM {0} UNION ALL SELECT doc_id, 2, 0.4, " + LIST_SQL.format("body") + " FROM {0}))"
-HITS_SQL = "(SELECT doc_id, count(DISTINCT token) AS n, round(sum(weight) + CASE WHEN count(DISTINCT token) = 3 THEN max(weight) / (max(pos) - min(pos) + 1) ELSE 0 END, 6) AS score FROM " + POST_SQL + " WHERE token IN ('the', 'and', 'with') GROUP BY 1)"
-_HITS = HITS_SQL.replace("{0}", DOCS_SQL)
-ALL_SQL = f"(SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM {_HITS} WHERE n = 3 ORDER BY score DESC, doc_id LIMIT 50)"
-ANY_SQL = f"(SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM {_HITS} ORDER BY score DESC, doc_id LIMIT 50)"
+_POST = POST_SQL.replace("{0}", DOCS_SQL)
+#: Minimal covers of all three words: an occurrence ends one if the earliest of the words' last places has moved on.
+HITS_SQL = f"""(WITH m AS (SELECT * FROM {_POST} WHERE token IN ('the', 'and', 'with')),
+l AS (SELECT *, max(CASE WHEN token = 'the' THEN pos END) OVER w AS a, max(CASE WHEN token = 'and' THEN pos END) OVER w AS b, max(CASE WHEN token = 'with' THEN pos END) OVER w AS c, row_number() OVER w AS n, sum(1 / weight) OVER w AS mass
+ FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT *, CASE WHEN a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL THEN least(a, b, c) END AS first FROM l),
+e AS (SELECT *, lag(first) OVER (PARTITION BY doc_id ORDER BY pos) AS earlier FROM p),
+d AS (SELECT e.doc_id, sum((e.n - s.n + 1) / (e.mass - s.mass + 1 / s.weight) / (1 + e.pos - s.pos - (e.n - s.n))) AS cover FROM e JOIN l s ON s.doc_id = e.doc_id AND s.pos = e.first WHERE e.first IS NOT NULL AND (e.earlier IS NULL OR e.first > e.earlier) GROUP BY 1)
+SELECT m.doc_id, count(DISTINCT token) = 3 AS every, round(coalesce(any_value(cover), 0), 6) AS cover, round(sum(weight), 6) AS mass FROM m LEFT JOIN d USING (doc_id) GROUP BY 1)"""
+ALL_SQL = f"(SELECT doc_id, cover AS score, row_number() OVER (ORDER BY cover DESC, doc_id) AS rank FROM {HITS_SQL} WHERE every ORDER BY cover DESC, doc_id LIMIT 50)"
+ANY_SQL = f"(SELECT doc_id, mass AS score, row_number() OVER (ORDER BY mass DESC, doc_id) AS rank FROM {HITS_SQL} ORDER BY mass DESC, doc_id LIMIT 50)"
 
 
 def docs(t) -> DataFrame:
     return t.documents.select("doc_id", F.col("source").alias("title"), F.lit("").alias("aliases"), F.col("text").alias("body"), F.lit("").alias("synopsis"), F.col("lang").alias("channel"), (1990 + F.col("n_chars") % 40).alias("year"))
 
 
-@query(f"SELECT doc_id, rank, round(score, 5) AS score FROM {ALL_SQL}")
+def text_index(t) -> X.TextIndex:
+    """The stored index of the documents, written by the first query of a session that asks for it."""
+    path = kept_dir(t, "documents", "text")
+    return X.TextIndex(t.spark, path) if exists(t.spark, path) else X.TextIndex.write(docs(t), path, carried=["channel", "year"])
+
+
+def vector_index(t) -> N.VectorIndex:
+    path = kept_dir(t, "embeddings", "vectors")
+    return N.VectorIndex(t.spark, path) if exists(t.spark, path) else N.VectorIndex.write(vectors(t), path, carried=["label"])
+
+
+def vectors(t) -> DataFrame:
+    return t.embeddings.select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+@query(f"SELECT doc_id, rank, score FROM {ALL_SQL}")
 def r03_fts_and(t):
-    found = R.matches(docs(t), R.websearch(WORDS)).where("every")
-    return R.listed("fts", found).select("doc_id", "rank", F.round("score", 5).alias("score"))
+    found = R.lexical(text_index(t).matches(X.websearch(WORDS)), ["fts"])
+    return found.select("doc_id", "rank", "score")
 
 
-@query(f"SELECT doc_id, rank, round(score, 5) AS score FROM {ANY_SQL}")
+@query(f"SELECT doc_id, rank, score FROM {ANY_SQL}")
 def r04_fts_or(t):
-    return R.listed("fts_any", R.matches(docs(t), R.websearch(WORDS))).select("doc_id", "rank", F.round("score", 5).alias("score"))
+    found = R.listed("fts_any", text_index(t).any_of(X.wanted_tokens(X.websearch(WORDS))).withColumnRenamed("mass", "score"))
+    return found.select("doc_id", "rank", "score")
+
+
+@query(f"SELECT doc_id, every, cover, mass FROM {HITS_SQL}")
+def r03_without_index(t):
+    """The same judgements from the documents' own texts."""
+    return X.matches(docs(t), X.websearch(WORDS))
 
 
 TRI_SQL = r"""(WITH w AS (SELECT p_partkey, list_filter(regexp_split_to_array(lower(p_name), '[^0-9a-z가-힣]+'), lambda x: x <> '') AS ws FROM part),
@@ -57,16 +88,39 @@ def r06_vector(t):
     return ranked(rows, 50, F.desc("score"), F.asc("vec_id")).select("vec_id", "rank")
 
 
+NEAR_SQL = f"SELECT q.vec_id AS query_id, a.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COSINE_SQL}, 6) DESC, a.vec_id) AS rank FROM embeddings a, embeddings q WHERE q.vec_id % 20 = 0 QUALIFY rank <= 50"
+
+
+@query(NEAR_SQL)
+def r06_exact_lists(t):
+    """The 50 nearest vectors of every vector whose id is divisible by 20, by a scan in blocks of queries."""
+    return N.exact(vectors(t), vectors(t).where("id % 20 = 0")).select("query_id", "id", "rank")
+
+
+@query(NEAR_SQL)
+def r06_all_cells(t):
+    """The same from the stored index with all its cells."""
+    return vector_index(t).search(vectors(t).where("id % 20 = 0"), n=None).select("query_id", "id", "rank")
+
+
+@query("SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 20 = 0 AND embedding IS NOT NULL")
+def r06_recall(t):
+    """Whether the nearest cells alone give at least nine in ten of the 50 nearest, over the same queries."""
+    asked = vectors(t).where("id % 20 = 0")
+    found = N.recall(vector_index(t).search(asked), N.exact(vectors(t), asked))
+    return found.select("queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
 @query(f"SELECT doc_id, round(score, 8) AS score, reasons FROM (SELECT doc_id, sum(w / (60 + rank)) AS score, string_agg(name || '#' || rank, ' ' ORDER BY name) AS reasons FROM (SELECT 'fts' AS name, 2.0 AS w, doc_id, rank FROM {ALL_SQL} UNION ALL SELECT 'fts_any', 1.0, doc_id, rank FROM {ANY_SQL}) GROUP BY 1) ORDER BY round(score, 8) DESC, doc_id LIMIT 10")
 def r07_weighted_rrf(t):
-    fused = R.rrf(R.lexical(docs(t), WORDS), {"fts": 2.0, "fts_any": 1.0}).withColumn("score", F.round("score", 8))
+    fused = R.rrf(R.lexical(text_index(t).matches(X.websearch(WORDS))), {"fts": 2.0, "fts_any": 1.0}).withColumn("score", F.round("score", 8))
     return fused.orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", "score", F.array_join(R.match_reasons(F.col("ranks")), " ").alias("reasons"))
 
 
 @query(f"SELECT doc_id, a.rank IS NOT NULL AS in_fts, b.rank IS NOT NULL AS in_any, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 8) AS score FROM {ALL_SQL} a FULL JOIN {ANY_SQL} b USING (doc_id)")
 def r08_two_list_rrf(t):
-    found = R.matches(docs(t), R.websearch(WORDS))
-    a, b = (R.listed("l", x).select("doc_id", "rank") for x in (found.where("every"), found))
+    found = text_index(t).matches(X.websearch(WORDS))
+    a, b = (R.lexical(found, [name]).select("doc_id", "rank") for name in ("fts", "fts_any"))
     return full_outer_ranks(a, b, "doc_id").select("doc_id", F.col("rank_a").isNotNull().alias("in_fts"), F.col("rank_b").isNotNull().alias("in_any"), F.round("score", 8).alias("score"))
 
 

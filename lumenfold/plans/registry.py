@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -54,3 +56,24 @@ def long(c: str) -> F.Column:
 
 def load() -> None:
     from lumenfold.plans import q_catalog, q_extras, q_graph, q_merge, q_records, q_resolve, q_retrieval, q_sources  # noqa: F401
+
+
+def kept_dir(t: Tables, table: str, name: str) -> str:
+    """The folder of an index of a table, the same for the same files (names, lengths, times of change) in one session; it is deleted
+    when the driver's JVM ends."""
+    spark = t.spark
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    source = hadoop(f"{t.sf_dir}/{table}.parquet")
+    files = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in files.listStatus(source))
+    if not hasattr(spark.sparkContext, "_lumenfold_kept"):
+        spark.sparkContext._lumenfold_kept = f"{shared_dir(spark)}/indexes-{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext._lumenfold_kept}/{name}-{hashlib.sha256(str(state).encode()).hexdigest()[:24]}"
+    target = hadoop(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

@@ -233,16 +233,6 @@ def test_web_search_syntax(spark):
     assert R.matches(docs, R.websearch("-공유")).count() == 0
 
 
-def test_stored_index_gives_the_same_lists(spark, tmp_path):
-    rows = [(1, "두 말 신", "a b"), (2, "신 말 두", "두 두"), (3, "신", None), (4, "", "말")]
-    docs = spark.createDataFrame([(i, t, None, b, None) for i, t, b in rows], "doc_id long, title string, aliases string, body string, synopsis string")
-    index = R.write_index(docs, str(tmp_path / "index"))
-    found = R.matches(docs, R.websearch("두 말"))
-    for every in (True, False):
-        want = {(r.doc_id, r.score) for r in (found.where("every") if every else found).collect()}
-        assert want and {(r.doc_id, r.score) for r in R.indexed(index, "두 말", every).collect()} == want
-
-
 def test_graph_list_and_rerank(spark):
     people = spark.createDataFrame([(1, "공유"), (2, "김고은"), (3, "김혜수"), (4, "공유")], "id long, name string")
     credits = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (2, 12), (3, 13), (4, 14)], "person long, work long")
