@@ -79,13 +79,18 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenfold/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    files, target = _files(spark, path)
-    files.deleteOnExit(target)
+    release_at_end(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lumenfold_path = path
     return out
 
 
+def release_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder that is there when the driver's JVM ends."""
+    files, target = _files(spark, path)
+    files.deleteOnExit(target)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete stored tables that nothing still to be computed reads."""
     for t in tables:

@@ -1,8 +1,9 @@
 """Two-pass external shuffle into shards.
 
 The first pass scatters the records uniformly over buckets, by a seeded hash of their contents, so many that one fits in
-memory; equal records of one partition are numbered, so that copies of one row scatter too. The second reads each bucket
-whole, puts it in an order that does not depend on how it came, shuffles it by Fisher and Yates with a generator of its own,
+memory; equal records of one partition are numbered, so that copies of one row scatter too. The scattered records are written
+once, and everything after reads what was written: a record's number among its copies depends on how its partition was cut, and
+may differ from one reading of the input to the next. The second pass reads each bucket whole, puts it in an order that does not depend on how it came, shuffles it by Fisher and Yates with a generator of its own,
 and writes it. The buckets one after another are a random permutation of all records; dealt in turn, position by position,
 they make shards whose counts are at most one apart, and a bucket's records of one shard are a run of its slots: one file.
 """
@@ -19,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lumenfold.llm.common import lean, shared_dir, ship
+from lumenfold.llm.common import lean, release_at_end, shared_dir, ship, stored
 
 OWN = ("shard", "slot", "position")
 
@@ -75,7 +76,7 @@ def shuffle(df: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "doc_i
     copy = F.pandas_udf(copies, "long")(F.xxhash64(F.lit(seed + 2), *content))
     name, key = own_name(base.columns, "bucket"), own_name(base.columns, "key")
     keyed = base.withColumn(key, F.xxhash64(F.lit(seed), *content, copy))
-    placed = keyed.withColumn(name, F.pmod(F.col(key), F.lit(n_buckets)).cast("int"))
+    placed = stored(keyed.withColumn(name, F.pmod(F.col(key), F.lit(n_buckets)).cast("int")), "scattered", "zstd")
     # A long a bucket goes to the driver and back: 100 TB make about three million.
     counts = placed.groupBy(F.col(name).alias("b")).count().toPandas()
     sizes = np.zeros(n_buckets, np.int64)
@@ -117,8 +118,10 @@ def shuffle(df: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "doc_i
 def write_shards(shuffled: DataFrame, path: str | None = None) -> DataFrame:
     """Write a folder for each shard and read them back. A task writes a file for each shard and partition it has, with rows in the
     order of their slots; nothing is shuffled again. Files of a shard, ordered by their first slot, are the shard. Without a
-    path they go to a new folder in the shared one."""
+    path they go to a new folder in the shared one, which is deleted when the driver's JVM ends."""
     spark = shuffled.sparkSession
-    path = path or f"{shared_dir(spark)}/lumenfold/shards-{uuid.uuid4().hex}"
-    shuffled.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    return spark.read.schema(shuffled.schema).parquet(path).select(*[f"`{c}`" for c in shuffled.columns])
+    target = path or f"{shared_dir(spark)}/lumenfold/shards-{uuid.uuid4().hex}"
+    shuffled.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(target)
+    if not path:
+        release_at_end(spark, target)
+    return spark.read.schema(shuffled.schema).parquet(target).select(*[f"`{c}`" for c in shuffled.columns])
