@@ -1,14 +1,14 @@
-"""Writes as functions from tables to tables: every policy gives the table's next snapshot; ``Store`` swaps it in."""
+"""Writes as functions from tables to tables: every policy gives the table's next snapshot, or that of the
+partitions it touches; ``VersionedTable`` and ``Store`` commit it."""
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Sequence
-from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from lumenfold.operators.versions import VersionedTable
+
 
 def same(keys: Sequence[str], a: str = "a", b: str = "b") -> Column:
     """Equality of keys in which nulls are equal."""
@@ -184,31 +184,27 @@ def stamped(before: DataFrame, after: DataFrame, keys: Sequence[str], now: Colum
 
 
 class Store:
-    """Tables as snapshot folders with a pointer to the current one; nothing is overwritten while it may be read."""
+    """Tables by name as versions of whole snapshots; nothing is overwritten while it may be read, and of two writers that start
+    from one snapshot the second is refused (see ``versions``)."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/CURRENT")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def table(self, name: str) -> VersionedTable:
+        return VersionedTable(self.spark, f"{self.root}/{name}")
 
-    def current(self, name: str) -> str | None:
-        path, fs = self._pointer(name)
-        if not fs.exists(path):
-            return None
-        rows = self.spark.read.text(path.toString()).collect()
-        return json.loads(rows[0][0])["path"]
+    def current(self, name: str) -> int | None:
+        """The number of the newest snapshot."""
+        return (self.table(name).versions() or [None])[-1]
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.current(name))
+        return self.table(name).read()
 
     def swap(self, name: str, df: DataFrame) -> DataFrame:
-        """Write the next snapshot and then point to it."""
-        target = str(PurePosixPath(name) / f"v-{uuid.uuid4().hex}")
-        df.write.parquet(f"{self.root}/{target}")
-        path, fs = self._pointer(name)
-        out = fs.create(path, True)
-        out.write(bytearray(json.dumps({"path": f"{self.root}/{target}"}).encode()))
-        out.close()
-        return self.read(name)
+        """Write the next snapshot and then make it the current one."""
+        table = self.table(name)
+        if table.versions():
+            table.replace(df)
+        else:
+            table.create(df, df.columns)
+        return table.read()

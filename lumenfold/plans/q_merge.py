@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lumenfold.operators import merge as M
+from lumenfold.operators import versions as V
 from lumenfold.plans.registry import long, query, shared_dir
 
 NATION_SQL = "SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation"
@@ -154,6 +155,35 @@ def m20_stamp_links(t):
     return M.update_from(links, verdicts, ["id"], ["state", "http"])
 
 
+def versioned(t, rows, keys):
+    return V.VersionedTable(t.spark, f"{shared_dir(t.spark)}/table-{uuid.uuid4().hex}").create(rows, keys, 16)
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 16 = 0 AND o_custkey < 100 THEN 'X' ELSE o_orderstatus END AS status FROM orders")
+def m02_overwrite_partitions(t):
+    """Rows overwritten in a stored table; only the partitions that hold their keys are written."""
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    table = versioned(t, rows, ["id"])
+    table.merge(t.orders.where("o_orderkey % 16 = 0 AND o_custkey < 100").select(F.col("o_orderkey").alias("id"), F.lit("X").alias("status")), lambda old, new: M.overwrite(old, new, ["id"]))
+    return table.read()
+
+
+@query("SELECT d.doc_id AS id, CASE WHEN d.doc_id % 9 = 0 THEN d.doc_id % 5 ELSE 0 END AS content_hash, CASE WHEN d.doc_id % 9 = 0 AND d.doc_id % 5 <> 0 THEN 8 ELSE 7 END AS document_version FROM documents d")
+def m05_replace_partitions(t):
+    rows = t.documents.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("content_hash"), F.lit(7).cast("long").alias("document_version"))
+    table = versioned(t, rows, ["id"])
+    table.merge(t.documents.where("doc_id % 9 = 0").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 5).alias("content_hash")), lambda old, new: M.replace_if_changed(old, new, ["id"]))
+    return table.read()
+
+
+@query("SELECT * FROM (SELECT DISTINCT l_orderkey AS work, l_returnflag AS genre FROM lineitem) WHERE work % 50 <> 0 UNION ALL SELECT DISTINCT l_orderkey, 'X' FROM lineitem WHERE l_orderkey % 50 = 0")
+def m07_children_partitions(t):
+    """Children are stored by their parent, so that one partition has all of a parent's."""
+    table = versioned(t, t.lineitem.select(F.col("l_orderkey").alias("work"), F.col("l_returnflag").alias("genre")).distinct(), ["work"])
+    table.merge(t.lineitem.where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("work"), F.lit("X").alias("genre")), lambda old, new: M.replace_children(old, new, "work"))
+    return table.read()
+
+
 @query("SELECT n_nationkey, n_name FROM nation")
 def m15_snapshot_swap(t):
     """A table written twice through the store; readers see the second snapshot."""
