@@ -3,8 +3,9 @@
 The texts are exploded into n-gram rows of 1 to ``max_words`` words, which are hash-aggregated by language in the task that
 reads them and then across tasks. As an n-gram cannot be more frequent than its parts, and only n-grams of at least
 ``min_count`` occurrences enter any later step (candidates, their parts, their extensions), those with an infrequent part are not
-exploded: words come first, then pairs of frequent words, then longer ones of which all pairs are frequent. A broadcast bitmap
-of fixed size tells what may be frequent; where it errs, rows are counted that are dropped later, so counts are exact. Phrases
+exploded: words come first, then pairs of frequent words, then longer ones of which all pairs are frequent. Pairs and longer ones
+are counted in cells first, 32 bits of a hash, and as texts only where their cell is full enough. Broadcast bitmaps of
+fixed size tell what may be frequent; where they err, rows are counted that are dropped later, so counts are exact: phrases
 are compared as texts, never as hashes.
 """
 
@@ -80,57 +81,87 @@ def by_language(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[bytes]]]:
             yield name.as_py().encode(), own[i:j]
 
 
-def ngrams(docs: DataFrame, sizes: range, known=None) -> DataFrame:
-    """(lang, phrase, size, f) of the n-grams of these sizes, with their counts; of those with more words than one, all whose words
-    (of pairs) or pairs (of longer ones) may be in the bitmap ``known``."""
-
-    def unique(code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First places, numbers of all places, counts."""
-        _, first, number, many = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
-        return at[first], number, many
+def maybe(known: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether the bitmap has the keys' bits."""
+    b = np.mod(key, BITMAP_BITS)
+    return (known[b >> 6] >> (b & 63) & 1).astype(bool)
+
+
+def unique(code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First places, numbers of all places, counts."""
+    _, first, number, many = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+    return at[first], number, many
+
+
+def found(w: Words, language: bytes, sizes: range, known: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, first places, counts) of the distinct n-grams of these sizes: of pairs, those whose words may be in the bitmap
+    ``known``, of longer ones those of which all pairs may be."""
+    if not len(w):
+        return
+    first, number, many = unique(w.number, np.arange(len(w)))
+    if sizes[0] == 1:
+        yield 1, first, many
+        return
+    inside = w.piece[1:] == w.piece[:-1]
+    if sizes[0] == 2:
+        fine = maybe(known, keys(language, w.texts(first, 1)))[number]
+        inside &= fine[1:] & fine[:-1]
+    at = np.flatnonzero(inside)
+    if not len(at):
+        return
+    first, code, many = unique(number[at] * len(w) + number[at + 1], at)
+    if sizes[0] == 2:
+        yield 2, first, many
+        return
+    pair = np.zeros(len(w), bool)  # whether a likely pair starts at a place
+    pair[at] = maybe(known, keys(language, w.texts(first, 2)))[code]
+    start, numbers = pair, np.zeros(len(w), np.int64)  # whether, and which, n-gram starts at a place
+    numbers[at] = code
+    for n in range(3, min(sizes[-1], len(w)) + 1):
+        start = start & np.r_[pair[n - 2 :], np.zeros(n - 2, bool)]
+        at = np.flatnonzero(start)
+        if not len(at):
+            return
+        first, code, many = unique(numbers[at] * len(w) + number[at + n - 1], at)
+        numbers[at] = code
+        yield n, first, many
+
+
+def cells(language: bytes, phrases: pa.Array) -> np.ndarray:
+    """32 bits of the phrases' keys."""
+    return (keys(language, phrases).view(np.uint64) >> np.uint64(32)).astype(np.int64)
+
+
+def full_cells(docs: DataFrame, sizes: range, known, min_count: int):
+    """The bitmap of the cells in which n-grams of these sizes occur ``min_count`` times or more together: those of all that are so
+    frequent, and a few more. Rows of two numbers are counted for it, where phrases would be several times as large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def likely(language: bytes, phrases: pa.Array) -> np.ndarray:
-            b = np.mod(keys(language, phrases), BITMAP_BITS)
-            return (known.value[b >> 6] >> (b & 63) & 1).astype(bool)
+        for batch in batches:
+            for language, texts in by_language(batch):
+                w = Words(texts)
+                for n, first, many in found(w, language, sizes, known.value):
+                    yield pa.RecordBatch.from_arrays([pa.array(cells(language, w.texts(first, n))), pa.array(many)], ["cell", "f"])
 
+    counted = docs.select("lang", "text").mapInArrow(lean(run), "cell long, f long").groupBy("cell").agg(F.sum("f").alias("f"))
+    return bitmap(counted.where(F.col("f") >= min_count), "cell")
+
+
+def ngrams(docs: DataFrame, sizes: range, known=None, full=None) -> DataFrame:
+    """(lang, phrase, size, f) of the n-grams of these sizes (see ``found``) whose cell may be in the bitmap ``full``, with their
+    counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for language, texts in by_language(batch):
                 w = Words(texts)
-                if not len(w):
-                    continue
-
-                def rows(at: np.ndarray, many: np.ndarray, n: int, w: Words = w, language: bytes = language) -> pa.RecordBatch:
-                    name = pa.array([language.decode()]).take(pa.array(np.zeros(len(at), np.int64)))
-                    return pa.RecordBatch.from_arrays([name, w.texts(at, n), pa.array(np.full(len(at), n, np.int32)), pa.array(many)], ["lang", "phrase", "size", "f"])
-
-                first, number, many = unique(w.number, np.arange(len(w)))
-                if sizes[0] == 1:
-                    yield rows(first, many, 1)
-                    continue
-                inside = w.piece[1:] == w.piece[:-1]
-                if sizes[0] == 2:
-                    fine = likely(language, w.texts(first, 1))[number]
-                    inside &= fine[1:] & fine[:-1]
-                at = np.flatnonzero(inside)
-                if not len(at):
-                    continue
-                first, code, many = unique(number[at] * len(w) + number[at + 1], at)
-                if sizes[0] == 2:
-                    yield rows(first, many, 2)
-                    continue
-                pair = np.zeros(len(w), bool)  # whether a likely pair starts at a place
-                pair[at] = likely(language, w.texts(first, 2))[code]
-                start, numbers = pair, np.zeros(len(w), np.int64)  # whether, and which, n-gram starts at a place
-                numbers[at] = code
-                for n in range(3, min(sizes[-1], len(w)) + 1):
-                    start = start & np.r_[pair[n - 2 :], np.zeros(n - 2, bool)]
-                    at = np.flatnonzero(start)
-                    if not len(at):
-                        break
-                    first, code, many = unique(numbers[at] * len(w) + number[at + n - 1], at)
-                    numbers[at] = code
-                    yield rows(first, many, n)
+                for n, first, many in found(w, language, sizes, known and known.value):
+                    phrases = w.texts(first, n)
+                    if full is not None:
+                        keep = pa.array(maybe(full.value, cells(language, phrases)))
+                        phrases, many = phrases.filter(keep), many[keep.to_numpy(zero_copy_only=False)]
+                    name = pa.array([language.decode()]).take(pa.array(np.zeros(len(phrases), np.int64)))
+                    yield pa.RecordBatch.from_arrays([name, phrases, pa.array(np.full(len(phrases), n, np.int32)), pa.array(many)], ["lang", "phrase", "size", "f"])
 
     counted = docs.select("lang", "text").mapInArrow(lean(run), "lang string, phrase string, size int, f long")
     return counted.groupBy("lang", "phrase").agg(F.first("size").alias("size"), F.sum("f").alias("f"))
@@ -155,13 +186,14 @@ def counts(docs: DataFrame, max_words: int = 5, min_count: int = 100) -> tuple[D
     all words of each language."""
     words = stored(ngrams(docs, range(1, 2)), "words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    found = [words.where(F.col("f") >= min_count)]
+    levels = [words.where(F.col("f") >= min_count)]
     for sizes in (range(2, 3), range(3, max_words + 1)):
         if sizes and sizes[0] <= max_words:
-            more = ngrams(docs, sizes, marked(found[-1])).where(F.col("f") >= min_count)
-            found.append(stored(more, "phrases"))
-    out = found[0]
-    for f in found[1:]:
+            known = marked(levels[-1])
+            more = ngrams(docs, sizes, known, full_cells(docs, sizes, known, min_count)).where(F.col("f") >= min_count)
+            levels.append(stored(more, "phrases"))
+    out = levels[0]
+    for f in levels[1:]:
         out = out.union(f)
     return out, totals
 
