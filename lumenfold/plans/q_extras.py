@@ -42,6 +42,20 @@ def p03_outbox(t):
     return S.unpublished(outbox).select("event_id")
 
 
+@query("SELECT event_id, user_id % 2 = 0 AS by_sink FROM events")
+def p03_consumed(t):
+    """All events through the consumer, twice: those that were not marked before are marked by the sink, once each."""
+    from lumenfold.streaming.outbox import Outbox
+
+    events = lambda df: df.withColumn("published_at", F.when(F.col("user_id") % 2 == 1, F.col("ts")))
+    box = Outbox(t.spark, f"{shared_dir(t.spark)}/outbox-{uuid.uuid4().hex}", events(t.events).schema, at="ts")
+    for _ in range(2):
+        box.consume(events(S.read_stream(t.spark, t.sf_dir, t.events.schema, "events*.parquet")))
+    seen = box.published().groupBy("event_id").agg(F.count("*").alias("n"))
+    marked = box.marked(t.events.withColumn("published_at", F.lit(None).cast("timestamp"))).join(seen, "event_id", "left")
+    return marked.select("event_id", (F.col("published_at").isNotNull() & (F.coalesce("n", F.lit(0)) == 1)).alias("by_sink"))
+
+
 @query("SELECT count(*) AS n, count(DISTINCT event_id) AS distinct_n FROM events")
 def p04_checkpointed_items(t):
     done = _streamed(t, lambda df: df.select("event_id"), batches=2)

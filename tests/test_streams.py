@@ -80,3 +80,92 @@ def test_windows_and_sessions(spark, sf):
     assert S.sessions(events).agg(F.sum("n")).first()[0] == events.count()
     outbox = events.withColumn("published_at", F.when(F.col("event_id") > 5, F.col("ts")))
     assert [r.event_id for r in S.unpublished(outbox).collect()] == sorted(r.event_id for r in events.where("event_id <= 5").collect())
+
+
+OUTBOX = "event_id long, kind string, occurred_at timestamp, published_at timestamp"
+
+
+def outbox_rows(spark, ids, minute=0, marked=()):
+    t0 = dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute)
+    return spark.createDataFrame([(i, f"k{i}", t0, t0 if i in marked else None) for i in ids], OUTBOX)
+
+
+def test_outbox_publishes_each_event_once(spark, tmp_path):
+    """Repeated events, marked ones, an empty run, and a run that breaks off before and after its batch has its name."""
+    from lumenfold.streaming.outbox import Outbox
+
+    (tmp_path / "in").mkdir()
+    put = lambda df: df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = outbox_rows(spark, [1]).schema
+    stream = S.read_stream(spark, str(tmp_path / "in"), schema)
+    box = Outbox(spark, str(tmp_path / "sink"), schema)
+    ids = lambda: sorted(r.event_id for r in box.published().collect())
+    assert ids() == []
+    put(outbox_rows(spark, [1, 2, 3, 4], marked=[4]))
+    box.consume(stream, 90)
+    assert ids() == [1, 2, 3]
+    box.consume(stream, 90)
+    put(outbox_rows(spark, [3, 5, 5], 1))
+    whole = box.take
+
+    def breaks_before(events, batch):
+        events.write.mode("overwrite").parquet(f"{box.path}/batches/.half")
+        raise RuntimeError("lost")
+
+    def breaks_after(events, batch):
+        whole(events, batch)
+        raise RuntimeError("lost")
+
+    for broken, want in ((breaks_before, [1, 2, 3]), (breaks_after, [1, 2, 3, 5])):
+        box.take = broken
+        try:
+            box.consume(stream, 90)
+            raise AssertionError("the run has to fail")
+        except Exception as e:
+            assert "lost" in str(e)
+        assert ids() == want
+    box.take = whole
+    box.consume(stream, 90)
+    assert ids() == [1, 2, 3, 5]
+    put(outbox_rows(spark, [6], 2))
+    box.consume(stream, 90)
+    assert ids() == [1, 2, 3, 5, 6]
+    table = box.marked(spark.read.parquet(str(tmp_path / "in")))
+    assert table.where("published_at IS NULL").count() == 0
+
+
+def test_stages_run_once_for_each_combination(spark, tmp_path):
+    from lumenfold.streaming.assets import Asset, Stage, chain
+
+    schema = spark.range(1).schema
+    a, b, out = (Asset(spark, str(tmp_path / n), schema) for n in ("a", "b", "out"))
+    put = lambda asset, n: spark.range(n, n + 1).coalesce(1).write.mode("append").parquet(asset.path)
+    seen = []
+
+    def both(rows, n):
+        seen.append(("all", n, sorted(r.id for r in rows["a"].collect()), sorted(r.id for r in rows["b"].collect())))
+        rows["a"].union(rows["b"]).coalesce(1).write.mode("overwrite").parquet(f"{out.path}-{n}")
+        spark.read.parquet(f"{out.path}-{n}").coalesce(1).write.mode("append").parquet(out.path)
+
+    stages = [Stage(spark, str(tmp_path / "s1"), {"a": a, "b": b}, "all", both), Stage(spark, str(tmp_path / "s2"), {"a": a, "out": out}, "any", lambda rows, n: seen.append(("any", n, sorted(r.id for r in rows["a"].collect()), sorted(r.id for r in rows["out"].collect()))))]
+    assert chain(stages) == 0
+    put(a, 1)
+    chain(stages)
+    assert seen == [("any", 0, [1], [])]  # the other one waits for b
+    put(b, 2)
+    put(a, 3)
+    chain(stages)
+    assert seen[1:] == [("all", 0, [1, 3], [2]), ("any", 1, [3], [1, 2, 3])]
+    assert chain(stages) == 0
+
+    broken = Stage(spark, str(tmp_path / "s3"), {"a": a}, "any", lambda rows, n: 1 / 0)
+    for _ in range(2):
+        try:
+            broken.run()
+            raise AssertionError("the run has to fail")
+        except ZeroDivisionError:
+            pass
+    put(a, 4)  # comes after the plan that broke off, so it waits
+    got = []
+    whole = Stage(spark, str(tmp_path / "s3"), {"a": a}, "any", lambda rows, n: got.append((n, sorted(r.id for r in rows["a"].collect()))))
+    assert (whole.run(), whole.run(), whole.run()) == (0, 1, None) and got == [(0, [1, 3]), (1, [4])]
