@@ -164,6 +164,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def bucket_of(c: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(buckets)).cast("int")
+
+
+def buckets_of(values: Sequence[str], buckets: int) -> list[int]:
+    return sorted({zlib.crc32(str(v).encode()) % buckets for v in values})
+
+
+def put(spark: SparkSession, own: str, path: str) -> None:
+    """Give a folder that is complete its name, unless that is taken; then it goes."""
+    target, temporary = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, own))
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target) or not files.rename(temporary, target):
+        files.delete(temporary, True)
+
+
 class TextIndex:
     """Postings stored by word: a folder for each bucket of words, in it files sorted by word, document and place.
 
@@ -181,18 +197,14 @@ class TextIndex:
         """Write to a name of its own and then rename, so that no reader meets half an index; one that is there stays."""
         spark = docs.sparkSession
         own = f"{path}.{uuid.uuid4().hex}"
-        rows = postings(spread(docs), fields, carried).withColumn("bucket", F.pmod(F.crc32(F.col("token").cast("binary")), F.lit(buckets)).cast("int"))
+        rows = postings(spread(docs), fields, carried).withColumn("bucket", bucket_of(F.col("token"), buckets))
         rows.repartitionByRange("bucket", "token", "doc_id").sortWithinPartitions("bucket", "token", "doc_id", "pos").write.partitionBy("bucket").parquet(own)
-        target, temporary = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, own))
-        files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-        if files.exists(target) or not files.rename(temporary, target):
-            files.delete(temporary, True)
+        put(spark, own, path)
         return cls(spark, path, buckets)
 
     def places(self, tokens: Sequence[str]) -> DataFrame:
         """(token, doc_id, weight, pos, ...) of the words, from their buckets only."""
-        buckets = sorted({zlib.crc32(w.encode()) % self.buckets for w in tokens})
-        return self.rows.where(F.col("bucket").isin(buckets) & F.col("token").isin(list(tokens)))
+        return self.rows.where(F.col("bucket").isin(buckets_of(tokens, self.buckets)) & F.col("token").isin(list(tokens)))
 
     def matches(self, search: Search, where: Column | None = None) -> DataFrame:
         """(doc_id, every, cover, mass), as ``matches`` of the documents gives them; ``where``: a predicate on carried columns."""
@@ -207,3 +219,54 @@ class TextIndex:
     def any_of(self, tokens: Sequence[str]) -> DataFrame:
         """(doc_id, mass) of documents with any of the words; sums only, so partial results are merged before the shuffle."""
         return self.places(tokens).groupBy("doc_id").agg(F.round(F.sum("weight"), 6).alias("mass"))
+
+
+def grams_of(said: str) -> list[str]:
+    """The distinct trigrams of a query, as ``text.trigrams`` gives them."""
+    out = []
+    for w in re.findall("[0-9a-z가-힣]+", said.lower()):
+        padded = f"  {w} "
+        out += [padded[i : i + 3] for i in range(len(padded) - 2)]
+    return list(dict.fromkeys(out))
+
+
+class TrigramIndex:
+    """Names stored by trigram, for word similarity: ``grams`` (gram, id, field; a folder for each bucket of grams) and ``names``
+    (id, field, text; a folder for each bucket of ids).
+
+    A name cannot be more similar to a query than the share of the query's trigrams that it has. So only names with enough of
+    them are read, from the folders of their ids, and only these are compared in full.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.path, self.buckets = spark, path, buckets
+        self.grams, self.names = spark.read.parquet(f"{path}/grams"), spark.read.parquet(f"{path}/names")
+
+    @classmethod
+    def write(cls, docs: DataFrame, path: str, fields: Sequence[str], id_col: str = "doc_id", carried: Sequence[str] = (), buckets: int = BUCKETS) -> TrigramIndex:
+        spark = docs.sparkSession
+        own = f"{path}.{uuid.uuid4().hex}"
+        each = F.explode(F.array(*(F.struct(F.lit(i).alias("field"), F.col(c).alias("text")) for i, c in enumerate(fields))))
+        names = spread(docs).select(F.col(id_col).alias("id"), *carried, each.alias("n")).select("id", "n.field", "n.text", *carried).where("text IS NOT NULL")
+        grams = names.select(F.explode(F.array_distinct(T.trigrams(F.col("text")))).alias("gram"), "id", "field").withColumn("bucket", bucket_of(F.col("gram"), buckets))
+        grams.repartitionByRange("bucket", "gram", "id").sortWithinPartitions("bucket", "gram", "id").write.partitionBy("bucket").parquet(f"{own}/grams")
+        placed = names.withColumn("bucket", bucket_of(F.col("id"), buckets))
+        placed.repartitionByRange("bucket", "id").sortWithinPartitions("bucket", "id").write.partitionBy("bucket").parquet(f"{own}/names")
+        put(spark, own, path)
+        return cls(spark, path, buckets)
+
+    def candidates(self, said: str, least: float) -> DataFrame:
+        """(id, field, bucket) of the names with enough of the query's trigrams."""
+        asked = grams_of(said)
+        rows = self.grams.where(F.col("bucket").isin(buckets_of(asked, self.buckets)) & F.col("gram").isin(asked))
+        enough = rows.groupBy("id", "field").agg(F.count("*").alias("n")).where(F.col("n") >= least * len(asked))
+        return enough.select("id", "field", bucket_of(F.col("id"), self.buckets).alias("bucket"))
+
+    def similar(self, said: str, least: float, where: Column | None = None) -> DataFrame:
+        """(id, score) of the names with a word similarity of ``least`` or more, the best of their fields; ``least`` is above 0."""
+        if least <= 0:
+            raise ValueError("every name is similar by nothing")
+        names = self.names if where is None else self.names.where(where)
+        found = names.join(self.candidates(said, least), ["bucket", "id", "field"], "left_semi")
+        scored = found.select("id", T.similar(F.lit(said), F.col("text"), least).alias("score")).where(F.col("score") >= least)
+        return scored.groupBy("id").agg(F.max("score").alias("score"))

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
+from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lumenfold.functions import text as T
 from lumenfold.operators import graph as G
-from lumenfold.operators.fulltext import TextIndex, matches, websearch
-from lumenfold.operators.relational import ranked
+from lumenfold.operators.fulltext import BUCKETS, TextIndex, TrigramIndex, bucket_of, matches, put, websearch
+from lumenfold.operators.relational import ranked, ship, top_k
 from lumenfold.operators.vectors import VectorIndex
 
 # Spoken names of channels.
@@ -243,6 +245,7 @@ class HashEmbedder:
 
     def column(self):
         """As a pandas UDF, built once a worker."""
+        ship(SparkSession.active())
 
         @F.pandas_udf("array<double>")
         def run(s: pd.Series) -> pd.Series:
@@ -251,6 +254,35 @@ class HashEmbedder:
         return run
 
 
+class WordEmbedder(HashEmbedder):
+    """Vectors by random indexing: each word has a direction of its own, seeded by its digest, and a text is the sum of its words',
+    each by one and the logarithm of its count, of unit length. Texts that share words are near, and the more so the more they
+    share; a query and a document are embedded alike. A text without words has a vector of zeros, which is near to nothing."""
+
+    def __init__(self, dim: int = 64) -> None:
+        super().__init__(dim)
+        self._words: dict[str, np.ndarray] = {}
+
+    def _direction(self, word: str) -> np.ndarray:
+        found = self._words.get(word)
+        if found is None:
+            bits = hashlib.shake_256(word.encode()).digest(self.dim // 8 + 1)
+            found = np.unpackbits(np.frombuffer(bits, np.uint8))[: self.dim].astype(np.float64) * 2 - 1
+            if len(self._words) < 100_000:  # what a worker remembers; the rest is made again
+                self._words[word] = found
+        return found
+
+    def embed(self, texts: Sequence[str]) -> list[list[float]]:
+        out = []
+        for t in texts:
+            v = np.zeros(self.dim)
+            for word, n in Counter(re.findall("[0-9a-z가-힣]+", t.lower())).items():
+                v += (1 + np.log(n)) * self._direction(word)
+            norm = np.linalg.norm(v)
+            out.append((v / norm if norm else v).tolist())
+        return out
+
+
 def embedding_text(title: Column, synopsis: Column) -> Column:
     """What is embedded: title and plot; nothing without a plot."""
     return F.when(F.length(F.trim(synopsis)) > 0, F.concat_ws("\n", title, F.trim(synopsis)))
@@ -267,13 +299,13 @@ def refresh_embeddings(docs: DataFrame, embedder: HashEmbedder, model: str) -> D
 class Retriever:
     """Hybrid search: the lists a query's plan calls for, fused by reciprocal rank, optionally reranked.
 
-    ``index`` and ``vectors``: stored indexes of the documents that carry their year and channel; without them texts and vectors are
-    scanned. ``graph``: a function from the query's words to a (work, rank) table (see ``graph_list``), or None; if it fails, the search
+    ``index``, ``vectors`` and ``names`` (of title and aliases): stored indexes of the documents that carry their year and channel;
+    without them texts, vectors and names are scanned. ``graph``: a function from the query's words to a (work, rank) table (see ``graph_list``), or None; if it fails, the search
     goes on without it and ``failed`` tells why. A list of weight 0 is not built.
     """
 
-    def __init__(self, docs: DataFrame, embedder: HashEmbedder | None = None, graph: Callable[[str], DataFrame] | None = None, index: TextIndex | None = None, vectors: VectorIndex | None = None) -> None:
-        self.docs, self.embedder, self.graph, self.index, self.vectors = docs, embedder, graph, index, vectors
+    def __init__(self, docs: DataFrame, embedder: HashEmbedder | None = None, graph: Callable[[str], DataFrame] | None = None, index: TextIndex | None = None, vectors: VectorIndex | None = None, names: TrigramIndex | None = None) -> None:
+        self.docs, self.embedder, self.graph, self.index, self.vectors, self.names = docs, embedder, graph, index, vectors, names
         self.failed: str | None = None
 
     def lists(self, plan: Plan, weights: dict[str, float]) -> dict[str, DataFrame]:
@@ -289,7 +321,9 @@ class Retriever:
         if on("fts") or on("fts_any"):
             found = self.index.matches(websearch(plan.text), allowed(plan)) if self.index else matches(docs, websearch(plan.text))
             out |= {name: lexical(found, [name]) for name in LEXICAL if on(name)}
-        if on("trigram"):
+        if on("trigram") and self.names:
+            out["trigram"] = listed("trigram", self.names.similar(plan.text, SIMILAR, allowed(plan)).withColumnRenamed("id", "doc_id"))
+        elif on("trigram"):
             names = F.greatest(*(T.similar(F.lit(plan.text), F.coalesce(F.col(c), F.lit("")), SIMILAR) for c in ("title", "aliases")))
             out["trigram"] = listed("trigram", docs.select("doc_id", names.alias("score")).where(F.col("score") >= SIMILAR))
         if self.embedder and self.vectors and on("vector"):
@@ -328,28 +362,57 @@ class Retriever:
 
 def browser_index(docs: DataFrame, boosts: dict[str, float]) -> DataFrame:
     """(token, doc_id, field, boost, tf, size, average): postings of a static index with what BM25 needs."""
-    parts = None
+    parts = []
     for name, boost in boosts.items():
         tokens = docs.select("doc_id", T.search_tokens(F.coalesce(F.col(name), F.lit(""))).alias("t")).withColumn("size", F.size("t"))
         mean = tokens.agg(F.avg("size").alias("average"))
         rows = tokens.select("doc_id", "size", F.explode("t").alias("token")).groupBy("token", "doc_id").agg(F.count("*").alias("tf"), F.first("size").alias("size")).crossJoin(F.broadcast(mean))
-        rows = rows.select("token", "doc_id", F.lit(name).alias("field"), F.lit(boost).alias("boost"), "tf", "size", "average")
-        parts = rows if parts is None else parts.unionByName(rows)
-    return parts
-
-
-def browser_search(index: DataFrame, n_docs: int, query: str, limit: int = 30, k1: float = 1.2, b: float = 0.7, d: float = 0.5) -> DataFrame:
-    """BM25+ with prefix matches weighing less, all words first and any word where that finds nothing."""
-    words = query_tokens(query)
-    matched = None
-    for w in words:
-        close = F.when(F.col("token") == w, 1.0).otherwise(0.375 * len(w) / F.length("token"))
-        rows = index.where(F.col("token").startswith(w)).select("*", F.lit(w).alias("word"), close.alias("close"))
-        matched = rows if matched is None else matched.unionByName(rows)
-    df = matched.groupBy("token", "field").agg(F.countDistinct("doc_id").alias("df"))
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("boost") * F.col("close") * idf * (d + F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("average"))))
-    scored = matched.join(df, ["token", "field"]).groupBy("doc_id").agg(F.sum(part).alias("score"), F.countDistinct("word").alias("words"))
-    best = scored.agg(F.max("words").alias("most"))
-    kept = scored.crossJoin(F.broadcast(best)).where((F.col("words") == len(words)) | (F.col("most") < len(words)))
-    return kept.select("doc_id", F.round("score", 5).alias("score")).orderBy(F.desc("score"), "doc_id").limit(limit)
+        parts.append(rows.select("token", "doc_id", F.lit(name).alias("field"), F.lit(boost).alias("boost"), "tf", "size", "average"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+class StaticIndex:
+    """A static search index, written once: ``terms`` (token, field, df), sorted by token over ranges, ``postings`` in a folder for
+    each bucket of tokens, and ``size``, the number of documents.
+
+    The beginning of a word is a range of the sorted terms; the terms in it name the buckets and tokens whose postings are read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.buckets = spark, buckets
+        self.terms, self.postings = spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/postings")
+        self.documents = spark.read.parquet(f"{path}/size").first().n
+
+    @classmethod
+    def write(cls, docs: DataFrame, path: str, boosts: dict[str, float], buckets: int = BUCKETS) -> StaticIndex:
+        spark = docs.sparkSession
+        own = f"{path}.{uuid.uuid4().hex}"
+        rows = browser_index(docs, boosts).withColumn("bucket", bucket_of(F.col("token"), buckets))
+        rows.repartitionByRange("bucket", "token", "doc_id").sortWithinPartitions("bucket", "token", "field", "doc_id").write.partitionBy("bucket").parquet(f"{own}/postings")
+        stored = spark.read.parquet(f"{own}/postings")
+        terms = stored.groupBy("token", "field", "bucket").agg(F.count("*").alias("df"))
+        terms.repartitionByRange("token", "field").sortWithinPartitions("token", "field").write.parquet(f"{own}/terms")
+        docs.agg(F.count("*").alias("n")).coalesce(1).write.parquet(f"{own}/size")
+        put(spark, own, path)
+        return cls(spark, path, buckets)
+
+    def range(self, word: str) -> DataFrame:
+        """The terms that begin with a word, as a range of the sorted table: from the word up to the next text after all of them."""
+        after = word[:-1] + chr(ord(word[-1]) + 1)
+        return self.terms.where((F.col("token") >= word) & (F.col("token") < after))
+
+    def search(self, query: str, limit: int = 30, k1: float = 1.2, b: float = 0.7, d: float = 0.5) -> DataFrame:
+        """(doc_id, score): BM25+ with prefix matches weighing less, all words first and any word where that finds nothing."""
+        words = query_tokens(query)
+        if not words:
+            return self.postings.select("doc_id", F.lit(0.0).alias("score")).limit(0)
+        parts = [self.range(w).select("*", F.lit(w).alias("word"), F.when(F.col("token") == w, 1.0).otherwise(0.375 * len(w) / F.length("token")).alias("close")) for w in words]
+        terms = reduce(DataFrame.unionByName, parts)
+        # The rarity of a term counts all documents that have it by any of the query's words, each once.
+        matched = self.postings.join(terms, ["bucket", "token", "field"])
+        idf = F.log(1 + (self.documents - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        part = F.col("boost") * F.col("close") * idf * (d + F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("average"))))
+        scored = matched.groupBy("doc_id").agg(F.sum(part).alias("score"), F.countDistinct("word").alias("words"))
+        best = scored.agg(F.max("words").alias("most"))
+        kept = scored.crossJoin(F.broadcast(best)).where((F.col("words") == len(words)) | (F.col("most") < len(words)))
+        return top_k(kept.select("doc_id", F.round("score", 5).alias("score")), limit, F.desc("score"), F.asc("doc_id"))

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from lumenfold.operators.fulltext import put
 from lumenfold.operators.relational import ship
 
 #: Vectors the centroids are fitted on, chosen by a hash of their ids, whatever the number of vectors: the documented bound.
@@ -165,10 +166,7 @@ class VectorIndex:
         placed = rows.mapInArrow(assigned, f"{schema}, cell int")
         placed.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id").write.partitionBy("cell").parquet(f"{own}/cells")
         spark.createDataFrame([(i, c.tolist(), probed) for i, c in enumerate(centre)], "cell int, centre array<double>, probed int").coalesce(1).write.parquet(f"{own}/centroids")
-        target, temporary = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, own))
-        files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-        if files.exists(target) or not files.rename(temporary, target):
-            files.delete(temporary, True)
+        put(spark, own, path)
         return cls(spark, path)
 
     def probes(self, q: np.ndarray, n: int | None) -> list[set[int]]:

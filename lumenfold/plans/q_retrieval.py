@@ -77,6 +77,14 @@ SELECT p_partkey, max(len(list_intersect(q, d)) / (len(q) + len(d) - len(list_in
 
 @query(f"SELECT p_partkey, round(score, 6) AS score FROM {TRI_SQL} WHERE score >= 0.35")
 def r05_trigram(t):
+    path = kept_dir(t, "part", "names")
+    index = X.TrigramIndex(t.spark, path) if exists(t.spark, path) else X.TrigramIndex.write(t.part, path, ["p_name"], "p_partkey")
+    return index.similar("blue ring", R.SIMILAR).select(F.col("id").alias("p_partkey"), F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT p_partkey, round(score, 6) AS score FROM {TRI_SQL} WHERE score >= 0.35")
+def r05_without_index(t):
+    """The same from the names themselves."""
     return t.part.select("p_partkey", F.round(T.similar(F.lit("blue ring"), F.col("p_name"), R.SIMILAR), 6).alias("score")).where(F.col("score") >= R.SIMILAR)
 
 
@@ -190,7 +198,9 @@ SELECT doc_id, round(score, 5) AS score FROM s WHERE words = 2 OR (SELECT max(wo
 @query(f"SELECT doc_id, score FROM {BROWSER_SQL} ORDER BY score DESC, doc_id LIMIT 30")
 def r20_static_search(t):
     works = t.part.select(F.col("p_partkey").alias("doc_id"), "p_name", "p_type")
-    return R.browser_search(R.browser_index(works, {"p_name": 4.0, "p_type": 2.0}), works.count(), "bl ste")
+    path = kept_dir(t, "part", "static")
+    index = R.StaticIndex(t.spark, path) if exists(t.spark, path) else R.StaticIndex.write(works, path, {"p_name": 4.0, "p_type": 2.0})
+    return index.search("bl ste")
 
 
 @query("SELECT user_id, string_agg(event_type || '#' || n, ' ' ORDER BY event_type) AS reasons FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
@@ -199,18 +209,31 @@ def r21_match_reasons(t):
     return counts.select("user_id", F.array_join(R.match_reasons(F.col("m")), " ").alias("reasons"))
 
 
+def search_vectors(t) -> N.VectorIndex:
+    """The documents' texts as vectors, stored with their year and channel."""
+    path = kept_dir(t, "documents", "embedded")
+    if exists(t.spark, path):
+        return N.VectorIndex(t.spark, path)
+    embedded = docs(t).select(F.col("doc_id").alias("id"), R.WordEmbedder().column()(F.coalesce("body", F.lit(""))).alias("embedding"), "channel", "year")
+    return N.VectorIndex.write(embedded, path, carried=["channel", "year"])
+
+
+def search_names(t) -> X.TrigramIndex:
+    path = kept_dir(t, "documents", "names")
+    return X.TrigramIndex(t.spark, path) if exists(t.spark, path) else X.TrigramIndex.write(docs(t), path, ["title", "aliases"], carried=["channel", "year"])
+
+
 @query()
 def h03_hybrid_search(t):
-    """The search route with every list on: words, title trigrams, vectors (the documents' embeddings) and the graph of authors,
-    who are the sources."""
+    """The search route with every list on, over stored indexes: words, title trigrams, vectors of the texts, and the graph of
+    authors, who are the sources."""
     names = {"src1": "공유", "src2": "김혜수"}
     author = F.col("source")
     people = t.documents.select(author.alias("source")).distinct().select(F.crc32("source").alias("id"), F.coalesce(*(F.when(F.col("source") == k, v) for k, v in names.items()), F.col("source")).alias("name"))
     credits = t.documents.select(F.crc32(author.cast("binary")).alias("person"), F.col("doc_id").alias("work"))
     works = t.documents.select(F.col("doc_id").alias("work"), F.make_date(1990 + F.col("n_chars") % 40, F.lit(1), F.lit(1)).alias("start_date"))
-    embedder = R.HashEmbedder(len(t.embeddings.first().embedding))
-    held = docs(t).join(t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding")), "doc_id", "left")
-    found = R.Retriever(held, embedder, lambda said: R.graph_list(people, credits, works, said)).search("공유랑 the with", 10)
+    search = R.Retriever(docs(t), R.WordEmbedder(), lambda said: R.graph_list(people, credits, works, said), text_index(t), search_vectors(t), search_names(t))
+    found = search.search("공유랑 the with", 10)
     return found.select("doc_id", F.round("score", 8).alias("score"), F.array_join(R.match_reasons(F.col("ranks")), " ").alias("reasons"))
 
 

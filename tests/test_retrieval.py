@@ -145,3 +145,88 @@ def test_recall_of_given_vectors(spark):
     asked = q_retrieval.vectors(t).where("id % 20 = 0")
     got = N.recall(index.search(asked), N.exact(q_retrieval.vectors(t), asked)).first()
     assert got.queries == 25 and got.recall >= 0.9 and index.probed < len(index.centres)
+
+
+def test_trigram_index_gives_what_the_names_give(spark, tmp_path):
+    draw = random.Random(4)
+    part = lambda: draw.choice(["blue", "ring", "rings", "the", "blu", "도깨비", "deep", "r"])
+    rows = [(i, " ".join(part() for _ in range(draw.randint(0, 6))), draw.choice([None, "", part()])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, aliases string").withColumn("year", F.col("doc_id") % 3)
+    index = X.TrigramIndex.write(docs, str(tmp_path / "names"), ["title", "aliases"], carried=["year"], buckets=8)
+    for said in ("blue ring", "rings", "도깨비 the", "zzz", ""):
+        score = F.greatest(*(X.T.similar(F.lit(said), F.coalesce(F.col(c), F.lit("")), 0.35) for c in ("title", "aliases")))
+        want = sorted((r.doc_id, round(r.s, 9)) for r in docs.select("doc_id", "year", score.alias("s")).where("s >= 0.35 AND year < 2").collect())
+        assert sorted((r.id, round(r.score, 9)) for r in index.similar(said, 0.35, F.col("year") < 2).collect()) == want
+        some = spark.range(1).select(F.array_distinct(X.T.trigrams(F.lit(said))).alias("g")).first().g
+        assert X.grams_of(said) == some
+    asked = set(X.grams_of("rings"))
+    shared = {(r.doc_id, f) for r in docs.collect() for f, c in enumerate(("title", "aliases")) if r[c] and len(asked & set(X.grams_of(r[c]))) >= 0.35 * len(asked)}
+    assert {(r.id, r.field) for r in index.candidates("rings", 0.35).collect()} == shared and len(shared) < 150
+    with pytest.raises(ValueError):
+        index.similar("x", 0.0)
+
+
+def test_static_index(spark, tmp_path):
+    import math
+
+    rows = [(1, "blue steel", "ring"), (2, "steel blues bla", ""), (3, "ste", "blue"), (4, "black", None), (5, "red", "steel steel")]
+    boosts = {"name": 4.0, "kind": 2.0}
+    index = R.StaticIndex.write(spark.createDataFrame(rows, "doc_id long, name string, kind string"), str(tmp_path / "static"), boosts, 4)
+
+    def brute(words, limit=30):
+        own = {(i, f): (t or "").split() for i, *texts in rows for f, t in zip(boosts, texts, strict=True)}
+        mean = {f: sum(len(t) for (_, g), t in own.items() if g == f) / len(rows) for f in boosts}
+        score, met = {}, {}
+        for (i, f), tokens in own.items():
+            for word in words:
+                for token in sorted({t for t in tokens if t.startswith(word)}):
+                    df, tf = sum(token in t for (_, g), t in own.items() if g == f), tokens.count(token)
+                    close = 1.0 if token == word else 0.375 * len(word) / len(token)
+                    norm = 1.2 * (0.3 + 0.7 * len(tokens) / mean[f])
+                    score[i] = score.get(i, 0) + boosts[f] * close * math.log(1 + (len(rows) - df + 0.5) / (df + 0.5)) * (0.5 + tf * 2.2 / (tf + norm))
+                    met.setdefault(i, set()).add(word)
+        most = max(map(len, met.values()), default=0)
+        kept = [(round(s, 5), i) for i, s in score.items() if len(met[i]) == len(words) or most < len(words)]
+        return sorted(((i, s) for s, i in kept), key=lambda r: (-r[1], r[0]))[:limit]
+
+    for said in ("bl ste", "steel", "ring bla", "re zz", "zz", ""):
+        assert [tuple(r) for r in index.search(said).collect()] == [(i, pytest.approx(s, abs=1e-5)) for i, s in brute(R.query_tokens(said))]
+    assert [r.token for r in index.range("bl").orderBy("token", "field").collect()] == ["bla", "black", "blue", "blue", "blues"]
+    filters = index.range("bl")._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1]
+    assert "GreaterThanOrEqual(token,bl)" in filters and "LessThan(token,bm)" in filters
+
+
+def test_word_embedder_brings_like_texts_together(spark):
+    embedder = R.WordEmbedder(256)
+    a, b, c, none = (np.array(v) for v in embedder.embed(["the red apple tree", "The apple tree, red!", "a blue sea", " ?"]))
+    assert a @ b == pytest.approx(1) and abs(a @ c) < 0.4 and not none.any()
+    got = spark.createDataFrame([("the red apple tree",), (None,)], "t string").select(embedder.column()("t").alias("v")).collect()
+    assert got[0].v == pytest.approx(a.tolist()) and got[1].v is None
+
+
+def test_hybrid_search_query_against_brute_force(spark, sf):
+    """Each list from the rows in Python, fused; the vector list from the cells that the index probes, or from all."""
+    t = registry.Tables(spark, sf)
+    rows = {r.doc_id: r for r in t.documents.collect()}
+    words = {i: [w for w in X.re.findall("[0-9a-z가-힣]+", f"{r.source} {r.text or ''}".lower())] for i, r in rows.items()}
+    plan = R.analyze("공유랑 the with")
+    asked = X.wanted_tokens(X.websearch(plan.text))
+    weight = lambda i, k: 1.0 if k < len(X.re.findall("[0-9a-z가-힣]+", rows[i].source.lower())) else 0.4
+    mass = {i: round(sum(weight(i, k) for k, w in enumerate(ws) if w in asked), 6) for i, ws in words.items()}
+    lists = {"fts_any": [i for s, i in sorted((-s, i) for i, s in mass.items() if s > 0)][:50]}
+    mine = [i for i, r in sorted(rows.items(), key=lambda x: (-(1990 + x[1].n_chars % 40), x[0])) if r.source == "src1"]
+    lists["graph"] = mine[:50]
+    q = np.array(R.WordEmbedder().embed([plan.text])[0])
+    near = q_retrieval.search_vectors(t).nearest(q.tolist(), 50).orderBy("rank").collect()
+    score = {i: round(float(np.array(v) @ q), 6) for i, v in zip(rows, R.WordEmbedder().embed([r.text or "" for r in rows.values()]), strict=True)}
+    assert all(r.score == pytest.approx(score[r.id], abs=2e-6) for r in near)
+    best = sorted(score, key=lambda i: (-score[i], i))[:50]
+    assert len({r.id for r in near} & set(best)) >= 40
+    lists["vector"] = [r.id for r in near]
+    fused = {}
+    for name, ids in lists.items():
+        for n, i in enumerate(ids, 1):
+            fused.setdefault(i, []).append((name, n))
+    want = sorted(((-round(sum(1 / (60 + n) for _, n in at), 8), i, " ".join(f"{name}#{n}" for name, n in sorted(at))) for i, at in fused.items()))[:10]
+    got = registry.QUERIES["h03_hybrid_search"](spark, sf).collect()
+    assert [(-r.score, r.doc_id, r.reasons) for r in got] == [(pytest.approx(s, abs=2e-8), i, why) for s, i, why in want]
