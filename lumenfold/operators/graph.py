@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lumenfold.operators.relational import shared_by_all
+from lumenfold.operators.relational import held, shared_by_all, top_k
 
 #: Edge types by credit type.
 EDGES = {"ACTOR": "ACTED_IN", "DIRECTOR": "DIRECTED", "WRITER": "WROTE", "PRODUCER": "PRODUCED"}
@@ -137,6 +137,73 @@ def communities(edges: DataFrame, rounds: int = 3) -> DataFrame:
     return labels
 
 
+def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(modularity): the share of the edges (src, dst, undirected, each once) that lie within a community, less the share that would
+    if edges were dealt at random among vertices of the same degrees. Null without edges."""
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    a, b = (labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label")) for c in ("src", "dst"))
+    named = both.join(a, "src").join(b, "dst")
+    of = named.groupBy(F.col("src_label").alias("label")).agg(F.count("*").alias("ends"), F.count_if(F.col("src_label") == F.col("dst_label")).alias("inside"))
+    total = of.agg(F.sum("ends").alias("all"))
+    part = F.col("inside") / F.col("all") - F.pow(F.col("ends") / F.col("all"), 2)
+    return of.crossJoin(F.broadcast(total)).agg(F.sum(part).alias("modularity"))
+
+
+def settled_communities(edges: DataFrame, patience: int = 4, most: int = 50) -> DataFrame:
+    """(id, label): label propagation until it settles. A vertex takes the label that is most frequent among its neighbours and
+    itself, the least of equal ones; the vertices of either half, by a hash, move in turn, so that two neighbours do not swap labels
+    for ever. It ends when neither half moves, or when modularity has not grown for ``patience`` rounds, and gives the labels
+    of the greatest modularity seen. Labels are held from round to round; votes are counted before they are shuffled, and a hub's
+    edges are rows of a join, which is split where it is skewed."""
+    both = held(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
+    labels = held(both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
+    best, top, since, still = labels, modularity(both, labels).first().modularity, 0, 0
+    for n in range(most):
+        theirs = both.join(labels.withColumnRenamed("id", "dst"), "dst").select("src", "label")
+        votes = theirs.union(labels.select("id", "label")).groupBy("src", "label").count()
+        won = votes.groupBy("src").agg(F.min_by("label", F.struct(-F.col("count"), "label")).alias("won"))
+        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == n % 2
+        next_ = labels.join(won, labels.id == won.src).select("id", F.when(turn, F.col("won")).otherwise(F.col("label")).alias("label"), (turn & (F.col("won") != F.col("label"))).alias("moved"))
+        next_ = held(next_)
+        still = 0 if next_.where("moved").head(1) else still + 1
+        labels = next_.select("id", "label")
+        if still == 2:
+            break
+        if still == 0:
+            now = modularity(both, labels).first().modularity
+            best, top, since = (labels, now, 0) if now > top else (best, top, since + 1)
+            if since == patience:
+                break
+    return best
+
+
+def similar_works(works: DataFrame, sets: dict[str, DataFrame], work, weights: dict[str, float], k: int = 20) -> DataFrame:
+    """(related, one column for each feature, score) of the k works most like a given one. ``works``: (work, channel, year);
+    ``sets``: (work, member) of cast, genres, artists and so on, each row once. A set's feature is the Jaccard similarity of the two works'
+    members, ``year`` is 1 / (1 + years between them), ``channel`` whether it is the same; the score is their sum by ``weights``.
+
+    Only works that share a member of a set are compared: each set is joined with the given work's own members, so no pairs of other
+    works come up."""
+    found = None
+    for name, rows in sets.items():
+        own = rows.where(F.col("work") == work).select("member").distinct()
+        mine = own.agg(F.count("*").alias("mine"))
+        shared = rows.where(F.col("work") != work).join(own, "member").groupBy("work").agg(F.count("*").alias("shared"))
+        size = rows.join(shared.select("work"), "work", "left_semi").groupBy("work").agg(F.count("*").alias("size"))
+        like = F.col("shared") / (F.col("size") + F.col("mine") - F.col("shared"))
+        part = shared.join(size, "work").crossJoin(F.broadcast(mine)).select("work", F.lit(name).alias("set"), like.alias("like"))
+        found = part if found is None else found.unionByName(part)
+    by_work = found.groupBy("work").agg(*(F.coalesce(F.max(F.when(F.col("set") == name, F.col("like"))), F.lit(0.0)).alias(name) for name in sets))
+    given = works.where(F.col("work") == work).select(F.col("channel").alias("own_channel"), F.col("year").alias("own_year")).limit(1)
+    met = by_work.join(works, "work").crossJoin(F.broadcast(given))
+    near = F.coalesce(1.0 / (1 + F.abs(F.col("year") - F.col("own_year"))), F.lit(0.0))
+    same = F.coalesce((F.col("channel") == F.col("own_channel")).cast("double"), F.lit(0.0))
+    features = {**{name: F.col(name) for name in sets}, "year": near, "channel": same}
+    score = sum((weights.get(name, 0.0) * c for name, c in features.items()), F.lit(0.0))
+    rows = met.select(F.col("work").alias("related"), *(c.alias(name) for name, c in features.items()), F.round(score, 6).alias("score"))
+    return top_k(rows, k, F.desc("score"), F.asc("related"))
+
+
 def collaboration_scores(acts: DataFrame) -> DataFrame:
     """(a, b, score): works in common, each weighted by 1 / (cast - 1). All pairs of a cast, which is as many as a work credits."""
     size = acts.groupBy("work").agg(F.count("*").alias("cast"))

@@ -119,6 +119,36 @@ def g11_communities(t):
     return G.communities(acts.select((F.col("work") + WORKS_FROM).alias("src"), F.col("person").alias("dst")))
 
 
+@query("SELECT 1 AS one, true AS better, true AS settled")
+def g11_settled(t):
+    """Communities of works and their cast until they settle: better than no communities, and each vertex has one."""
+    acts = edges(t).where("type = 'ACTED_IN'").select((F.col("work") + WORKS_FROM).alias("src"), F.col("person").alias("dst")).distinct()
+    labels = G.settled_communities(acts)
+    alone = labels.select("id", F.col("id").alias("label"))
+    gain = G.modularity(acts, labels).select(F.col("modularity").alias("q")).crossJoin(G.modularity(acts, alone).select(F.col("modularity").alias("q0")))
+    count = labels.agg(F.count("*").alias("n"), F.countDistinct("id").alias("d"))
+    return gain.crossJoin(count).select(F.lit(1).alias("one"), (F.col("q") > F.col("q0")).alias("better"), (F.col("n") == F.col("d")).alias("settled"))
+
+
+def _like(name: str, member: str) -> str:
+    rows = f"(SELECT DISTINCT l_orderkey AS work, {member} AS member FROM lineitem)"
+    return f"""{name}_s AS (SELECT r.work, count(*) AS shared FROM {rows} r WHERE work <> 7 AND member IN (SELECT member FROM {rows} WHERE work = 7) GROUP BY 1),
+{name} AS (SELECT work, shared / ((SELECT count(*) FROM {rows} r WHERE r.work = {name}_s.work) + (SELECT count(*) FROM {rows} WHERE work = 7) - shared) AS v FROM {name}_s)"""
+
+
+@query(f"""WITH {_like("cast_", "l_suppkey")}, {_like("genre_", "l_returnflag")}, {_like("artist_", "l_partkey")},
+w AS (SELECT o_orderkey AS work, o_orderpriority AS channel, year(o_orderdate) AS year FROM orders),
+f AS (SELECT w.work AS related, coalesce(c.v, 0) AS cast_, coalesce(g.v, 0) AS genre_, coalesce(a.v, 0) AS artist_, 1.0 / (1 + abs(w.year - o.year)) AS near, CAST(w.channel = o.channel AS INT) AS same
+ FROM w JOIN (SELECT * FROM w WHERE work = 7) o ON true LEFT JOIN cast_ c ON c.work = w.work LEFT JOIN genre_ g ON g.work = w.work LEFT JOIN artist_ a ON a.work = w.work WHERE c.v IS NOT NULL OR g.v IS NOT NULL OR a.v IS NOT NULL)
+SELECT related, round(3 * cast_ + genre_ + 2 * artist_ + 0.5 * near + 0.25 * same, 6) AS score FROM f ORDER BY score DESC, related LIMIT 20""")
+def g11_similar_works(t):
+    """Design only in the reference: works like one work by cast, genres, artists, years and channel."""
+    works = t.orders.select(F.col("o_orderkey").alias("work"), F.col("o_orderpriority").alias("channel"), F.year("o_orderdate").alias("year"))
+    of = lambda c: t.lineitem.select(F.col("l_orderkey").alias("work"), F.col(c).alias("member")).distinct()
+    found = G.similar_works(works, {"cast": of("l_suppkey"), "genre": of("l_returnflag"), "artist": of("l_partkey")}, 7, {"cast": 3.0, "genre": 1.0, "artist": 2.0, "year": 0.5, "channel": 0.25})
+    return found.select("related", "score")
+
+
 @query(f"SELECT other, strength FROM (SELECT other, count(DISTINCT work) AS strength FROM (SELECT b.person AS other, b.work FROM {EDGE_SQL} a JOIN {EDGE_SQL} b ON a.work = b.work AND a.person <> b.person WHERE a.person = 8 AND a.type = 'ACTED_IN' AND b.type = 'ACTED_IN') GROUP BY 1) ORDER BY strength DESC, other LIMIT 10")
 def h04_collaborators_route(t):
     own = edges(t)
