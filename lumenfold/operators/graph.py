@@ -137,6 +137,28 @@ def communities(edges: DataFrame, rounds: int = 3) -> DataFrame:
     return labels
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) of every id in ``edges`` (a, b), the least id that is reachable; loops and repeated edges are harmless.
+
+    Large-star and small-star in turn (Kiveris and others, 2014): a node's greater neighbours are hung under the least of its
+    neighbourhood, then its lesser ones and itself. The number of rounds grows with the logarithm of a path's length, where
+    passing labels on would take its length. Neighbourhoods are minima and joins, so a node may have any number of neighbours.
+    """
+    nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    left = held(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    h = F.xxhash64("u", "v")
+    mark = [F.count("*"), F.bit_xor(h), F.sum(F.pmod(h, F.lit((1 << 31) - 1)))]  # equal for equal sets of edges
+    before, after = None, tuple(left.agg(*mark).first())
+    while before != after:
+        both = left.union(left.select("v", "u"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = held(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        under = large.groupBy("u").agg(F.min("v").alias("m"))
+        left = held(large.join(under, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(under).distinct())
+        before, after = after, tuple(left.agg(*mark).first())
+    return held(nodes.join(left, nodes.id == left.u, "left").select("id", F.coalesce("v", "id").alias("component")))
+
+
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(modularity): the share of the edges (src, dst, undirected, each once) that lie within a community, less the share that would
     if edges were dealt at random among vertices of the same degrees. Null without edges."""

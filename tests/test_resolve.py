@@ -104,6 +104,37 @@ def test_cluster_batch_plainly(spark):
     assert E.cluster_batch(spark.createDataFrame([], schema)).collect() == []
 
 
+def test_cluster_batch_with_few_links(spark):
+    """Many small groups: most mentions have no reference, and works and dates are many."""
+    draw = random.Random(1)
+    rows = [(i, draw.randrange(60), draw.randrange(2), draw.choice([None] * 300 + [str(k) for k in range(40)]), draw.choice([None, *(f"n{k}" for k in range(12))]), draw.choice([None] * 60 + [f"19{k}-01-01" for k in range(50, 99)]), draw.choice([None, *range(60)])) for i in range(250)]
+    everything = E.Entities()
+    want = {r[0]: everything.settle(*r[1:2], r[0], *r[2:]) for r in sorted(rows, key=lambda r: (r[1], r[0]))}
+    schema = "mention_id long, staging_id long, source_id long, external_ref string, name_normalized string, birth_date string, work long"
+    df = spark.createDataFrame(rows, schema).repartition(4)
+    assert {r.mention_id: r.entity for r in E.cluster_batch(df).collect()} == want
+    assert 20 < len({r.group for r in E.mention_groups(df).collect()}) < 250
+
+
+def test_mentions_of_one_name_spread(spark):
+    """A name alone brings nobody together; names that one reference has do, with each of their works."""
+    schema = "mention_id long, staging_id long, source_id long, external_ref string, name_normalized string, birth_date string, work long"
+    rows = [(i, i, 1, None, "kim", None, i) for i in range(2000)]
+    rows += [(6000, 1, 1, "r", "han", None, 71), (6001, 2, 1, "r", "lee", None, 72), (6002, 3, 1, None, "han", None, 72), (6003, 4, 2, None, "lee", None, 72), (6004, 5, 2, None, None, "1980-01-01", None), (6005, 6, 2, None, None, "1980-01-01", None)]
+    df = spark.createDataFrame(rows, schema)
+    groups = {r.mention_id: r.group for r in E.mention_groups(df).collect()}
+    assert len({groups[i] for i in range(2000)}) == 2000
+    assert groups[6000] == groups[6001] == groups[6002] == groups[6003] and groups[6004] == groups[6005]
+    got = {r.mention_id: r.entity for r in E.cluster_batch(df).collect()}
+    assert [got[i] for i in range(6000, 6006)] == [6000, 6000, 6000, 6003, 6004, 6004] and all(got[i] == i for i in range(2000))
+
+
+def test_components_of_long_chains(spark):
+    rows = [(i, i + 1) for i in range(100)] + [(1000, 1001), (1001, 1000), (2000, 2000)]
+    got = {r.id: r.component for r in G.components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(101)}, 1000: 1000, 1001: 1000, 2000: 2000}
+
+
 def test_numbered(spark):
     """Places run through all ranges, nulls come first, equal rows take neighbouring places, and an empty table has none."""
     draw = random.Random(3)
