@@ -230,6 +230,13 @@ def strategy(lists: Sequence[str]) -> str:
     return "_".join(kinds) if kinds else "FILTER" if "filter" in lists else "NONE"
 
 
+def strategy_of(lists: Column) -> Column:
+    """The same of an array of names."""
+    any_of = lambda *names: F.arrays_overlap(lists, F.array(*map(F.lit, names)))
+    kinds = F.array_compact(F.array(F.when(any_of("fts", "fts_any", "trigram"), "LEXICAL"), F.when(any_of("vector"), "VECTOR"), F.when(any_of("graph"), "GRAPH")))
+    return F.when(F.size(kinds) > 0, F.array_join(kinds, "_")).when(any_of("filter"), "FILTER").otherwise("NONE")
+
+
 class HashEmbedder:
     """Vectors of unit length seeded by the text's digest: for tests, near texts are not near."""
 

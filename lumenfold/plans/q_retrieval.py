@@ -302,3 +302,14 @@ def _pools(t, lines):
 @query(f"SELECT user_id % 3 AS cls, {LATENCY_SQL} FROM events GROUP BY 1")
 def a16_latency_by_class(t):
     return t.events.groupBy((F.col("user_id") % 3).alias("cls")).agg(*latency())
+
+
+@query("""SELECT user_id, hour, CASE WHEN lex + vec + gra = 0 THEN CASE WHEN fil > 0 THEN 'FILTER' ELSE 'NONE' END ELSE concat_ws('_', CASE WHEN lex > 0 THEN 'LEXICAL' END, CASE WHEN vec > 0 THEN 'VECTOR' END, CASE WHEN gra > 0 THEN 'GRAPH' END) END AS strategy
+FROM (SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) FILTER (event_type = 'view') AS lex, count(*) FILTER (event_type = 'purchase') AS vec, count(*) FILTER (event_type = 'click') AS gra, count(*) FILTER (event_type = 'signup') AS fil FROM events GROUP BY 1, 2)""")
+def r14_strategy_labels(t):
+    """The label of a search by the lists that found something, for each user and hour; event types stand for lists."""
+    names = {"view": "fts", "purchase": "vector", "click": "graph", "signup": "filter"}
+    named = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    lists = F.collect_set(F.try_element_at(named, F.col("event_type")))
+    found = t.events.groupBy("user_id", F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH").alias("hour")).agg(lists.alias("lists"))
+    return found.select("user_id", "hour", R.strategy_of(F.col("lists")).alias("strategy"))

@@ -70,9 +70,14 @@ def s19_sitemap(t):
     return t.spark.range(1).select(F.lit("/").alias("loc")).unionByName(years).unionByName(works)
 
 
-@query("SELECT y AS year, y || '년 드라마' AS title FROM (SELECT unnest(generate_series(1995, 2006)) AS y)")
+@query("""SELECT y AS year, y || '년 드라마' AS title, (SELECT count(*) FROM orders WHERE year(o_orderdate) = y) AS works
+FROM (SELECT unnest(generate_series((SELECT min(year(o_orderdate)) FROM orders), (SELECT max(year(o_orderdate)) FROM orders))) AS y)""")
 def s20_year_titles(t):
-    return S.year_titles(t.spark, 1995, 2006)
+    """The category titles of all years from the first to the last work's, with the number of works."""
+    year = F.year("o_orderdate").cast("long")
+    ends = t.orders.agg(F.min(year).alias("a"), F.max(year).alias("z")).first()
+    works = t.orders.groupBy(year.alias("year")).agg(F.count("*").alias("works"))
+    return S.year_titles(t.spark, ends.a, ends.z).join(works, "year", "left").select("year", "title", F.coalesce("works", F.lit(0)).alias("works"))
 
 
 LINK_SQL = r"""(SELECT page_id, url, CASE page_id % 8 WHEN 0 THEN 404 WHEN 1 THEN 403 WHEN 2 THEN 451 WHEN 3 THEN 503 WHEN 4 THEN 301 WHEN 5 THEN 200 WHEN 6 THEN 200 ELSE 200 END AS http, CASE page_id % 3 WHEN 0 THEN 'netflix' WHEN 1 THEN 'kbs' ELSE 'other' END AS provider,
@@ -103,7 +108,11 @@ def k05_channels(t):
     return t.pages.select("page_id", rules.infer_channel(titles)["code"].alias("code"), host(F.col("url")).alias("host"))
 
 
-@query("""SELECT * FROM (VALUES ('manual', 'source_manual_pool', 'https://', false), ('local_seed', 'source_manual_pool', 'http://seed:8000/', false), ('wikidata', 'source_wikidata_pool', 'https://query.wikidata.org/', true),
+@query("""SELECT code, pool, prefixes, discovered, (SELECT count(*) FROM pages WHERE starts_with(url, prefixes)) AS pages FROM (VALUES ('manual', 'source_manual_pool', 'https://', false), ('local_seed', 'source_manual_pool', 'http://seed:8000/', false), ('wikidata', 'source_wikidata_pool', 'https://query.wikidata.org/', true),
 ('kowiki', 'source_kowiki_pool', 'https://ko.wikipedia.org/', false), ('tvn_official', 'source_tvn_pool', 'https://tvn.cjenm.com/', false)) s(code, pool, prefixes, discovered)""")
 def s15_sources(t):
-    return S.sources(t.spark).select("code", "pool", F.array_join("prefixes", " ").alias("prefixes"), "discovered")
+    """The registry, with the number of pages whose address each source's allow-list lets through."""
+    sources = S.sources(t.spark)
+    each = F.broadcast(sources.select("code", F.explode("prefixes").alias("prefix")))
+    allowed = t.pages.select("page_id", "url").join(each, F.startswith(F.col("url"), F.col("prefix"))).groupBy("code").agg(F.countDistinct("page_id").alias("pages"))
+    return sources.join(allowed, "code", "left").select("code", "pool", F.array_join("prefixes", " ").alias("prefixes"), "discovered", F.coalesce("pages", F.lit(0)).alias("pages"))
