@@ -63,6 +63,12 @@ def gate(records: DataFrame, issues: str = "issues", least: int = 5, most: float
         raise GateError(f"{share:.0%} of {n} records are broken, more than {most:.0%}")
 
 
+def gates(records: DataFrame, batch: str, issues: str = "issues", least: int = 5, most: float = 0.5) -> DataFrame:
+    """(batch, n, share, failed): the same verdict for all batches of a table at once, by one aggregate."""
+    by = records.groupBy(F.col(batch).alias("batch")).agg(F.count("*").alias("n"), F.avg(has_errors(F.col(issues)).cast("double")).alias("share"))
+    return by.select("batch", "n", "share", ((F.col("n") >= least) & (F.col("share") > most)).alias("failed"))
+
+
 def violations(table: DataFrame, name: str, checks: dict[str, Column], unique: dict[str, list[str]] | None = None) -> DataFrame:
     """(table, rule, n): rows that break each check (null breaks none), and rows beyond the first of each unique key."""
     counts = table.agg(*[F.count_if(~cond).alias(rule) for rule, cond in checks.items()]) if checks else None

@@ -313,3 +313,38 @@ def r14_strategy_labels(t):
     lists = F.collect_set(F.try_element_at(named, F.col("event_type")))
     found = t.events.groupBy("user_id", F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH").alias("hour")).agg(lists.alias("lists"))
     return found.select("user_id", "hour", R.strategy_of(F.col("lists")).alias("strategy"))
+
+
+def _picked(*variants: str) -> str:
+    return f"[{', '.join(variants)}][1 + CAST('0x' || substr(d, 1, 6) AS BIGINT) % {len(variants)}]"
+
+
+CHANNELS, GENRES = {"Brand#1": "일번", "Brand#13": "십삼번", "Brand#5": "오번"}, {"ECONOMY": "경제"}
+GOLDEN_SQL = f"""WITH w AS (SELECT CAST(p_partkey AS VARCHAR) AS slug, p_name || ' ' || p_partkey % 50 AS title, p_brand || p_partkey AS title_en, 1990 + p_size % 30 AS year, p_brand AS channel, p_type AS genre FROM part),
+c AS (SELECT CAST(l_partkey AS VARCHAR) AS slug, 'n' || (l_suppkey * 400 + l_orderkey % 400) AS name, CASE l_returnflag WHEN 'A' THEN 'ACTOR' WHEN 'R' THEN 'WRITER' ELSE 'DIRECTOR' END AS type, CASE WHEN l_returnflag = 'A' THEN 'c' || CAST(floor(l_extendedprice) AS BIGINT) ELSE '' END AS character FROM lineitem),
+one AS (SELECT 'entity_lookup' AS class, slug AS k1, '' AS k2, '' AS k3, md5('7|entity_lookup|' || slug) AS d, {_picked("title", "title_en")} AS query, [slug] AS expected FROM w WHERE title IN (SELECT title FROM w GROUP BY 1 HAVING count(*) = 1)),
+p AS (SELECT name, md5('7|person|' || name) AS d, list_sort(list_distinct(list(slug))) AS slugs, bool_or(type = 'ACTOR') AS acts, bool_or(type = 'WRITER') AS writes, bool_or(type = 'DIRECTOR') AS directs FROM c GROUP BY name HAVING count(*) BETWEEN 1 AND 3),
+two AS (SELECT 'person' AS class, name AS k1, '' AS k2, '' AS k3, d, CASE WHEN writes AND NOT acts THEN name || ' 작가 드라마' WHEN directs AND NOT acts THEN name || ' 연출 작품' ELSE {_picked("name || ' 나온 드라마'", "name || ' 출연작'", "'배우 ' || name")} END AS query, slugs AS expected FROM p),
+a AS (SELECT DISTINCT name, slug FROM c WHERE type = 'ACTOR' AND name IN (SELECT name FROM c GROUP BY 1 HAVING count(*) >= 2)),
+m AS (SELECT x.name AS a, y.name AS b, min(x.slug) AS slug, md5('7|multi_hop|' || x.name || '|' || y.name) AS d FROM a x JOIN a y ON x.slug = y.slug AND x.name < y.name GROUP BY 1, 2 HAVING count(*) = 1),
+three AS (SELECT 'multi_hop' AS class, a AS k1, b AS k2, '' AS k3, d, {_picked("a || '랑 ' || b || ' 같이 나온 드라마'", "a || ' ' || b || ' 공동 출연작'", "a || '이랑 ' || b || ' 나온 작품'")} AS query, [slug] AS expected FROM m),
+h AS (SELECT character, any_value(name) AS name, any_value(slug) AS slug, md5('7|character|' || character) AS d FROM c WHERE character <> '' GROUP BY 1 HAVING count(*) = 1),
+four AS (SELECT 'character' AS class, character AS k1, '' AS k2, '' AS k3, d, {_picked("character || ' 역 ' || name", "character || ' 나오는 드라마'", "name || ' ' || character")} AS query, [slug] AS expected FROM h),
+t AS (SELECT year, channel, genre, list_sort(list(slug)) AS slugs, md5('7|temporal|' || year || '|' || channel || '|' || genre) AS d, CASE channel WHEN 'Brand#1' THEN '일번' WHEN 'Brand#13' THEN '십삼번' ELSE '오번' END AS said, CASE genre WHEN 'ECONOMY' THEN ' 경제' ELSE ' ' || genre END AS kind FROM w WHERE channel IN ('Brand#1', 'Brand#13', 'Brand#5') GROUP BY year, channel, genre HAVING count(*) BETWEEN 1 AND 4),
+five AS (SELECT 'temporal' AS class, CAST(year AS VARCHAR) AS k1, channel AS k2, genre AS k3, d, {_picked("year || '년 ' || said || kind || ' 드라마'", "year || '년에 ' || said || '에서 한' || kind || ' 드라마'")} AS query, slugs AS expected FROM t),
+f AS (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three UNION ALL SELECT * FROM four UNION ALL SELECT * FROM five),
+n AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY d, k1, k2, k3) AS place FROM f QUALIFY place <= 60)
+SELECT printf('g%04d', row_number() OVER (ORDER BY list_position(['entity_lookup', 'person', 'multi_hop', 'character', 'temporal'], class), place)) AS id, class, query, array_to_string(expected, ',') AS expected FROM n"""
+
+
+@query(GOLDEN_SQL)
+def v05_generated_queries(t):
+    """Golden queries of all five classes: parts are works, suppliers' groups people, prices characters, brands channels."""
+    from lumenfold.operators.golden import generate
+
+    key = F.col("p_partkey").cast("string")
+    works = t.part.select(key.alias("slug"), F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 50).cast("string")).alias("title"), F.concat("p_brand", key).alias("title_en"), F.array().cast("array<string>").alias("aliases"), (1990 + F.col("p_size") % 30).alias("year"), F.col("p_brand").alias("channel"), F.array("p_type").alias("genres"))
+    flag = F.col("l_returnflag")
+    name = F.concat(F.lit("n"), (F.col("l_suppkey") * 400 + F.col("l_orderkey") % 400).cast("string"))
+    credits = t.lineitem.select(F.col("l_partkey").cast("string").alias("slug"), name.alias("name"), F.when(flag == "A", "ACTOR").when(flag == "R", "WRITER").otherwise("DIRECTOR").alias("type"), F.when(flag == "A", F.concat(F.lit("c"), F.floor("l_extendedprice").cast("long").cast("string"))).otherwise("").alias("character"))
+    return generate(works, credits, CHANNELS, GENRES, seed=7, per_class=60).withColumn("expected", F.array_join("expected", ","))
