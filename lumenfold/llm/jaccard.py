@@ -403,7 +403,8 @@ def join(docs: DataFrame, size: int = 5, threshold: float = 0.75, id_col: str =
     links = links.union(stored(verified(more, whole, limit), "links")).union(stored(block_links(groups, whole, limit), "links"))
     labels = components(links)
 
-    keyed = live.groupBy("c1", "c2").agg(F.min("id").alias("class_id"))
+    # Stored, so that both sides of the last join are dealt for it alone: then a class of very many equal sets is split over tasks.
+    keyed = stored(live.groupBy("c1", "c2").agg(F.min("id").alias("class_id")), "classes")
     named = keyed.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select("c1", "c2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     found = live.select("id", "n", "c1", "c2").join(named, ["c1", "c2"]).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "class_id", "component_id")
     alone = signed.where("n = 0 OR id IS NULL").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("class_id"), F.col("id").alias("component_id"))
