@@ -11,7 +11,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in ``edges`` (a long, b long); component: the least id reachable.
 
     In each round every root hangs itself under its least neighbour, pointers are followed once more, and the edges are
-    carried over to the new roots; a path shrinks to a third at least, so rounds grow with the logarithm of its length.
+    carried over to the new roots. Stars take one round and paths in any mixed order few; a path whose ids ascend all along
+    loses only two of its nodes in a round, for which ``alternating`` is the better way.
     Loops and repeated edges are harmless; rows with a null end are ignored; no edges give no rows.
     """
     flat = edges.where("a IS NOT NULL AND b IS NOT NULL")
