@@ -78,19 +78,18 @@ def formatter(file: bytes, pattern: str) -> Formatter:
     return Formatter(codec(file, pattern))
 
 
-TURNS = "conv_id {}, depth int, node binary, parent binary, role string, text string, chars long, length long, total long, is_last boolean"
+TURNS = "conv_id {}, depth int, node binary, parent binary, role string, text string, chars long, total long, is_last boolean"
 
 
-def turns(conversations: DataFrame, file, pattern: str) -> DataFrame:
-    """Each conversation's turns in order as nodes of chained hashes, with the number of tokens and the conversation's characters.
-    Rows come sorted, so a task holds one conversation at a time."""
+def turns(conversations: DataFrame) -> DataFrame:
+    """Each conversation's turns in order as nodes of chained hashes, with the conversation's characters. Rows come sorted, so a task
+    holds one conversation at a time."""
     kind = dict(conversations.dtypes)["conv_id"]
     names = [c.split()[0] for c in TURNS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = formatter(file.value, pattern)
         key, held, rows = None, [], []
-        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
 
         def close() -> None:
             total = sum(r[6] for r in held)
@@ -112,7 +111,7 @@ def turns(conversations: DataFrame, file, pattern: str) -> DataFrame:
                 key, role, text = conv, role or "", text or ""
                 node = held[-1][2] if held else b""
                 name = hashlib.blake2b(node + len(role).to_bytes(4, "big") + role.encode() + text.encode(), digest_size=16).digest()
-                held.append((conv, len(held), name, node, role, text, len(render(role, text)[0]), len(made.ids(role, text)[0]) // 4))
+                held.append((conv, len(held), name, node, role, text, len(render(role, text)[0])))
         if held:
             close()
         if rows:
@@ -122,6 +121,18 @@ def turns(conversations: DataFrame, file, pattern: str) -> DataFrame:
     return ordered.mapInArrow(lean(run), TURNS.format(kind))
 
 
+def lengths(rows: DataFrame, file, pattern: str) -> DataFrame:
+    """(node, length): the number of a turn's tokens, from (node, role, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = formatter(file.value, pattern)
+        for b in batches:
+            n = [len(made.ids(role, text)[0]) // 4 for role, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["node", "length"])
+
+    return rows.select("node", "role", "text").mapInArrow(lean(run), "node binary, length long")
+
+
 INTERVALS = "array<struct<layout:string,start:bigint,stop:bigint>>"
 NODES = f"layout string, node binary, parent binary, depth int, role string, ids binary, offset long, position long, ancestors {INTERVALS}, loss_start long, loss_stop long, ends boolean"
 
@@ -136,10 +147,13 @@ def layouts(conversations: DataFrame, ranks_path: str, pattern: str, max_chars:
     """
     ship(conversations.sparkSession)
     file = broadcast_file(conversations.sparkSession, ranks_path)
-    flat = stored(turns(conversations, file, pattern), "chat-turns", "zstd")
+    flat = stored(turns(conversations), "chat-turns", "zstd")
     large = stored(flat.groupBy("node").agg(F.sum("total").alias("w")).where(F.col("w") > max_chars).select("node"), "chat-large")
-    marked = large.withColumn("large", F.lit(True))
-    slim = flat.select("conv_id", "depth", "node", "length", "is_last").join(F.broadcast(marked) if large.count() <= FEW else marked, "node", "left")
+    few = large.count() <= FEW
+    # Only of large turns the number of tokens is needed before they are laid out; every turn is encoded once there.
+    texts = flat.join(F.broadcast(large) if few else large, "node", "left_semi").groupBy("node").agg(F.first("role").alias("role"), F.first("text").alias("text"))
+    marked = stored(lengths(texts, file, pattern).withColumn("large", F.lit(True)), "chat-large")
+    slim = flat.select("conv_id", "depth", "node", "is_last").join(F.broadcast(marked) if few else marked, "node", "left")
     # Large turns are the first ones of a conversation: whoever has them all has the ones before them.
     path = Window.partitionBy("conv_id")
     trunk = F.collect_list(F.when(F.col("large"), F.struct("depth", F.hex("node").alias("layout"), "length"))).over(path)
@@ -155,7 +169,7 @@ def layouts(conversations: DataFrame, ranks_path: str, pattern: str, max_chars:
     nodes = stored(rows.repartition("layout").sortWithinPartitions("layout", "depth", "node").mapInArrow(lean(run), NODES), "chat-nodes", "zstd")
     leaves = flat.where("is_last").select("conv_id", F.col("node").alias("leaf"))
     members = stored(leaves.join(info.select(F.col("node").alias("leaf"), "layout"), "leaf").select("conv_id", "layout", "leaf"), "chat-members")
-    release(flat, large, info)
+    release(flat, large, marked, info)
     return nodes, members
 
 
