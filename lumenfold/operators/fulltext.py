@@ -183,8 +183,8 @@ def put(spark: SparkSession, own: str, path: str) -> None:
 class TextIndex:
     """Postings stored by word: a folder for each bucket of words, in it files sorted by word, document and place.
 
-    A search reads the buckets of its words, and of these the row groups that hold the words. A frequent word is spread over
-    several files by document. ``carried``: columns of the documents that are stored with each posting, so that filters on them
+    A search reads the buckets of its words, and of these the row groups that hold the words. A large bucket, that of a
+    frequent word say, is dealt to several tasks by its size and has several files. ``carried``: columns of the documents that are stored with each posting, so that filters on them
     need no join. An index is written once and not changed; a changed table has a new one.
     """
 
@@ -198,7 +198,7 @@ class TextIndex:
         spark = docs.sparkSession
         own = f"{path}.{uuid.uuid4().hex}"
         rows = postings(spread(docs), fields, carried).withColumn("bucket", bucket_of(F.col("token"), buckets))
-        rows.repartitionByRange("bucket", "token", "doc_id").sortWithinPartitions("bucket", "token", "doc_id", "pos").write.partitionBy("bucket").parquet(own)
+        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "doc_id", "pos").write.partitionBy("bucket").parquet(own)
         put(spark, own, path)
         return cls(spark, path, buckets)
 
@@ -249,9 +249,9 @@ class TrigramIndex:
         each = F.explode(F.array(*(F.struct(F.lit(i).alias("field"), F.col(c).alias("text")) for i, c in enumerate(fields))))
         names = spread(docs).select(F.col(id_col).alias("id"), *carried, each.alias("n")).select("id", "n.field", "n.text", *carried).where("text IS NOT NULL")
         grams = names.select(F.explode(F.array_distinct(T.trigrams(F.col("text")))).alias("gram"), "id", "field").withColumn("bucket", bucket_of(F.col("gram"), buckets))
-        grams.repartitionByRange("bucket", "gram", "id").sortWithinPartitions("bucket", "gram", "id").write.partitionBy("bucket").parquet(f"{own}/grams")
+        grams.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram", "id").write.partitionBy("bucket").parquet(f"{own}/grams")
         placed = names.withColumn("bucket", bucket_of(F.col("id"), buckets))
-        placed.repartitionByRange("bucket", "id").sortWithinPartitions("bucket", "id").write.partitionBy("bucket").parquet(f"{own}/names")
+        placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "id").write.partitionBy("bucket").parquet(f"{own}/names")
         put(spark, own, path)
         return cls(spark, path, buckets)
 
