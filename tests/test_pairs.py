@@ -33,3 +33,38 @@ def test_blocking_gives_each_pair_once(titled, monkeypatch):
     keys = set(shown.items()) | {(r.id, r.alias_normalized) for r in aliases.collect() if r.id in shown}
     got = [tuple(r) for r in E.by_title(mentions, works, aliases).collect()]
     assert len(got) == len(set(got)) and set(got) == {(i, j) for i, k in m for j, x in keys if k == x}
+
+
+def test_works_judged_by_class_as_by_pairs(titled):
+    mentions, works, aliases, facts = titled
+    want = E.resolve_works(mentions, E.by_title(mentions, works, aliases).join(facts, "id"))
+    got = E.resolve_works_by_title(mentions, works, aliases, facts)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_frequent_title_lists_no_pairs(spark, tmp_path):
+    n = 3000  # all of one title: 9 million pairs
+    part = spark.range(n).select(F.col("id").alias("p_partkey"), F.lit("one").alias("p_name"), F.lit("t").alias("p_type"), F.concat(F.lit("Brand#"), F.col("id") % 3).alias("p_brand"), (F.col("id") % 9).cast("int").alias("p_size"))
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    df = registry.QUERIES["e05_resolve_works"](spark, str(tmp_path))
+    assert df.count() == n
+    rows = max(int(x) for x in _join_rows(df))
+    assert rows < 20 * n
+
+
+def _join_rows(df):
+    """The rows that each join of an executed query put out."""
+    df.collect()
+    node = df._jdf.queryExecution().executedPlan()
+    found, left = [], [node]
+    while left:
+        p = left.pop()
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            left.append(p.executedPlan())
+        elif "QueryStage" in name:
+            left.append(p.plan())
+        if "Join" in name and p.metrics().contains("numOutputRows"):
+            found.append(p.metrics().apply("numOutputRows").value())
+        left += [p.children().apply(i) for i in range(p.children().size())]
+    return found
