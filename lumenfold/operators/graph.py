@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -232,3 +233,25 @@ def collaboration_scores(acts: DataFrame) -> DataFrame:
     rows = acts.join(size.where("cast > 1"), "work")
     other = rows.select("work", F.col("person").alias("b"))
     return rows.select("work", F.col("person").alias("a"), "cast").join(other, "work").where("a < b").groupBy("a", "b").agg(F.sum(1 / (F.col("cast") - 1)).alias("score"))
+
+
+#: Works of one artist that stand in a list together, and pairs that a task counts.
+LISTED, COUNTED = 512, 1_000_000
+
+
+def works_by_shared(own: DataFrame, name: str) -> DataFrame:
+    """(work, related, ``name``): for each two works the number of artists they share, from distinct rows (work, artist).
+
+    Lists go to the lesser work of a pair, that of an artist's greater works: a pair is shuffled once, as one number of a list,
+    and shown both ways where it was counted. An artist with many works has several lists, each of which meets all.
+    """
+    rows = own.where("work IS NOT NULL AND artist IS NOT NULL")
+    lots = rows.groupBy("artist").agg(F.ceil(F.count("*") / LISTED).alias("lots"))
+    dealt = rows.join(lots, "artist").withColumn("lot", F.pmod(F.xxhash64("work"), "lots"))
+    lists = held(dealt.groupBy("artist", "lot").agg(F.sort_array(F.collect_list("work")).alias("works")))
+    each = lists.groupBy("artist").agg(F.sum(F.size("works").cast("long")).alias("n")).agg(F.sum(F.col("n") * F.col("n") / 2)).first()[0]
+    first = lists.select("artist", F.explode("works").alias("work"))
+    met = first.join(lists, "artist").select("work", F.filter("works", lambda x: x > F.col("work")).alias("greater")).where(F.size("greater") > 0)
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((each or 0) / COUNTED))
+    counted = met.repartition(tasks, "work").select("work", F.explode("greater").alias("related")).groupBy("work", "related").agg(F.count("*").alias(name))
+    return counted.select(F.explode(F.array(F.struct("work", "related", name), F.struct(F.col("related").alias("work"), F.col("work").alias("related"), name))).alias("p")).select("p.*")

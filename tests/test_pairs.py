@@ -68,3 +68,21 @@ def _join_rows(df):
             found.append(p.metrics().apply("numOutputRows").value())
         left += [p.children().apply(i) for i in range(p.children().size())]
     return found
+
+
+def test_shared_works_are_shuffled_as_lists(spark, monkeypatch):
+    monkeypatch.setattr(G, "LISTED", 4)
+    monkeypatch.setattr(G, "COUNTED", 50)
+    draw = random.Random(2)
+    own = {(draw.randrange(30), draw.choice([1, 1, 1, 2, 3, 4])) for _ in range(120)} | {(None, 1), (3, None)}
+    got = G.works_by_shared(spark.createDataFrame(sorted(own, key=str), "work long, artist long"), "n")
+    want = {}
+    for w, a in own:
+        for r, b in own:
+            if a == b and None not in (w, r, a) and w != r:
+                want[w, r] = want.get((w, r), 0) + 1
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) and {(w, r): n for w, r, n in rows} == want
+    # Above the dealing by work pairs are listed, counted and turned; below it they are in lists.
+    above = plan(got).split("RepartitionByExpression")
+    assert len(above) == 2 and "explode(greater" in above[0]
