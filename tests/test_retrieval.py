@@ -230,3 +230,12 @@ def test_hybrid_search_query_against_brute_force(spark, sf):
     want = sorted(((-round(sum(1 / (60 + n) for _, n in at), 8), i, " ".join(f"{name}#{n}" for name, n in sorted(at))) for i, at in fused.items()))[:10]
     got = registry.QUERIES["h03_hybrid_search"](spark, sf).collect()
     assert [(-r.score, r.doc_id, r.reasons) for r in got] == [(pytest.approx(s, abs=2e-8), i, why) for s, i, why in want]
+
+
+def test_hybrid_search_query_fails_with_its_graph(spark, sf, monkeypatch):
+    def broken(*_):
+        raise ConnectionError("no graph")
+
+    monkeypatch.setattr(R, "graph_list", broken)
+    with pytest.raises(ConnectionError, match="no graph"):
+        registry.QUERIES["h03_hybrid_search"](spark, sf).collect()
